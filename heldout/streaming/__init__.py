@@ -1,0 +1,5 @@
+"""Nothing streams here: every stage is a batch from table to table.
+
+The only incremental behaviour is the manifest of finished work in
+``heldout.sources.manifest``.
+"""
