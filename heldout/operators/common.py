@@ -42,7 +42,3 @@ def finite(c: Column) -> Column:
     c = c.cast("double")
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(c)
 
-
-def key_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
-    """Equi-join on equal names that also matches null keys and keeps one copy of them."""
-    return left.join(right, list(keys), how) if keys else left.crossJoin(F.broadcast(right))

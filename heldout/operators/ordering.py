@@ -43,7 +43,8 @@ def with_hash_ranges(df: DataFrame, u: str, n_ranges: int | None = None) -> Data
     return df.withColumn(RANGE, F.floor(F.col(u) * n).cast("int"))
 
 
-def running(df: DataFrame, order: list, sums: dict[str, Column], by: list[str] = ()) -> DataFrame:
+def running(df: DataFrame, order: list, sums: dict[str, Column], by: list[str] = (),
+            keep_range: bool = False) -> DataFrame:
     """Exclusive running sums (``name``) and group totals (``name_total``) of a ranged table.
 
     ``df`` carries the range column, whose order agrees with ``order``.
@@ -61,12 +62,26 @@ def running(df: DataFrame, order: list, sums: dict[str, Column], by: list[str] =
     ranged = df.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"__{n}_loc") for n, c in sums.items()])
     joined = ranged.join(offsets, keys)
     out = joined.select(
-        *[F.col(c) for c in df.columns if c != RANGE],
+        *[F.col(c) for c in df.columns if c != RANGE or keep_range],
         *[(F.col(f"__{n}_loc") + F.col(f"__{n}_off")).alias(n) for n in sums],
         *[F.col(f"{n}_total") for n in sums])
     return out
 
 
+def running_max(df: DataFrame, order: list, value: Column, by: list[str], name: str) -> DataFrame:
+    """Inclusive running maximum of a ranged table."""
+    by = list(by)
+    keys = [*by, RANGE]
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    staged = df.withColumn("__m", value)
+    offsets = staged.groupBy(*keys).agg(F.max("__m").alias("__part")).select(
+        *keys, F.max("__part").over(group.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)).alias("__off"))
+    local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = staged.withColumn("__loc", F.max("__m").over(local)).join(offsets, keys)
+    return joined.select(*[F.col(c) for c in df.columns if c != RANGE],
+                         F.greatest("__loc", F.coalesce("__off", "__loc")).alias(name))
+
+
 def positions(df: DataFrame, order: list[str], by: list[str] = (), name: str = "position") -> DataFrame:
     """0-based place of each row in its group; ``order[0]`` is numeric or a time."""
     ranged = with_ranges(df, order[0])
