@@ -48,10 +48,9 @@ def missing_ids(found: DataFrame, key: str, expected: int) -> DataFrame:
 
 def missing_report(missing: DataFrame, key: str, listed: int = 20) -> DataFrame:
     """How many are missing and the first few of them, in order."""
-    first = missing.orderBy(key).limit(listed).agg(F.array_sort(F.collect_list(key)).alias("examples"))
+    first = missing.orderBy(key).limit(listed).agg(F.array_sort(F.collect_list(key)))
     total = missing.agg(F.count(F.lit(1)).alias("n_missing"))
-    more = F.greatest(F.col("n_missing") - listed, F.lit(0))
-    return total.join(F.broadcast(first)).withColumn("n_more", more)
+    return total.select("n_missing", first.scalar().alias("examples"), F.greatest(F.col("n_missing") - listed, F.lit(0)).alias("n_more"))
 
 
 def dead_shard(missing: DataFrame, key: str, share: float = 0.8) -> DataFrame:
@@ -64,9 +63,9 @@ def dead_shard(missing: DataFrame, key: str, share: float = 0.8) -> DataFrame:
     nxt = placed.select((F.col("position") - 1).alias("position"), F.col(key).alias("__next"))
     gaps = placed.join(nxt, "position").groupBy((F.col("__next") - F.col(key)).alias("stride")).agg(F.count(F.lit(1)).alias("gaps"))
     top = gaps.orderBy(F.desc("gaps"), "stride").limit(1)
-    total = missing.agg(F.count(F.lit(1)).alias("n_missing"), F.min(key).alias("__first"))
-    return top.join(F.broadcast(total)).where((F.col("n_missing") > 2) & (F.col("gaps") > F.col("n_missing") * F.lit(share))) \
-        .select("stride", "gaps", "n_missing", F.pmod(F.col("__first"), F.col("stride")).alias("shard"))
+    total = missing.agg(F.struct(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))).scalar()
+    return top.select("stride", "gaps", total.alias("t")).where((F.col("t.n") > 2) & (F.col("gaps") > F.col("t.n") * F.lit(share))) \
+        .select("stride", "gaps", F.col("t.n").alias("n_missing"), F.pmod(F.col("t.first"), F.col("stride")).alias("shard"))
 
 
 def unpaired(found: DataFrame, partner: DataFrame, key: str) -> DataFrame:
