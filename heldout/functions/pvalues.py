@@ -5,10 +5,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _erfc(v: pd.Series) -> pd.Series:
     return v.map(lambda a: math.erfc(a) if a == a else float("nan")).astype("float64")
 

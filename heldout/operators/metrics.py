@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import cut
 from .ordering import running, with_ranges
 
 
@@ -42,7 +43,7 @@ def tied_scores(rows: DataFrame, by: list[str], y: str, score: str) -> DataFrame
     t = F.col(y).cast("int")
     counted = rows.groupBy(*by, F.col(score).cast("double").alias("__s")).agg(
         F.sum((t == 1).cast("long")).alias("pos"), F.sum((t == 0).cast("long")).alias("neg"))
-    return with_ranges(counted, "__s")
+    return with_ranges(cut(counted), "__s")
 
 
 def area(ranged: DataFrame, by: list[str], name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keyed import uniform
-from .common import parallelism
+from .common import cut, parallelism
 
 RANGE = "__range"
 
@@ -104,6 +104,6 @@ def value_ranks(df: DataFrame, value: str, by: list[str] = (), weight: Column |
     Counts are taken per value first, so a value held by most rows stays one row.
     """
     counted = df.groupBy(*by, value).agg(F.sum(weight if weight is not None else F.lit(1)).alias("ties"))
-    ranked = running(with_ranges(counted, value), [value], {"below": F.col("ties")}, by)
+    ranked = running(with_ranges(cut(counted), value), [value], {"below": F.col("ties")}, by)
     return ranked.withColumn("rank", F.col("below") + (F.col("ties") + 1) / F.lit(2.0)) \
         .withColumnRenamed("below_total", "n")

@@ -43,6 +43,19 @@ def membership(scenes: DataFrame, scene: str, seeds: list[int], n_folds: int = 5
         F.array(*[F.max(F.when(F.col("__seed") == s, F.col("__f"))) for s in seeds]).alias("folds"))
 
 
+def growing_membership(scenes: DataFrame, scene: str, seed: int, sizes: list[int], n_folds: int = 5,
+                       train_fraction: float = 0.8) -> DataFrame:
+    """(scene, folds) for one seed and several training sizes over the same held-out scenes.
+
+    Entry k trains on the first ``sizes[k]`` scenes of the shuffle; -2 marks scenes it leaves out.
+    """
+    placed = hash_positions(scenes.select(scene).distinct(), seed, scene)
+    n, p = F.col("position_total"), F.col("position")
+    n_train = F.greatest(F.lit(1), F.least(F.bround(F.lit(float(train_fraction)) * n).cast("long"), n - 1))
+    entry = lambda size: F.when(p >= n_train, F.lit(-1)).when(p < size, F.pmod(p, F.lit(n_folds))).otherwise(F.lit(-2)).cast("int")
+    return placed.select(scene, F.array(*[entry(s) for s in sizes]).alias("folds"))
+
+
 def with_folds(rows: DataFrame, scene: str, seeds: list[int], n_folds: int = 5, train_fraction: float = 0.8) -> DataFrame:
     return rows.join(small_side(membership(rows, scene, seeds, n_folds, train_fraction)), scene)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bootstrap as B
-from .common import finite, small_side
+from .common import cut, finite, small_side
 from .metrics import METRICS, balanced_accuracy, nan, present_recall, r2
 from .testing import difference_tests, holm, verdict
 
@@ -96,7 +96,7 @@ def compare_to_baseline(predictions: DataFrame, encoder: str, baseline: str, mar
 
     def side(frame, name, tag):
         rows = frame.where(F.col("encoder") == name)
-        best = best_cells(cell_scores(rows, CELL, classes), unit, rest)
+        best = cut(best_cells(cut(cell_scores(rows, CELL, classes)), unit, rest))
         picked = rows.join(small_side(best.withColumnRenamed("value", f"__v{tag}")), [*unit, *rest])
         return picked.select(*key, F.col("y_true").alias(f"y{tag}"), F.col("y_pred").alias(f"p{tag}"), f"__v{tag}")
 
@@ -104,12 +104,12 @@ def compare_to_baseline(predictions: DataFrame, encoder: str, baseline: str, mar
     b = side(baseline_predictions if baseline_predictions is not None else predictions, baseline, "b")
     if baseline_predictions is not None:
         b = b.drop("exp").withColumn("exp", F.lit(predictions.select("exp").first()[0]))
-    paired = a.join(b, key, "full_outer").persist()
+    paired = cut(a.join(b, key, "full_outer"))
     lonely = paired.where(F.col("pa").isNull() | F.col("pb").isNull()).limit(1).count()
     if lonely:
         raise RuntimeError("encoder and baseline were evaluated on different rows")
     is_class = F.col("target").isin(*classes)
-    observed = paired.groupBy(*unit).agg((F.max("__va") - F.max("__vb")).alias("observed"))
+    observed = cut(paired.groupBy(*unit).agg((F.max("__va") - F.max("__vb")).alias("observed")))
     names = {"a": "pa", "b": "pb"}
     r = B.resample(B.regression_sums(paired.where(~is_class), unit, "scene_index", "ya", names), unit, "scene_index", n_boot, 0)
     c = B.resample(B.confusion_sums(paired.where(is_class), unit, "scene_index", "ya", names), unit, "scene_index", n_boot, 0)
@@ -153,7 +153,7 @@ def paired_rows(predictions: DataFrame, encoder: str, targets, task: str = "tran
     b = rows.where(F.col("eval_condition") == base).select(*key, F.col("y_true").alias("y_base"), F.col("y_pred").alias("p_base"))
     o = rows.where(F.col("eval_condition") == other).select(*key, F.col("y_true").alias("y_occ"), F.col("y_pred").alias("p_occ"), "occlusion_fraction")
     scenes = o.select(*unit, "scene_index").distinct()
-    both = b.join(scenes, [*unit, "scene_index"], "left_semi").join(o, key, "full_outer").persist()
+    both = cut(b.join(scenes, [*unit, "scene_index"], "left_semi").join(o, key, "full_outer"))
     whole = both.groupBy(*unit).agg(F.bool_and(F.col("p_base").isNotNull() & F.col("p_occ").isNotNull()).alias("__ok")).where("__ok")
     return both.join(small_side(whole.drop("__ok")), unit)
 
@@ -176,7 +176,8 @@ def retained_skill(paired: DataFrame, unit: list[str], seed="seed", classes=CLAS
         F.count(F.lit(1)).cast("double").alias("n"), F.max("__var").alias("__var"),
         *[F.sum(F.pow(F.col(f"y_{s}").cast("double") - F.col(f"p_{s}"), 2)).alias(f"rss_{s}") for s in ("base", "occ")],
         *[F.sum(f(f"y_{s}", f"p_{s}", v)).alias(f"{k}_{s}") for s in ("base", "occ")
-          for k, f, v in (("tp", hit, 1), ("fn", miss, 1), ("tn", hit, 0), ("fp", miss, 0))]).persist()
+          for k, f, v in (("tp", hit, 1), ("fn", miss, 1), ("tn", hit, 0), ("fp", miss, 0))])
+    sums = cut(sums)
     stats = [c for c in sums.columns if c not in {*cell, "scene_index", "__var"}]
 
     def score(s: str) -> Column:
@@ -192,6 +193,7 @@ def retained_skill(paired: DataFrame, unit: list[str], seed="seed", classes=CLAS
     thick = (F.col("n") >= min_rows) & (F.col("n_scenes") >= min_scenes)
     point = total.select(*cell, F.col("n").cast("long").alias("n_rows"), thick.alias("__thick"),
                          ratio.alias("value"), F.col("__b").alias("base_value"), "__var")
+    point = cut(point)
     drawn = B.resample(sums.drop("__var"), cell, "scene_index", n_boot, F.col(seed) if seed in unit else 0)
     drawn = drawn.join(small_side(point.select(*cell, "__var")), cell).withColumn("__b", score("base")).withColumn("__o", score("occ"))
     spread = B.interval(drawn.select(*cell, "b", ratio.alias("sample")), cell)

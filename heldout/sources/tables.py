@@ -79,7 +79,6 @@ def pair_lines(pairs: DataFrame) -> DataFrame:
     e = F.regexp_extract(digits, "e([+-][0-9]+)$", 1).cast("int")
     trim = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     mantissa = trim(F.regexp_extract(digits, "^(.*)e", 1))
-    fixed = trim(F.format_string("%.10f", F.round("p_holm", 10)))
     shown = F.when(F.col("p_holm") == 0, F.lit("0")).when(e < -4, F.concat(mantissa, F.lit("e-"), F.lpad(F.abs(e).cast("string"), 2, "0"))) \
         .otherwise(trim(F.format_string("%.10f", digits.cast("double"))))
     return pairs.select("a", "b", "group_a", "group_b", F.format_string("%.6f", F.col("rho")).alias("rho"), shown.alias("p_holm"),
