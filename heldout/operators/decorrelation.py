@@ -8,11 +8,12 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.pvalues import fisher_z_p
-from .common import BROADCAST_ROWS
+from .common import BROADCAST_ROWS, cut
 from .moments import scatter
 from .ordering import value_ranks
 from .testing import holm
 
+NARROW = 1000                        # distinct values that always map by broadcast
 MIN_SCENES = 1000                    # fixed value: fewest scenes that make the bound meaningful
 
 
@@ -41,23 +42,25 @@ def expand_factors(factors) -> list[Expanded]:
     return [e for f in factors for e in expand(f.name, f.group, f.kind, f.levels)]
 
 
-def average_ranks(rows: DataFrame, names: list[str], bound: int = BROADCAST_ROWS) -> DataFrame:
+def average_ranks(rows: DataFrame, names: list[str]) -> DataFrame:
     """(column, value, ties, below, n, rank) of all columns, from one pass over the rows."""
     cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(names)])
     melted = rows.select(F.explode(cells).alias("c")).select("c.*")
     return value_ranks(melted, "value", ["column"])
 
 
-def rank_columns(rows: DataFrame, names: list[str], keep: list[str] = (), key: str | None = None) -> DataFrame:
+def rank_columns(rows: DataFrame, names: list[str], keep: list[str] = (), key: str | None = None,
+                 bound: int = BROADCAST_ROWS) -> DataFrame:
     """Replaces each named column by its average rank.
 
     A column with few distinct values maps through a broadcast table of counted
     size.  With a row key, all other columns share two shuffles: out to
     (column, value) and back to the key; without one each takes its own join.
     """
-    table = average_ranks(rows, names).persist()
+    table = cut(average_ranks(rows, names))
     sizes = {r["column"]: r["count"] for r in table.groupBy("column").count().collect()}
-    wide = [i for i in range(len(names)) if sizes.get(i, 0) > BROADCAST_ROWS]
+    limit = min(bound, NARROW) if key else bound
+    wide = [i for i in range(len(names)) if sizes.get(i, 0) > limit]
     out = rows.select(*keep, *([key] if key else []), *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(names)])
     for i in range(len(names)):
         if i not in wide or not key:
@@ -79,7 +82,7 @@ def spearman(rows: DataFrame, names: list[str], key: str | None = None) -> DataF
     n = rows.count()
     ranked = rank_columns(rows, names, key=key)
     z = ranked.select(F.array(*[F.col(f"`{c}`") - F.lit((n + 1) / 2.0) for c in names]).alias("z"))
-    gram = scatter(z, "z").select("i", F.posexplode("row").alias("j", "s")).persist()
+    gram = cut(scatter(z, "z").select("i", F.posexplode("row").alias("j", "s")))
     diagonal = gram.where("i = j").select("i", F.col("s").alias("d"))
     pairs = gram.where("i <= j").join(F.broadcast(diagonal), "i") \
         .join(F.broadcast(diagonal.select(F.col("i").alias("j"), F.col("d").alias("e"))), "j")
@@ -99,8 +102,7 @@ def audit_pairs(rows: DataFrame, columns: list[Expanded], key: str | None = None
     pairs = rho.select("i", "j", "a", "b", lookup("group", "i").alias("group_a"), lookup("group", "j").alias("group_b"),
                        (lookup("factor", "i") != lookup("factor", "j")).alias("__other"), "rho", "n")
     counted = F.col("__other") & (F.col("group_a") != F.col("group_b")) if cross_group_only else F.col("__other")
-    pairs = pairs.withColumn("considered", counted).drop("__other") \
-        .withColumn("p", fisher_z_p(F.col("rho"), F.col("n"))).persist()
+    pairs = cut(pairs.withColumn("considered", counted).drop("__other").withColumn("p", fisher_z_p(F.col("rho"), F.col("n"))))
     adjusted = holm(pairs.where("considered"), "p", ["considered"]).select("i", "j", "p_holm")
     return pairs.join(adjusted, ["i", "j"], "left").withColumn("p_holm", F.coalesce("p_holm", F.lit(1.0)))
 

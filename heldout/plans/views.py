@@ -110,7 +110,7 @@ def features(spark: SparkSession, folder: str, dims: int | None = None) -> DataF
 def factor_rows(spark: SparkSession, folder: str) -> DataFrame:
     li = table(spark, folder, "lineitem")
     return li.select("l_quantity", "l_discount", "l_tax", F.col("l_linenumber").cast("double").alias("l_linenumber"),
-                     "l_extendedprice", "l_returnflag", (F.dayofyear("l_shipdate") / F.lit(366.0)).alias("l_dayhue"))
+                     "l_extendedprice", "l_returnflag", ((F.dayofyear("l_shipdate") + F.lit(0.3)) / F.lit(367.0)).alias("l_dayhue"))
 
 
 FACTOR_COLUMNS = lambda: [
