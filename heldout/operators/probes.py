@@ -193,11 +193,12 @@ def linear_scores(x: Column, fits: list[LinearFit]) -> Column:
 
 def _seed_scalers(rows: DataFrame, x: str, folds: str, n_seeds: int):
     v = array_to_vector(F.col(x).cast("array<double>"))
-    row = rows.agg(*[Summarizer.metrics("mean", "variance", "weightSum").summary(
-        v, (F.col(folds)[s] >= 0).cast("double")).alias(f"s{s}") for s in range(n_seeds)]).first()
+    train = [(F.col(folds)[s] >= 0).cast("double") for s in range(n_seeds)]
+    row = rows.agg(*[Summarizer.metrics("mean", "variance").summary(v, train[s]).alias(f"s{s}") for s in range(n_seeds)],
+                   *[F.sum(train[s]).alias(f"n{s}") for s in range(n_seeds)]).first()
     out = []
     for s in range(n_seeds):
-        n = row[f"s{s}"]["weightSum"]
+        n = row[f"n{s}"]
         sd = np.sqrt(np.clip(np.array(row[f"s{s}"]["variance"].toArray()) * (n - 1) / n, 0, None))
         out.append((np.array(row[f"s{s}"]["mean"].toArray()), np.where(sd < DEAD, 1.0, sd)))
     return out
