@@ -41,6 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows over the shuffle partitions and keep it so.
+
+    For work that is heavy per small row: adaptive merging by bytes would leave it
+    to few tasks.
+    """
+    return df.repartition(parallelism(df.sparkSession), *keys)
+
+
 def finite(c: Column) -> Column:
     """Null in place of NaN and infinities, so that aggregates skip them."""
     c = c.cast("double")

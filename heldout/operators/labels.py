@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import cut, small_side
 from .moments import matrix_of
 from .ordering import positions
 
@@ -81,9 +82,9 @@ def capture_steps(trace: DataFrame, scene: str, step: str, flag: str, speed: str
     rest = F.least(F.lit(round(REST_SECONDS / dt)), final)
     span = F.col("__first") - rest
     after = F.least(F.col("__last") + round(AFTER_SECONDS / dt), final)
-    facts = facts.join(thirds, scene).withColumn("__after", after)
+    facts = cut(facts.join(thirds, scene).withColumn("__after", after))
     still = trace.select(scene, at.alias(step), speed).where(F.col(speed) < SETTLED_SPEED) \
-        .join(facts.select(scene, "__after"), scene).where(F.col(step) >= F.col("__after")) \
+        .join(small_side(facts.select(scene, "__after")), scene).where(F.col(step) >= F.col("__after")) \
         .groupBy(scene).agg(F.min(step).alias("__still"))
     facts = facts.join(still, scene, "left")
     settle = F.least(F.coalesce(F.col("__still"), final), final)
@@ -134,8 +135,7 @@ def phase(frame: Column) -> Column:
 def frame_targets(trace: DataFrame, steps: DataFrame, factors: DataFrame, scene: str, step: str, dt: float) -> DataFrame:
     """Trace rows at the chosen steps, with phase, time and the scene's factors."""
     picked = steps.where("ok").select(scene, F.col("slot").alias("frame_index"), "step_index")
-    rows = picked.join(trace, (picked[scene] == trace[scene]) & (picked["step_index"] == trace[step])) \
-        .drop(trace[scene]).drop(trace[step])
+    rows = trace.withColumnRenamed(step, "step_index").join(picked, [scene, "step_index"])
     labelled = rows.withColumn("phase", phase(F.col("frame_index"))).withColumn("time", F.col("step_index") * F.lit(dt))
     out = labelled.join(factors, scene)
     return out.withColumn("log_mass", F.log("mass")) if "mass" in factors.columns else out

@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .common import parallelism
+
 
 def matrix_of(column: pa.Array) -> np.ndarray:
     """Rows of a list column as a 2-d array; refuses nulls and ragged rows."""
@@ -28,8 +30,13 @@ def matrix_of(column: pa.Array) -> np.ndarray:
 
 
 def few_tasks(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Merge scan splits without a shuffle, so partial matrices grow with cores, not with data."""
-    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism * per_core)
+    """Merge scan splits without a shuffle, so partial matrices grow with cores, not with data.
+
+    Under dynamic allocation the cores counted now may be few, so the shuffle
+    setting is a lower bound.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism * per_core, parallelism(spark)))
 
 
 def sum_rows(partials: DataFrame, by: list[str], vector: str = "row") -> DataFrame:

@@ -3,6 +3,9 @@
 A window without a fine partition key sends a whole group to one task.  Here
 rows are cut into value ranges first; each range is summed on its own and shifted
 by the totals of the ranges before it, which are one row per (group, range).
+Ranges come from quantiles of the first order column, so that column should not
+repeat one value over much of the table; where values do repeat, the callers
+count them first and rank the distinct ones.
 """
 from __future__ import annotations
 
@@ -30,7 +33,7 @@ def with_ranges(df: DataFrame, order: str, n_ranges: int | None = None) -> DataF
     if len(splits) == 2:
         splits = [-float("inf"), 0.0, float("inf")]
     out = Bucketizer(splits=splits, inputCol="__v", outputCol=RANGE, handleInvalid="keep").transform(staged)
-    return out.withColumn(RANGE, F.col(RANGE).cast("int")).drop("__v")
+    return out.withColumn(RANGE, F.coalesce(F.col(RANGE).cast("int"), F.lit(-1))).drop("__v")
 
 
 def _is_time(df: DataFrame, name: str) -> bool:
@@ -40,14 +43,15 @@ def _is_time(df: DataFrame, name: str) -> bool:
 def with_hash_ranges(df: DataFrame, u: str, n_ranges: int | None = None) -> DataFrame:
     """As ``with_ranges`` for a column already uniform on [0, 1): no quantile pass."""
     n = n_ranges or parallelism(df.sparkSession)
-    return df.withColumn(RANGE, F.floor(F.col(u) * n).cast("int"))
+    return df.withColumn(RANGE, F.coalesce(F.floor(F.col(u) * n).cast("int"), F.lit(-1)))
 
 
 def running(df: DataFrame, order: list, sums: dict[str, Column], by: list[str] = (),
             keep_range: bool = False) -> DataFrame:
     """Exclusive running sums (``name``) and group totals (``name_total``) of a ranged table.
 
-    ``df`` carries the range column, whose order agrees with ``order``.
+    ``df`` carries the range column, whose order agrees with ``order``; rows whose
+    order value is null come first.  Group columns must not be null.
     """
     by = list(by)
     keys = [*by, RANGE]

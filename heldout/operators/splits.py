@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_side
+from .common import cut, small_side
 from .ordering import hash_positions, positions
 
 CONTROL_OFFSET = 9973                # fixed value: the control's seed is the probe's plus this
@@ -54,17 +54,16 @@ def shuffled_labels(rows: DataFrame, scene: str, frame: str, labels: list[str],
     All labels of a row move together.
     """
     seed = seed + CONTROL_OFFSET
-    scenes = rows.select(scene).distinct()
-    taker = positions(scenes, [scene], name="turn").select(scene, "turn")
-    giver = hash_positions(scenes, seed, scene, name="turn").select(F.col(scene).alias("__donor"), "turn")
-    pairing = taker.join(giver, "turn").select(scene, "__donor")
+    scenes = cut(rows.groupBy(scene).agg(F.count(F.lit(1)).alias("__size")))
+    taker = positions(scenes.select(scene), [scene], name="turn").select(scene, "turn")
+    giver = hash_positions(scenes, seed, scene, name="turn").select(F.col(scene).alias("__donor"), "__size", "turn")
+    pairing = cut(taker.join(giver, "turn").select(scene, "__donor", "__size"))
     donors = positions(rows.select(scene, frame, *labels), [frame], [scene], name="__at").select(
-        F.col(scene).alias("__donor"), F.col("__at"), F.col("__at_total").alias("__size"), *labels)
-    sizes = rows.groupBy(scene).agg(F.count(F.lit(1)).alias("__size")).withColumnRenamed(scene, "__donor")
+        F.col(scene).alias("__donor"), F.col("__at"), *labels)
     places = hash_positions(rows.select(scene, frame), seed, [scene, frame], [scene], name="__at")
-    wanted = places.join(small_side(pairing.join(sizes, "__donor")), scene) \
+    wanted = places.join(small_side(pairing), scene) \
         .select(scene, frame, "__donor", F.pmod(F.col("__at"), F.col("__size")).alias("__at"))
-    return wanted.join(donors.drop("__size"), ["__donor", "__at"]).select(scene, frame, *labels)
+    return wanted.join(donors, ["__donor", "__at"]).select(scene, frame, *labels)
 
 
 def selectivity(real: DataFrame, control: DataFrame, on: list[str], value: str = "value") -> DataFrame:

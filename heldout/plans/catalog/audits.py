@@ -12,7 +12,7 @@ from ...operators.sampling import sample_factors
 from ...sources import manifest, tables
 from .. import views as V
 from .registry import FEATURES, FRAMES, HALVES, PLAIN, PREDICTIONS, query
-from .sampling import FACTORS
+from .sampling import FACTORS, SPEARMAN, tested
 
 R6 = lambda c: F.round(F.col(c), 6).alias(c)
 
@@ -251,6 +251,16 @@ def scan_features(spark, d):
     return back.select("scene_index", "frame_index", F.col("x")[0].alias("x1"), F.col("x")[63].alias("x64"))
 
 
+@query("scan_patches", f"WITH {FEATURES} SELECT scene_index, frame_index, CAST(p AS INT) AS patch_index, round(CAST(x[p * 16 + 1] AS DOUBLE), 6) AS x1 FROM features, range(4) r(p)")
+def scan_patches(spark, d):
+    path = _scratch(spark, "patches")
+    pieces = [F.struct(F.lit(p).alias("patch_index"), F.slice("x", p * 16 + 1, 16).alias("x")) for p in range(4)]
+    f = V.features(spark, d).select(F.lit("embed").alias("encoder"), F.lit("base").alias("condition"), F.lit(8).alias("layer"),
+                                    "scene_index", "frame_index", F.explode(F.array(*pieces)).alias("p")).select("encoder", "condition", "layer", "scene_index", "frame_index", "p.*")
+    f.write.partitionBy("encoder", "condition", "layer").parquet(path)
+    return tables.patches(spark, path, "embed", "base", 8).select("scene_index", "frame_index", "patch_index", F.round(F.col("x")[0], 6).alias("x1"))
+
+
 @query("scan_targets", f"WITH {HALVES} SELECT scene_index, frame_index, value FROM base_half WHERE scene_index % 3 = 0")
 def scan_targets(spark, d):
     a, b = V.halves(spark, d)
@@ -297,7 +307,7 @@ def json_report(spark, d):
     return tables.json_rows(s)
 
 
-@query("pair_csv")
+@query("pair_csv", f"WITH {tested(SPEARMAN)} SELECT a, b, group_a, group_b, printf('%.6f', rho) AS rho, format('{{:.6g}}', p_holm) AS p_holm, CAST(considered AS INT) AS considered FROM tests")
 def pair_csv(spark, d):
     from ...operators import decorrelation as D
     return tables.pair_lines(D.audit_pairs(V.factor_rows(spark, d), V.FACTOR_COLUMNS()))

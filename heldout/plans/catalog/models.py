@@ -74,7 +74,7 @@ fin AS (SELECT alpha, covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + alph
 
 def _line(spark, d):
     li = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("scene_index"), "l_linenumber", F.array(F.col("l_quantity")).alias("x"), F.col("l_extendedprice").alias("y"))
-    return P.with_folds(li, "scene_index", [0])
+    return cut(P.with_folds(li, "scene_index", [0]))
 
 
 @query("ridge_path", f"WITH {RIDGE} SELECT a, round(score, 6) AS cv_r2 FROM cv")

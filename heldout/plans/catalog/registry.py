@@ -22,6 +22,12 @@ def u(*keys) -> str:
             + ")), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0)")
 
 
+def erfc(x: str) -> str:
+    """Complementary error function by Simpson's rule over [x, x + 8]."""
+    h = 0.002
+    return (f"(SELECT 2 / sqrt(pi()) * {h} / 3 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-1 * power(({x}) + i * {h}, 2))) FROM range(4001) q(i))")
+
+
 PLAIN = """plain AS (SELECT user_id AS scene_index, ts, event_id, event_type, value,
   CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
   CASE WHEN event_type IN ('error', 'purchase') THEN 1 ELSE 0 END AS cls FROM events)"""

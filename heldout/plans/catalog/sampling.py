@@ -6,9 +6,9 @@ import math
 from pyspark.sql import functions as F
 
 from ...operators import decorrelation as D, sampling as P
-from ...operators.common import cut
+from ...operators.common import spread
 from .. import views as V
-from .registry import query, u
+from .registry import erfc, query, u
 
 SEED = 0
 R = lambda c, n=9: F.round(F.col(c), n).alias(c)
@@ -51,8 +51,21 @@ def _shown(n: str) -> str:
     return f"round({n}, 9) AS {n}" if n in DOUBLES else n
 
 
+def tested(rho: str) -> str:
+    """CTE ``tests``: p and adjusted p of a ``rho`` CTE with (a, b, rho, considered, n)."""
+    z = "abs(atanh(greatest(-0.999999, least(0.999999, rho))) * sqrt((n - 3) / 1.06)) / sqrt(2)"
+    return f"""{rho}, zs AS (SELECT *, {z} AS x FROM rho), ps AS (SELECT zs.*, least(1.0, {erfc('zs.x')}) AS p FROM zs),
+ks AS (SELECT *, count(*) OVER (PARTITION BY considered) AS m, row_number() OVER (PARTITION BY considered ORDER BY p, a, b) AS k FROM ps),
+tests AS (SELECT *, CASE WHEN considered THEN least(1.0, max((m - k + 1) * p) OVER (PARTITION BY considered ORDER BY p, a, b ROWS UNBOUNDED PRECEDING)) ELSE 1.0 END AS p_holm FROM ks)"""
+
+
+VERDICT = """SELECT max(n) AS n_scenes, round(max(abs(rho)) FILTER (considered), 6) AS max_abs_rho, arg_max(a, abs(rho)) FILTER (considered) AS worst_a,
+arg_max(b, abs(rho)) FILTER (considered) AS worst_b, count(*) FILTER (considered) AS n_pairs_considered, count(*) FILTER (considered AND p_holm < 0.01) AS n_significant_after_holm,
+max(abs(rho)) FILTER (considered) <= 0.10 AND count(*) FILTER (considered AND p_holm < 0.01) = 0 AS passed FROM tests"""
+
+
 def _factors(spark, d):
-    return P.sample_factors(V.table(spark, d, "orders").select("o_orderkey").distinct(), "o_orderkey", SEED)
+    return P.sample_factors(spread(V.table(spark, d, "orders").select("o_orderkey"), "o_orderkey").distinct(), "o_orderkey", SEED)
 
 
 @query("factor_table", f"WITH {FACTORS} SELECT scene_index, {', '.join(map(_shown, RANGES))} FROM factors")
@@ -125,20 +138,16 @@ def decorrelation_size(spark, d):
     return v.select("n_scenes", R("max_abs_rho", 6), "worst_a", "worst_b", "n_pairs_considered")
 
 
-@query("decorrelation_gate")
+@query("decorrelation_gate", f"WITH {tested(SPEARMAN)} {VERDICT}")
 def decorrelation_gate(spark, d):
-    return D.verdict(D.audit_pairs(V.factor_rows(spark, d), V.FACTOR_COLUMNS()))
+    v = D.verdict(D.audit_pairs(V.factor_rows(spark, d), V.FACTOR_COLUMNS()))
+    return v.withColumn("max_abs_rho", F.round("max_abs_rho", 6))
 
 
-@query("decorrelation_tests")
+@query("decorrelation_tests", f"WITH {tested(SPEARMAN)} SELECT a, b, round(rho, 6) AS rho, round(p, 6) AS p, round(p_holm, 6) AS p_holm, considered FROM tests")
 def decorrelation_tests(spark, d):
-    return D.audit_pairs(V.factor_rows(spark, d), V.FACTOR_COLUMNS()).select("a", "b", "rho", "p", "p_holm", "considered")
-
-
-@query("sampler_gate")
-def sampler_gate(spark, d):
-    """All 24 sampled factors, 32 columns, for the scenes of the orders table."""
-    return D.verdict(D.audit_pairs(_factors(spark, d), D.expand_factors(P.FACTORS), "scene_index"))
+    return D.audit_pairs(V.factor_rows(spark, d), V.FACTOR_COLUMNS()).select(
+        "a", "b", *[(F.round(c, 6) + 0.0).alias(c) for c in ("rho", "p", "p_holm")], "considered")
 
 
 @query("correlation_heat_map", f"""WITH {SPEARMAN}, sq AS (SELECT a, b, rho FROM rho UNION ALL SELECT b, a, rho FROM rho UNION ALL {' UNION ALL '.join(f"SELECT '{x[1]}', '{x[1]}', 1.0" for x in AUDIT)})
@@ -151,6 +160,35 @@ def correlation_heat_map(spark, d):
     return m.select("a", *[(F.round(F.col(f"`{n}`"), 6) + 0.0).alias(f"c{i}") for i, n in enumerate(names)])
 
 
+def _sampler_sql() -> str:
+    groups = {**dict.fromkeys(list(RANGES)[:3], "physical"), **dict.fromkeys(list(RANGES)[3:10], "layout")}
+    cols = []
+    for n, (kind, *_) in RANGES.items():
+        g = groups.get(n, "appearance")
+        if kind == "choice":
+            cols += [(f"{n}={v}", n, g, f"CAST({n} = '{v}' AS INT)") for v in ("box", "sphere", "cylinder")]
+        else:
+            cols.append((n, n, g, n))
+            if n.endswith("hue"):
+                cols += [(f"{n}_sin", n, g, f"sin(2 * pi() * {n})"), (f"{n}_cos", n, g, f"cos(2 * pi() * {n})")]
+    ranked = ", ".join(f"rank() OVER (ORDER BY {e}) + (count(*) OVER (PARTITION BY {e}) - 1) / 2.0 AS r{i}" for i, (_, _, _, e) in enumerate(cols))
+    melted = " UNION ALL ".join(f"SELECT scene_index, {i} AS c, r{i} AS r FROM rk" for i in range(len(cols)))
+    names = ", ".join(f"({i}, '{n}', '{f}', '{g}')" for i, (n, f, g, _) in enumerate(cols))
+    return f"""{FACTORS}, rk AS (SELECT scene_index, {ranked} FROM factors), ml AS ({melted}), nm(c, name, factor, grp) AS (VALUES {names}),
+cr AS (SELECT x.c AS i, y.c AS j, corr(x.r, y.r) AS rho, count(*) AS n FROM ml x JOIN ml y ON x.scene_index = y.scene_index AND x.c < y.c GROUP BY 1, 2),
+rho AS (SELECT p.name AS a, q.name AS b, rho, p.factor <> q.factor AND p.grp <> q.grp AS considered, n FROM cr JOIN nm p ON p.c = i JOIN nm q ON q.c = j)"""
+
+
+SAMPLER = f"WITH {tested(_sampler_sql())} {VERDICT}"
+
+
+@query("sampler_gate", SAMPLER)
+def sampler_gate(spark, d):
+    """All 24 sampled factors, 32 columns, for the scenes of the orders table."""
+    v = D.verdict(D.audit_pairs(_factors(spark, d), D.expand_factors(P.FACTORS), "scene_index"))
+    return v.withColumn("max_abs_rho", F.round("max_abs_rho", 6))
+
+
 DERIVED = ["mass", "friction_slide", "obj_radius", "obj_size", "floor_gray"]
 
 

@@ -139,7 +139,7 @@ control AS (SELECT w.scene_index, w.frame_index, d.value, d.cls FROM want w JOIN
 
 @query("label_control", CONTROL + " SELECT scene_index, frame_index, value, cls FROM control")
 def label_control(spark, d):
-    return S.shuffled_labels(V.frames(spark, d), "scene_index", "frame_index", ["value", "cls"], 0)
+    return S.shuffled_labels(cut(V.frames(spark, d)), "scene_index", "frame_index", ["value", "cls"], 0)
 
 
 @query("selectivity", CONTROL + """, j AS (SELECT f.scene_index % 5 AS cell, f.value AS real_y, c.value AS control_y, 0.8 * f.value + 0.3 * f.k AS p FROM frames f JOIN control c USING (scene_index, frame_index)),
