@@ -194,10 +194,10 @@ def half_precision(x: Column) -> Column:
     return rounded(x.cast("array<double>"))
 
 
-def pair_equality(base: DataFrame, other: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def pair_equality(base: DataFrame, other: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Per column: pairs compared and pairs that differ (nulls compare equal)."""
-    b = base.select(key, *[F.col(c).alias(f"__b_{c}") for c in columns])
-    both = other.select(key, *columns).join(b, key)
+    b = base.select(*keys, *[F.col(c).alias(f"__b_{c}") for c in columns])
+    both = other.select(*keys, *columns).join(b, keys)
     sums = both.agg(F.count(F.lit(1)).alias("n"), *[
         F.coalesce(F.sum((~F.col(c).eqNullSafe(F.col(f"__b_{c}"))).cast("long")), F.lit(0)).alias(c) for c in columns])
     cells = F.array(*[F.struct(F.lit(c).alias("factor"), F.col("n").alias("n_pairs"), F.col(c).alias("n_unequal")) for c in columns])

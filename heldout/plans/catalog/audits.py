@@ -9,9 +9,10 @@ from ...operators import audit as A, metrics as M
 from ...operators.common import cut, shared_folder
 from ...operators.probes import fit_ridge, linear_scores, with_folds
 from ...operators.sampling import sample_factors
+from ...operators.splits import scene_split
 from ...sources import manifest, tables
 from .. import views as V
-from .registry import FEATURES, FRAMES, HALVES, PLAIN, PREDICTIONS, query
+from .registry import FEATURES, FRAMES, HALVES, PLAIN, PREDICTIONS, query, split, u
 from .sampling import FACTORS, SPEARMAN, tested
 
 R6 = lambda c: F.round(F.col(c), 6).alias(c)
@@ -171,9 +172,6 @@ def gate_verdicts(spark, d):
     return A.gate_verdicts(c)
 
 
-from .registry import u  # noqa: E402
-
-
 @query("review_sample", f"""WITH {FRAMES}, r AS (SELECT *, row_number() OVER (PARTITION BY scene_index ORDER BY {u("'5|review'", 'scene_index', 'frame_index')}, scene_index, frame_index) AS rn, {u("5", "'review'", 'scene_index', 'frame_index')} AS uu FROM frames)
 SELECT scene_index, frame_index, printf('s%05d f%d %s', scene_index, frame_index, event_type) AS caption FROM r WHERE rn <= 2 ORDER BY uu, scene_index, frame_index LIMIT 20""")
 def review_sample(spark, d):
@@ -181,11 +179,11 @@ def review_sample(spark, d):
     return r.select("scene_index", "frame_index", F.format_string("s%05d f%d %s", "scene_index", "frame_index", "event_type").alias("caption"))
 
 
-@query("pair_equality", f"""WITH {HALVES}, a AS (SELECT * FROM base_half WHERE frame_index = 0), b AS (SELECT * FROM other_half WHERE frame_index = 0), j AS (SELECT a.event_type AS e1, b.event_type AS e2, a.cls AS c1, b.cls AS c2, a.scene_index AS s1 FROM a JOIN b USING (scene_index))
+@query("pair_equality", f"""WITH {HALVES}, j AS (SELECT a.event_type AS e1, b.event_type AS e2, a.cls AS c1, b.cls AS c2 FROM base_half a JOIN other_half b USING (scene_index, frame_index))
 SELECT 'event_type' AS factor, count(*) AS n_pairs, count(*) FILTER (e1 IS DISTINCT FROM e2) AS n_unequal FROM j UNION ALL SELECT 'cls', count(*), count(*) FILTER (c1 IS DISTINCT FROM c2) FROM j""")
 def pair_equality(spark, d):
     a, b = V.halves(spark, d)
-    return A.pair_equality(a.where("frame_index = 0"), b.where("frame_index = 0"), "scene_index", ["event_type", "cls"])
+    return A.pair_equality(a, b, ["scene_index", "frame_index"], ["event_type", "cls"])
 
 
 @query("pair_divergence", f"""WITH {HALVES} SELECT scene_index, count(*) AS n_rows, round(max(greatest(abs(a.value - b.value), abs(a.k - b.k))), 6) AS max_divergence,
@@ -213,13 +211,13 @@ def applied_equals_sampled(spark, d):
 
 # ---- sources and manifest -----------------------------------------------------
 
-HASHED = """units AS (SELECT o_orderkey AS unit, substr(sha256('{"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}'), 1, 12) AS config_hash, CAST(round(o_totalprice * 100) AS BIGINT) AS size FROM orders)"""
+HASHED = """units AS (SELECT o_orderkey AS unit, substr(sha256('{"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}'), 1, 12) AS config_hash, CAST(round(o_totalprice * 100) AS BIGINT) AS size, o_orderstatus AS status, o_orderpriority AS priority FROM orders)"""
 
 
 def _units(spark, d):
     o = V.table(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("unit"), tables.row_hash("o_orderpriority", "o_orderstatus").alias("config_hash"),
-                    F.round(F.col("o_totalprice") * 100).cast("long").alias("size"))
+                    F.round(F.col("o_totalprice") * 100).cast("long").alias("size"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
 
 
 @query("config_hash", f"WITH {HASHED} SELECT config_hash, count(*) AS n FROM units GROUP BY 1")
@@ -227,12 +225,13 @@ def config_hash(spark, d):
     return _units(spark, d).groupBy("config_hash").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("manifest_pending", f"""WITH {HASHED}, m AS (SELECT unit, CASE WHEN unit % 5 = 0 THEN 'stale' ELSE config_hash END AS config_hash, CASE WHEN unit % 7 = 0 THEN size + 1 ELSE size END AS size FROM units WHERE unit % 2 = 0)
+@query("manifest_pending", f"""WITH {HASHED}, m AS (SELECT unit, CASE WHEN priority = '1-URGENT' THEN 'stale' ELSE config_hash END AS config_hash, CASE WHEN size > 40000000 THEN size + 1 ELSE size END AS size FROM units WHERE status <> 'O')
 SELECT u.unit, u.config_hash FROM units u LEFT JOIN m ON m.unit = u.unit AND m.config_hash = u.config_hash AND m.size = u.size WHERE m.unit IS NULL""")
 def manifest_pending(spark, d):
     units = _units(spark, d)
-    held = units.where("unit % 2 = 0").select("unit", F.when(F.col("unit") % 5 == 0, F.lit("stale")).otherwise(F.col("config_hash")).alias("config_hash"),
-                                              F.when(F.col("unit") % 7 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"))
+    held = units.where("status <> 'O'").select(
+        "unit", F.when(F.col("priority") == "1-URGENT", F.lit("stale")).otherwise(F.col("config_hash")).alias("config_hash"),
+        F.when(F.col("size") > 40_000_000, F.col("size") + 1).otherwise(F.col("size")).alias("size"))
     return manifest.pending(units, held, ["unit"]).select("unit", "config_hash")
 
 
@@ -261,13 +260,13 @@ def scan_patches(spark, d):
     return tables.patches(spark, path, "embed", "base", 8).select("scene_index", "frame_index", "patch_index", F.round(F.col("x")[0], 6).alias("x1"))
 
 
-@query("scan_targets", f"WITH {HALVES} SELECT scene_index, frame_index, value FROM base_half WHERE scene_index % 3 = 0")
+@query("scan_targets", f"WITH {HALVES}, {split('plain', 1)} SELECT scene_index, frame_index, value FROM base_half WHERE scene_index IN (SELECT scene_index FROM split WHERE NOT is_train)")
 def scan_targets(spark, d):
     a, b = V.halves(spark, d)
     path = _scratch(spark, "targets")
     rows = a.withColumn("condition", F.lit("base")).unionByName(b.withColumn("condition", F.lit("occluded")))
     rows.withColumn("phase", F.lit("approach")).write.partitionBy("condition").parquet(path)
-    wanted = a.where("scene_index % 3 = 0").select("scene_index").distinct()
+    wanted = scene_split(V.plain_frames(spark, d), "scene_index", 1).where("not is_train")
     return tables.targets(spark, path, "base", wanted).select("scene_index", "frame_index", "value")
 
 

@@ -20,14 +20,14 @@ def feature_moments(spark, d):
     return _long(Mo.scatter(V.features(spark, d), "x"), "v").select("i", "j", R6("v"))
 
 
-FOLDED = f"{FEATURES}, {split('features', 2)}, {cells(8)}, f AS (SELECT c.*, CAST(pos % 5 AS INT) AS fold FROM cells c JOIN split USING (scene_index))"
+FOLDED = f"{FEATURES}, {split('features', 2)}, {cells()}, f AS (SELECT c.*, CAST(pos % 5 AS INT) AS fold FROM cells c JOIN split USING (scene_index))"
 
 
 @query("fold_moments", f"""WITH {FOLDED}, h AS (SELECT a.fold, a.i, b.i AS j, sum(a.v * b.v) AS held FROM f a JOIN f b USING (scene_index, frame_index) GROUP BY 1, 2, 3)
 SELECT fold, i, j, round(held, 6) AS held, round(sum(held) OVER (PARTITION BY i, j) - held, 6) AS train FROM h""")
 def fold_moments(spark, d):
     """Held-out moments per fold and the training moments by subtraction."""
-    x = V.features(spark, d, 8)
+    x = V.features(spark, d)
     rows = Sp.mark(x, Sp.grouped_folds(x, "scene_index", 5, 2), "scene_index")
     held = cut(_long(Mo.scatter(rows, "x", ["fold"]), "held"))
     total = held.groupBy("i", "j").agg(F.sum("held").alias("total"))

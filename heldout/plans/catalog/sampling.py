@@ -73,10 +73,10 @@ def factor_table(spark, d):
     return _factors(spark, d).select("scene_index", *[R(n) if n in DOUBLES else n for n in RANGES])
 
 
-@query("paired_conditions", f"""WITH {FACTORS}, c AS (SELECT 'base' AS condition, * FROM factors UNION ALL SELECT 'occluded', * FROM factors WHERE scene_index < 5000)
+@query("paired_conditions", f"""WITH {FACTORS}, c AS (SELECT 'base' AS condition, * FROM factors UNION ALL SELECT 'occluded', * FROM factors WHERE scene_index < (SELECT count(*) FROM customer))
 SELECT condition, printf('%s_%05d', condition, scene_index) AS scene_id, scene_index, round(mass, 9) AS mass, obj_geom_type FROM c""")
 def paired_conditions(spark, d):
-    both = P.with_conditions(_factors(spark, d), {"base": None, "occluded": 5000})
+    both = P.with_conditions(_factors(spark, d), {"base": None, "occluded": V.table(spark, d, "customer").count()})
     return both.select("condition", "scene_id", "scene_index", R("mass"), "obj_geom_type")
 
 

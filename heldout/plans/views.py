@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.common import small_side
+from ..operators.common import cut, small_side
 from ..operators.decorrelation import expand
 from ..operators.ordering import positions
 from ..operators.splits import scene_split
@@ -66,7 +66,7 @@ SEEDS = (0, 1)
 
 def predictions(spark: SparkSession, folder: str, seeds=SEEDS) -> DataFrame:
     """Held-out predictions of every readout: the scenes a seed does not train on."""
-    rows = frames(spark, folder)
+    rows = cut(frames(spark, folder))
     parts = []
     for s in seeds:
         held = small_side(scene_split(rows, "scene_index", s).where("not is_train").select("scene_index"))
@@ -85,8 +85,8 @@ def halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Frames before and from mid-month, numbered apart and cut to the common ones."""
     rows = plain_frames(spark, folder)
     early = F.col("ts") < F.lit(HALF_MONTH).cast("timestamp_ntz")
-    a = positions(rows.where(early), ["ts", "event_id"], ["scene_index"], name="frame_index").drop("frame_index_total")
-    b = positions(rows.where(~early), ["ts", "event_id"], ["scene_index"], name="frame_index").drop("frame_index_total")
+    place = lambda r: cut(positions(r, ["ts", "event_id"], ["scene_index"], name="frame_index").drop("frame_index_total"))
+    a, b = place(rows.where(early)), place(rows.where(~early))
     key = ["scene_index", "frame_index"]
     return a.join(b.select(*key), key, "left_semi"), b.join(a.select(*key), key, "left_semi")
 
@@ -100,11 +100,10 @@ def transfer_predictions(spark: SparkSession, folder: str) -> DataFrame:
     return b.unionByName(o).select(F.lit("E").alias("exp"), F.lit(0).alias("seed"), *cols, "occlusion_fraction", "r.*")
 
 
-def features(spark: SparkSession, folder: str, dims: int | None = None) -> DataFrame:
+def features(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "embeddings")
-    x = F.col("embedding") if dims is None else F.slice("embedding", 1, dims)
     return v.select(F.floor(F.col("vec_id") / 10).alias("scene_index"), (F.col("vec_id") % 10).alias("frame_index"),
-                    x.cast("array<double>").alias("x"), "label", (F.col("label") >= 5).cast("int").alias("cls"))
+                    F.col("embedding").cast("array<double>").alias("x"), "label", (F.col("label") >= 5).cast("int").alias("cls"))
 
 
 def factor_rows(spark: SparkSession, folder: str) -> DataFrame:
