@@ -53,7 +53,8 @@ def word_hashes(data: list[bytes]) -> list[np.ndarray]:
         edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
         starts, stops = edge[::2], edge[1::2]
         up, down = _powers(max(CHUNK, 1 << int(n).bit_length()))
-        sums = np.concatenate(([0], np.cumsum((_LOWER[raw].astype(np.uint64) + U(1)) * up[:n], dtype=np.uint64))).astype(np.uint64)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((_LOWER[raw].astype(np.uint64) + U(1)) * up[:n], dtype=np.uint64, out=sums[1:])
         hashes = mixed((sums[stops] - sums[starts]) * down[starts])
         bounds = np.cumsum([len(x) + 1 for x in data[i:j]])
         out += np.split(hashes, np.searchsorted(starts, bounds)[:-1])
