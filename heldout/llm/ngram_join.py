@@ -87,7 +87,7 @@ def _signatures(k: int):
                 rows["n"].append(len(s))
                 for name, value in zip(("s1", "s2"), signature(s)):
                     rows[name].append(value)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(rows[x], pa.int64()) for x in ("n", "s1", "s2"))], ["doc_id", "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(rows[x], pa.int64()) for x in ("n", "s1", "s2"))], ["doc_id", "n", "s1", "s2"])
     return run
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, ngram_join, sharding
+from . import langid, mixing, ngram_join, sharding
 from .shared import cut, documents
 
 QUERIES: dict = {}
@@ -59,3 +59,10 @@ SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
   CAST(CASE WHEN source_size > 0 THEN budget // source_size * size + greatest(0, least(size, budget - budget // source_size * source_size - start)) ELSE 0 END AS BIGINT) AS taken FROM p""")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(cut(mixing.sized(documents(spark, folder)).select("doc_id", "source", "size"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    languages, matrix = langid.learned(docs)
+    return langid.predict(docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "text"), languages, matrix, keep_text=False)

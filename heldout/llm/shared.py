@@ -33,3 +33,4 @@ def words_in(text: Column) -> Column:
 def unsigned32(c: Column) -> Column:
     """Spark's crc32 is already unsigned; null texts count as empty."""
     return F.crc32(F.coalesce(c, F.lit("")).cast("binary"))
+
