@@ -1,9 +1,10 @@
 """Registered queries of the corpus operators and their SQL twins."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mixing, ngram_join, sharding
+from . import bpe, langid, mixing, ngram_join, sharding
 from .shared import cut, documents
 
 QUERIES: dict = {}
@@ -66,3 +67,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     languages, matrix = langid.learned(docs)
     return langid.predict(docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "text"), languages, matrix, keep_text=False)
+
+
+@query("op9_byte_bpe")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
