@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, mixing, ngram_join, sharding
+from . import bpe, fingerprints, langid, mixing, ngram_join, sharding, token_files
 from .shared import cut, documents
 
 QUERIES: dict = {}
@@ -72,3 +72,13 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op6_weighted_sampling")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint(documents(spark, folder))
+
+
+@query("op2_elias_fano")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.read(spark, token_files.write(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json")))
