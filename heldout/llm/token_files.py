@@ -33,9 +33,9 @@ BLOCK_CHARS = 1 << 20
 READ_IDS = 1 << 20
 
 #: Letters and numbers of the first Unicode blocks, for texts that have no other characters; the word rule is the tokenizer file's.
-_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _NUMBER = "0-9²³¹¼-¾"
-_OTHER = re.compile("[^\t\n\r -~\xa0-įı-ɏ]")
+_OTHER = re.compile("[^\t\n\r -~\xa0-įı-ſ]")
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 
 
