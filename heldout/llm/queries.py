@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, langid, mixing, ngram_join, sharding, token_files
+from . import bpe, fingerprints, knn, langid, mixing, ngram_join, sharding, token_files
 from .shared import cut, documents
 
 QUERIES: dict = {}
@@ -82,3 +82,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_elias_fano")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(spark, token_files.write(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op7_kd_tree_top_k", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return knn.top(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
