@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, knn, langid, mixing, ngram_join, sharding, token_files
+from . import bpe, fingerprints, knn, langid, mixing, ngram_join, private, sharding, token_files
 from .shared import cut, documents
 
 QUERIES: dict = {}
@@ -91,3 +91,9 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return knn.top(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op3_private_spans")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return private.find(docs, private.learned(docs))
