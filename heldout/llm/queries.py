@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, knn, langid, mixing, ngram_join, private, sharding, token_files
+from . import bpe, fingerprints, knn, langid, line_dedup, mixing, ngram_join, private, sharding, token_files
 from .shared import cut, documents
 
 QUERIES: dict = {}
@@ -97,3 +97,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return private.find(docs, private.learned(docs))
+
+
+@query("op1_line_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup(documents(spark, folder).select("doc_id", "text"))
