@@ -278,7 +278,7 @@ def rewritten(text: str, spans: list[tuple[str, int, int]]):
     forms = {"phone": [re.sub(r"^\+[0-9]+[ -]", "", body), body.replace("+", "00", 1), re.sub("[() ]+", "-", body.lstrip("+")).strip("-")],
              "card": [".".join(body[i:i + 4] for i in range(0, len(body), 4)) if body.isdigit() else body.replace(" ", ".")],
              "email": [body.replace("@", "(at)"), body.replace("@", "[at]"), body.replace("@", " (at) ")], "ip": []}[kind]
-    wrong = {"card": body[:-1] + str((int(body[-1]) + 1) % 10), "ip": body.replace(".", ".9", 1) if len(body.split(".")[1]) == 3 else "3" + body.rjust(15, "1")[-15:]}.get(kind)
+    wrong = body[:-1] + str((int(body[-1]) + 1) % 10) if kind == "card" else "999" + body if kind == "ip" else ""
     if wrong and not base_spans(wrong):
         yield text[:a] + wrong + text[b:], []
     for form in forms:
