@@ -25,11 +25,11 @@ def fisher_z_p(rho: Column, n: Column) -> Column:
     return F.when(n <= 3, F.lit(1.0)).otherwise(two_sided_normal(F.when(n <= 3, F.lit(0.0)).otherwise(z)))
 
 
-def kolmogorov_p(d: float, n: int) -> float:
+def kolmogorov_p(d: float, n: int, method: str = "exact") -> float:
     """P(D_n >= d) for the one-sample statistic.
 
-    Exact by the matrix form of Marsaglia, Tsang and Wang (2003) while n is
-    small, else the limit law at Stephens' corrected argument.
+    ``exact``: the matrix form of Marsaglia, Tsang and Wang (2003), whose matrix has
+    2 n d rows. ``limit``: the limit law at Stephens' corrected argument, for tables.
     """
     if n <= 0 or d != d:
         return float("nan")
@@ -37,7 +37,9 @@ def kolmogorov_p(d: float, n: int) -> float:
         return 1.0
     if d >= 1.0:
         return 0.0
-    if n <= 500:
+    if method not in ("exact", "limit"):
+        raise ValueError("method is exact or limit")
+    if method == "exact":
         return float(min(1.0, max(0.0, 1.0 - _exact_cdf(d, n))))
     x = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * d
     j = np.arange(1, 101, dtype=float)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.keyed import uniform
 from ..functions.pvalues import kolmogorov_p
-from .common import finite
+from .common import cut, finite
 from .metrics import nan
 from .ordering import hash_positions, positions, running, with_ranges
 
@@ -92,6 +92,9 @@ def rule_problems(report: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 CORPUS_RULES = {                     # fixed values: bounds of a healthy corpus
+    "no_scenes": "n_found = 0",
+    "scenes_missing": "coalesce(n_missing, 0) > 0",
+    "scenes_unpaired": "coalesce(n_unpaired, 0) > 0",
     "distractor_touched": "distractor_touched > 0",
     "left_the_frame": "all_frames_in_frame < n_found - unreadable",
     "contact_rate_outside_band": "contact_positive_rate not between 0.25 and 0.55",
@@ -103,6 +106,13 @@ def corpus_rules() -> dict[str, Column]:
     return {n: F.expr(e) for n, e in CORPUS_RULES.items()}
 
 
+def completeness(report: DataFrame, missing: DataFrame | None = None, without_partner: DataFrame | None = None) -> DataFrame:
+    """A roll-up beside the number of missing scenes and of those without a counterpart; null where it was not asked."""
+    for name, rows in (("n_missing", missing), ("n_unpaired", without_partner)):
+        report = report.withColumn(name, F.lit(None).cast("long") if rows is None else rows.agg(F.count(F.lit(1))).scalar())
+    return report
+
+
 def _check(rows: DataFrame, name, value: Column, passed: Column) -> DataFrame:
     return rows.select(F.lit(name).alias("name"), value.cast("double").alias("value"), passed.cast("boolean").alias("passed"))
 
@@ -150,25 +160,34 @@ def ks_statistic(values: DataFrame, value: str, cdf) -> DataFrame:
     return run.agg(F.max(gap).alias("statistic"), F.coalesce(F.max(n), F.lit(0)).alias("n"))
 
 
-def ks_check(values: DataFrame, value: str, cdf, name: str, level: float = 0.01) -> DataFrame:
+def ks_check(values: DataFrame, value: str, cdf, name: str, level: float = 0.01, method: str = "limit") -> DataFrame:
     """The KS test as a check row; only (D, n) reaches the driver."""
     row = ks_statistic(values, value, cdf).first()
-    p = kolmogorov_p(row["statistic"] if row["statistic"] is not None else float("nan"), int(row["n"]))
-    return values.sparkSession.createDataFrame([(f"ks:{name}", p, bool(p > level))], "name string, value double, passed boolean")
+    p = kolmogorov_p(row["statistic"] if row["statistic"] is not None else float("nan"), int(row["n"]), method)
+    return values.sparkSession.createDataFrame([(f"ks:{name}", p, bool(p > level), row["statistic"], int(row["n"]))],
+                                               "name string, value double, passed boolean, statistic double, n long")
 
 
 def label_gate(frames: DataFrame, scene: str, frame: str, contact: str, support: str,
                distributions: dict[str, tuple], band=(0.25, 0.55)) -> DataFrame:
-    """All label checks in one table: rates, constancy, finiteness, per-scene distributions."""
+    """All label checks in one table: rates, constancy, finiteness, per-scene distributions with their statistic and n."""
     checks = rate_band(frames, contact, *band).unionByName(not_constant(frames, support)).unionByName(finite_checks(frames))
+    checks = checks.withColumn("statistic", F.lit(None).cast("double")).withColumn("n", F.lit(None).cast("long"))
     held = [c for c in distributions if c in frames.columns]
     if held:
-        first = first_frames(frames, scene, frame, held).persist()
+        first = cut(first_frames(frames, scene, frame, held))
         for c in held:
             checks = checks.unionByName(ks_check(first, c, distributions[c], c))
     return checks
 
 
+def label_report(checks: DataFrame, frames: DataFrame, scene: str) -> DataFrame:
+    """One row: the gate's verdict over its checks, frames, scenes and the checks themselves."""
+    said = checks.agg(F.coalesce(F.bool_and(F.coalesce("passed", F.lit(False))), F.lit(False)).alias("passed"), F.sort_array(F.collect_list(F.struct(*checks.columns))).alias("checks"))
+    size = frames.agg(F.struct(F.count(F.lit(1)).alias("f"), F.countDistinct(scene).alias("s"))).scalar()
+    return said.withColumn("__n", size).select("passed", F.col("__n.f").alias("n_frames"), F.col("__n.s").alias("n_scenes"), "checks")
+
+
 def gate_verdicts(checks: DataFrame, gate: str = "gate") -> DataFrame:
     """One verdict per gate: fail if any check failed, needs human if any is null, else pass."""
     v = checks.groupBy(gate).agg(F.sum((F.col("passed") == F.lit(False)).cast("int")).alias("f"),
@@ -195,23 +214,32 @@ def half_precision(x: Column) -> Column:
 
 
 def pair_equality(base: DataFrame, other: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Per column: pairs compared and pairs that differ (nulls compare equal)."""
-    b = base.select(*keys, *[F.col(c).alias(f"__b_{c}") for c in columns])
-    both = other.select(*keys, *columns).join(b, keys)
-    sums = both.agg(F.count(F.lit(1)).alias("n"), *[
-        F.coalesce(F.sum((~F.col(c).eqNullSafe(F.col(f"__b_{c}"))).cast("long")), F.lit(0)).alias(c) for c in columns])
-    cells = F.array(*[F.struct(F.lit(c).alias("factor"), F.col("n").alias("n_pairs"), F.col(c).alias("n_unequal")) for c in columns])
+    """Per column: pairs compared, pairs that differ (nulls compare equal) and rows on one side only; passed if there are neither."""
+    b = base.select(*keys, *[F.col(c).alias(f"__b_{c}") for c in columns], F.lit(1).alias("__b"))
+    both = other.select(*keys, *columns, F.lit(1).alias("__o")).join(b, keys, "full_outer")
+    pair = F.col("__b").isNotNull() & F.col("__o").isNotNull()
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    sums = both.agg(count(pair).alias("__n"), count(~pair).alias("__lonely"), *[
+        count(pair & ~F.col(c).eqNullSafe(F.col(f"__b_{c}"))).alias(c) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("factor"), F.col("__n").alias("n_pairs"), F.col(c).alias("n_unequal"), F.col("__lonely").alias("n_one_sided"),
+                               ((F.col(c) == 0) & (F.col("__lonely") == 0) & (F.col("__n") > 0)).alias("passed")) for c in columns])
     return sums.select(F.explode(cells).alias("r")).select("r.*")
 
 
 def divergence(base: DataFrame, other: DataFrame, keys: list[str], columns: list[str], scene: str, bound: float) -> DataFrame:
-    """Per scene: the largest absolute difference over matched rows, and whether it passes the bound."""
+    """Per scene: the largest absolute difference over matched rows, rows without a partner or value, and whether it diverged.
+
+    A scene diverges beyond the bound, or if any of its rows could not be compared.
+    """
     b = base.select(*keys, *[F.col(c).alias(f"__b_{c}") for c in columns])
     gaps = [F.abs(F.col(c) - F.col(f"__b_{c}")) for c in columns]
     worst = F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
-    return other.select(*keys, *columns).join(b, keys).groupBy(scene).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max(worst).alias("max_divergence")) \
-        .withColumn("diverged", F.col("max_divergence") > bound)
+    open_ = finite(gaps[0]).isNull()
+    for g in gaps[1:]:
+        open_ = open_ | finite(g).isNull()
+    return other.select(*keys, *columns).join(b, keys, "full_outer").groupBy(scene).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(F.when(~open_, worst)).alias("max_divergence"), F.sum(open_.cast("long")).alias("n_uncompared")) \
+        .withColumn("diverged", (F.col("n_uncompared") > 0) | (F.col("max_divergence") > bound))
 
 
 def determinism(first: DataFrame, again: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-6) -> DataFrame:
@@ -220,14 +248,16 @@ def determinism(first: DataFrame, again: DataFrame, keys: list[str], columns: li
     b = again.select(*keys, *[F.col(c).cast("double").alias(f"b_{c}") for c in columns], F.lit(1).alias("__b"))
     gap = F.greatest(*[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns], F.lit(0.0))
     out = a.join(b, keys, "full_outer").agg(
-        F.sum((F.col("__a").isNull() | F.col("__b").isNull()).cast("long")).alias("one_sided"), F.max(gap).alias("max_difference"))
+        F.coalesce(F.sum((F.col("__a").isNull() | F.col("__b").isNull()).cast("long")), F.lit(0)).alias("one_sided"), F.coalesce(F.max(gap), F.lit(0.0)).alias("max_difference"))
     return out.withColumn("passed", (F.col("one_sided") == 0) & (F.col("max_difference") <= tolerance))
 
 
 def applied_equals_sampled(sampled: DataFrame, recorded: DataFrame, key: str, column: str, tolerance: float = 1e-6) -> DataFrame:
+    """One row over all scenes of either side; a scene without a record or with a missing value fails the check."""
     gap = F.abs(F.col("__s") - F.col("__r"))
     both = sampled.select(key, F.col(column).cast("double").alias("__s")).join(
-        recorded.select(key, F.col(column).cast("double").alias("__r")), key)
-    out = both.agg(F.count(F.lit(1)).alias("n_scenes"), F.max(gap).alias("max_difference"),
-                   F.sum((gap > tolerance).cast("long")).alias("n_wrong"))
-    return out.withColumn("passed", F.col("n_wrong") == 0)
+        recorded.select(key, F.col(column).cast("double").alias("__r")), key, "full_outer")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    known = finite(gap)
+    out = both.agg(F.count(F.lit(1)).alias("n_scenes"), F.max(known).alias("max_difference"), count(known > tolerance).alias("n_wrong"), count(known.isNull()).alias("n_missing"))
+    return out.withColumn("passed", (F.col("n_scenes") > 0) & (F.col("n_wrong") == 0) & (F.col("n_missing") == 0))

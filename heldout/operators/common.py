@@ -6,21 +6,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-BROADCAST_ROWS = 200_000
-
 
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the rows; beyond the bound the join shuffles.
-
-    The count reads one row past the bound and no further.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a private one only in local mode without any."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -57,3 +47,8 @@ def finite(c: Column) -> Column:
     c = c.cast("double")
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(c)
 
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation as an aggregate; null where a column is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+

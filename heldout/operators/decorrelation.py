@@ -8,12 +8,11 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.pvalues import fisher_z_p
-from .common import BROADCAST_ROWS, cut
+from .common import cut
 from .moments import scatter
 from .ordering import value_ranks
 from .testing import holm
 
-NARROW = 1000                        # distinct values that always map by broadcast
 MIN_SCENES = 1000                    # fixed value: fewest scenes that make the bound meaningful
 
 
@@ -49,36 +48,34 @@ def average_ranks(rows: DataFrame, names: list[str]) -> DataFrame:
     return value_ranks(melted, "value", ["column"])
 
 
-def rank_columns(rows: DataFrame, names: list[str], keep: list[str] = (), key: str | None = None,
-                 bound: int = BROADCAST_ROWS) -> DataFrame:
+def rank_columns(rows: DataFrame, names: list[str], keep: list[str] = (), key: str | None = None) -> DataFrame:
     """Replaces each named column by its average rank.
 
-    A column with few distinct values maps through a broadcast table of counted
-    size.  With a row key, all other columns share two shuffles: out to
-    (column, value) and back to the key; without one each takes its own join.
+    All columns share two shuffles: out to (column, value) and back to the row key.
+    Rows without a key are written once and numbered there.
     """
+    if key is None:
+        key = "__row"
+        rows = cut(rows).withColumn(key, F.monotonically_increasing_id())
+        rows = cut(rows)
     table = cut(average_ranks(rows, names))
-    sizes = {r["column"]: r["count"] for r in table.groupBy("column").count().collect()}
-    limit = min(bound, NARROW) if key else bound
-    wide = [i for i in range(len(names)) if sizes.get(i, 0) > limit]
-    out = rows.select(*keep, *([key] if key else []), *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(names)])
-    for i in range(len(names)):
-        if i not in wide or not key:
-            ranks = table.where(F.col("column") == i).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
-            out = out.join(ranks if i in wide else F.broadcast(ranks), f"v{i}")
-    if wide and key:
-        cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"v{i}").alias("value")) for i in wide])
-        back = out.select(key, F.explode(cells).alias("c")).select(key, "c.*").join(table, ["column", "value"]) \
-            .groupBy(key).agg(*[F.max(F.when(F.col("column") == i, F.col("rank"))).alias(f"r{i}") for i in wide])
-        out = out.join(back, key)
-    return out.select(*keep, *[F.col(f"r{i}").alias(c) for i, c in enumerate(names)])
+    cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(names)])
+    back = rows.select(key, F.explode(cells).alias("c")).select(key, "c.*").join(table, ["column", "value"]) \
+        .groupBy(key).agg(*[F.max(F.when(F.col("column") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(names))])
+    if keep:
+        back = rows.select(key, *keep).join(back, key)
+    return back.select(*keep, *[F.col(f"r{i}").alias(c) for i, c in enumerate(names)])
 
 
 def spearman(rows: DataFrame, names: list[str], key: str | None = None) -> DataFrame:
     """(i, j, a, b, rho, n) for i <= j.  A constant column has rho 0, and 1 with itself.
 
+    Rows with a null or NaN in any of the columns are left out, and n counts the rest.
     Average ranks have mean (n + 1) / 2 exactly, so centring costs no pass.
     """
+    for c in names:
+        value = F.col(f"`{c}`").cast("double")
+        rows = rows.where(value.isNotNull() & ~F.isnan(value))
     n = rows.count()
     ranked = rank_columns(rows, names, key=key)
     z = ranked.select(F.array(*[F.col(f"`{c}`") - F.lit((n + 1) / 2.0) for c in names]).alias("z"))
@@ -107,6 +104,11 @@ def audit_pairs(rows: DataFrame, columns: list[Expanded], key: str | None = None
     return pairs.join(adjusted, ["i", "j"], "left").withColumn("p_holm", F.coalesce("p_holm", F.lit(1.0)))
 
 
+def gate_scenes(requested: int, least: int = MIN_SCENES) -> int:
+    """Scenes to draw for a gate: at least so many that the bound is no noise; the report keeps the requested number beside it."""
+    return max(int(requested), int(least))
+
+
 def verdict(pairs: DataFrame, threshold: float = 0.10, alpha: float = 0.01) -> DataFrame:
     """Passes when no considered pair is large and none significant."""
     c = F.col("considered")

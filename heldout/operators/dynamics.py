@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .common import correlation, finite
 from .metrics import nan
 from .ordering import positions
 from .probes import fit_ridge, linear_scores
@@ -69,7 +70,6 @@ def predictability(moves: DataFrame, scene: str, folds: str, seeds: list[int]) -
 
 def correlation_over_cells(cells: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson over cells where both are finite; NaN below three of them."""
-    from .common import finite
     both = cells.select(finite(F.col(a)).alias("a"), finite(F.col(b)).alias("b")).dropna()
-    return both.agg(F.count(F.lit(1)).alias("n_cells"), F.corr("a", "b").alias("__r")).select(
+    return both.agg(F.count(F.lit(1)).alias("n_cells"), correlation("a", "b").alias("__r")).select(
         "n_cells", F.when(F.col("n_cells") > 2, F.coalesce("__r", nan())).otherwise(nan()).alias("pearson"))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut, small_side
+from .common import correlation, cut, finite
 from .moments import matrix_of
 from .ordering import positions
 
@@ -40,10 +40,10 @@ def touch_flags(steps: DataFrame, contacts: DataFrame, keys: list[str], one: int
 
 
 def chunked(df: DataFrame, step: str, reach: int, chunk: int = CHUNK) -> DataFrame:
-    """Copies rows near a chunk border into the neighbour; ``home`` marks the original."""
+    """Copies rows into every chunk that they reach; ``home`` marks the original."""
     at = F.col(step).cast("long")
     home = F.floor(at / chunk)
-    spots = F.array_distinct(F.array(F.floor((at - reach) / chunk), home, F.floor((at + reach) / chunk)))
+    spots = F.sequence(F.floor((at - reach) / chunk), F.floor((at + reach) / chunk))
     return df.select("*", home.alias("__home"), F.explode(spots).alias("__chunk")) \
         .withColumn("home", F.col("__home") == F.col("__chunk")).drop("__home")
 
@@ -84,7 +84,7 @@ def capture_steps(trace: DataFrame, scene: str, step: str, flag: str, speed: str
     after = F.least(F.col("__last") + round(AFTER_SECONDS / dt), final)
     facts = cut(facts.join(thirds, scene).withColumn("__after", after))
     still = trace.select(scene, at.alias(step), speed).where(F.col(speed) < SETTLED_SPEED) \
-        .join(small_side(facts.select(scene, "__after")), scene).where(F.col(step) >= F.col("__after")) \
+        .join(facts.select(scene, "__after"), scene).where(F.col(step) >= F.col("__after")) \
         .groupBy(scene).agg(F.min(step).alias("__still"))
     facts = facts.join(still, scene, "left")
     settle = F.least(F.coalesce(F.col("__still"), final), final)
@@ -133,11 +133,11 @@ def phase(frame: Column) -> Column:
 
 
 def frame_targets(trace: DataFrame, steps: DataFrame, factors: DataFrame, scene: str, step: str, dt: float) -> DataFrame:
-    """Trace rows at the chosen steps, with phase, time and the scene's factors."""
+    """Trace rows at the chosen steps, with phase, time and the scene's factors, null where a scene has none."""
     picked = steps.where("ok").select(scene, F.col("slot").alias("frame_index"), "step_index")
     rows = trace.withColumnRenamed(step, "step_index").join(picked, [scene, "step_index"])
     labelled = rows.withColumn("phase", phase(F.col("frame_index"))).withColumn("time", F.col("step_index") * F.lit(dt))
-    out = labelled.join(factors, scene)
+    out = labelled.join(factors, scene, "left")
     return out.withColumn("log_mass", F.log("mass")) if "mass" in factors.columns else out
 
 
@@ -199,10 +199,10 @@ def covered_share(pixels: DataFrame, keys: list[str], target: Column, name: str
 def agreement(pairs: DataFrame, a: str, b: str, threshold: float = 0.95) -> DataFrame:
     """Correlation, differences, means and ranges of two estimators in one row."""
     gap = F.abs(F.col(a) - F.col(b))
-    row = pairs.agg(F.count(F.lit(1)).alias("n_measurements"), F.corr(a, b).alias("pearson_r"),
+    row = pairs.agg(F.count(F.lit(1)).alias("n_measurements"), F.coalesce(correlation(a, b), F.lit(float("nan"))).alias("pearson_r"),
                     F.avg(gap).alias("mean_abs_difference"), F.max(gap).alias("max_abs_difference"),
                     *[f(c).alias(f"{c}_{n}") for c in (a, b) for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))])
-    return row.withColumn("passed", F.coalesce(F.col("pearson_r") > threshold, F.lit(False)))
+    return row.withColumn("passed", F.coalesce(finite(F.col("pearson_r")) > threshold, F.lit(False)))
 
 
 def block_means(pixels: DataFrame, keys: list[str], height: int, width: int, side: int = 32) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import small_side
 from .moments import few_tasks, matrix_of, standardiser, sum_rows
 from .ordering import hash_positions
 
@@ -57,7 +56,7 @@ def growing_membership(scenes: DataFrame, scene: str, seed: int, sizes: list[int
 
 
 def with_folds(rows: DataFrame, scene: str, seeds: list[int], n_folds: int = 5, train_fraction: float = 0.8) -> DataFrame:
-    return rows.join(small_side(membership(rows, scene, seeds, n_folds, train_fraction)), scene)
+    return rows.join(membership(rows, scene, seeds, n_folds, train_fraction), scene)
 
 
 # ---- moments per (seed, fold) -----------------------------------------------

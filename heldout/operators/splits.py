@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, small_side
+from .common import cut
 from .ordering import hash_positions, positions
 
 CONTROL_OFFSET = 9973                # fixed value: the control's seed is the probe's plus this
@@ -33,11 +33,11 @@ def grouped_folds(rows: DataFrame, scene: str, n_folds: int = 5, seed: int = 0,
 
 def mark(rows: DataFrame, assignment: DataFrame, scene: str) -> DataFrame:
     """Carries a per-scene assignment to the rows; small scene tables are broadcast."""
-    return rows.join(small_side(assignment), scene)
+    return rows.join(assignment, scene)
 
 
 def only_scenes(rows: DataFrame, scenes: DataFrame, scene: str) -> DataFrame:
-    return rows.join(small_side(scenes.select(scene).distinct()), scene, "left_semi")
+    return rows.join(scenes.select(scene).distinct(), scene, "left_semi")
 
 
 def strided_shards(rows: DataFrame, key: str, n_shards: int) -> DataFrame:
@@ -61,7 +61,7 @@ def shuffled_labels(rows: DataFrame, scene: str, frame: str, labels: list[str],
     donors = positions(rows.select(scene, frame, *labels), [frame], [scene], name="__at").select(
         F.col(scene).alias("__donor"), F.col("__at"), *labels)
     places = hash_positions(rows.select(scene, frame), seed, [scene, frame], [scene], name="__at")
-    wanted = places.join(small_side(pairing), scene) \
+    wanted = places.join(pairing, scene) \
         .select(scene, frame, "__donor", F.pmod(F.col("__at"), F.col("__size")).alias("__at"))
     return wanted.join(donors, ["__donor", "__at"]).select(scene, frame, *labels)
 

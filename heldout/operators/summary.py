@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bootstrap as B
-from .common import cut, finite, small_side
+from .common import cut, finite
 from .metrics import METRICS, balanced_accuracy, nan, present_recall, r2
 from .testing import difference_tests, holm, verdict
 
+# Names of the cell columns and targets, bins and their least sizes.
 CELL = ["exp", "seed", "encoder", "train_condition", "layer", "view", "task", "eval_condition", "target"]
 REGRESSION = ("log_mass", "friction_slide", "obj_pos_x", "obj_pos_y", "obj_speed", "ee_obj_dist")
 CLASSIFICATION = ("contact_state", "support_state")
@@ -84,10 +85,12 @@ def best_cells(scores: DataFrame, by: list[str], cell: list[str] = ("layer", "vi
 
 
 def compare_to_baseline(predictions: DataFrame, encoder: str, baseline: str, margin: float = 0.05, n_boot: int = 2000,
-                        classes=CLASSIFICATION, baseline_predictions: DataFrame | None = None) -> DataFrame:
+                        classes=CLASSIFICATION, baseline_predictions: DataFrame | None = None, skip_mismatched: bool = False) -> DataFrame:
     """Paired contrast of two encoders' best cells per (exp, seed, target).
 
-    Rows are paired by key and must all pair.  Both models' sums ride on the same
+    Rows are paired by key and must all pair; otherwise the call fails, or, with
+    ``skip_mismatched``, that (exp, seed, target) has no row.  A baseline table of its
+    own is met by every exp that has its (seed, target).  Both models' sums ride on the same
     scene rows, so each replicate resamples the same scenes for both.
     """
     unit = ["exp", "seed", "target"]
@@ -97,16 +100,18 @@ def compare_to_baseline(predictions: DataFrame, encoder: str, baseline: str, mar
     def side(frame, name, tag):
         rows = frame.where(F.col("encoder") == name)
         best = cut(best_cells(cut(cell_scores(rows, CELL, classes)), unit, rest))
-        picked = rows.join(small_side(best.withColumnRenamed("value", f"__v{tag}")), [*unit, *rest])
+        picked = rows.join(best.withColumnRenamed("value", f"__v{tag}"), [*unit, *rest])
         return picked.select(*key, F.col("y_true").alias(f"y{tag}"), F.col("y_pred").alias(f"p{tag}"), f"__v{tag}")
 
     a = side(predictions, encoder, "a")
     b = side(baseline_predictions if baseline_predictions is not None else predictions, baseline, "b")
     if baseline_predictions is not None:
-        b = b.drop("exp").withColumn("exp", F.lit(predictions.select("exp").first()[0]))
+        b = b.drop("exp").join(predictions.where(F.col("encoder") == encoder).select(*unit).distinct(), ["seed", "target"])
     paired = cut(a.join(b, key, "full_outer"))
-    lonely = paired.where(F.col("pa").isNull() | F.col("pb").isNull()).limit(1).count()
-    if lonely:
+    lonely = paired.where(F.col("pa").isNull() | F.col("pb").isNull()).select(*unit).distinct()
+    if skip_mismatched:
+        paired = cut(paired.join(lonely, unit, "left_anti"))
+    elif lonely.limit(1).count():
         raise RuntimeError("encoder and baseline were evaluated on different rows")
     is_class = F.col("target").isin(*classes)
     observed = cut(paired.groupBy(*unit).agg((F.max("__va") - F.max("__vb")).alias("observed")))
@@ -115,7 +120,7 @@ def compare_to_baseline(predictions: DataFrame, encoder: str, baseline: str, mar
     c = B.resample(B.confusion_sums(paired.where(is_class), unit, "scene_index", "ya", names), unit, "scene_index", n_boot, 0)
     gaps = r.select(*unit, "b", (B.r2_of("a") - B.r2_of("b")).alias("gap")) \
         .unionByName(c.select(*unit, "b", (B.balanced_of("a") - B.balanced_of("b")).alias("gap")))
-    tests = difference_tests(gaps.join(small_side(observed), unit), unit, "gap", "observed", margin)
+    tests = difference_tests(gaps.join(observed, unit), unit, "gap", "observed", margin)
     return tests.select("exp", "seed", F.lit(encoder).alias("encoder"), F.lit(baseline).alias("baseline"), "target",
                         headline(F.col("target"), classes).alias("metric"),
                         *[x for x in tests.columns if x not in unit])
@@ -148,14 +153,14 @@ def paired_rows(predictions: DataFrame, encoder: str, targets, task: str = "tran
     rows = predictions.where((F.col("encoder") == encoder) & (F.col("task") == task) & F.col("target").isin(*targets))
     unit, spot = ["exp", "seed", "target"], ["layer", "view"]
     first = rows.groupBy(*unit).agg(F.min(F.struct(*spot)).alias("__c")).select(*unit, "__c.*")
-    rows = rows.join(small_side(first), [*unit, *spot])
+    rows = rows.join(first, [*unit, *spot])
     key = [*unit, "scene_index", "frame_index"]
     b = rows.where(F.col("eval_condition") == base).select(*key, F.col("y_true").alias("y_base"), F.col("y_pred").alias("p_base"))
     o = rows.where(F.col("eval_condition") == other).select(*key, F.col("y_true").alias("y_occ"), F.col("y_pred").alias("p_occ"), "occlusion_fraction")
     scenes = o.select(*unit, "scene_index").distinct()
     both = cut(b.join(scenes, [*unit, "scene_index"], "left_semi").join(o, key, "full_outer"))
     whole = both.groupBy(*unit).agg(F.bool_and(F.col("p_base").isNotNull() & F.col("p_occ").isNotNull()).alias("__ok")).where("__ok")
-    return both.join(small_side(whole.drop("__ok")), unit)
+    return both.join(whole.drop("__ok"), unit)
 
 
 def retained_skill(paired: DataFrame, unit: list[str], seed="seed", classes=CLASSIFICATION, bins=BINS, n_boot: int = 500,
@@ -163,12 +168,12 @@ def retained_skill(paired: DataFrame, unit: list[str], seed="seed", classes=CLAS
     """(unit..., bin, n_rows, value, ci_low, ci_high, base_value): skill kept relative to the matched base rows.
 
     Within a bin R2 divides by the variance of the whole treated set, so bins are
-    on one scale.  Thin bins give NaN.  Scenes of the bin are resampled with both
+    on one scale.  Every unit has a row for every bin; thin and empty ones give NaN.  Scenes of the bin are resampled with both
     sides together.
     """
     is_class = F.col("target").isin(*classes)
     spread = paired.groupBy(*unit).agg(F.var_pop(F.col("y_occ").cast("double")).alias("__var"))
-    rows = paired.join(small_side(spread), unit).withColumn("bin", bin_of(F.col("occlusion_fraction"), bins))
+    rows = paired.join(spread, unit).withColumn("bin", bin_of(F.col("occlusion_fraction"), bins))
     cell = [*unit, "bin"]
     hit = lambda y, p, v: ((F.col(y).cast("int") == v) & (F.col(p).cast("int") == v)).cast("double")
     miss = lambda y, p, v: ((F.col(y).cast("int") == v) & (F.col(p).cast("int") != v)).cast("double")
@@ -195,11 +200,12 @@ def retained_skill(paired: DataFrame, unit: list[str], seed="seed", classes=CLAS
                          ratio.alias("value"), F.col("__b").alias("base_value"), "__var")
     point = cut(point)
     drawn = B.resample(sums.drop("__var"), cell, "scene_index", n_boot, F.col(seed) if seed in unit else 0)
-    drawn = drawn.join(small_side(point.select(*cell, "__var")), cell).withColumn("__b", score("base")).withColumn("__o", score("occ"))
+    drawn = drawn.join(point.select(*cell, "__var"), cell).withColumn("__b", score("base")).withColumn("__o", score("occ"))
     spread = B.interval(drawn.select(*cell, "b", ratio.alias("sample")), cell)
     keep = lambda c: F.when(F.col("__thick"), F.col(c)).otherwise(nan()).alias(c)
-    found = point.join(spread, cell)
-    return found.select(*cell, "n_rows", *[keep(c) for c in ("value", "ci_low", "ci_high", "base_value")])
+    every = paired.select(*unit).distinct().withColumn("bin", F.explode(F.array(*[F.lit(i) for i in range(len(bins) - 1)])))
+    found = every.join(point.join(spread, cell), cell, "left").withColumn("__thick", F.coalesce("__thick", F.lit(False)))
+    return found.select(*cell, F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), *[keep(c) for c in ("value", "ci_low", "ci_high", "base_value")])
 
 
 def best_band(summary: DataFrame, by=("target", "encoder")) -> DataFrame:

@@ -13,7 +13,7 @@ from ...operators.splits import scene_split
 from ...sources import manifest, tables
 from .. import views as V
 from .registry import FEATURES, FRAMES, HALVES, PLAIN, PREDICTIONS, query, split, u
-from .sampling import FACTORS, SPEARMAN, tested
+from .sampling import DOUBLES, FACTORS, RANGES, SPEARMAN, tested
 
 R6 = lambda c: F.round(F.col(c), 6).alias(c)
 
@@ -96,10 +96,14 @@ def quality_rollup(spark, d):
     return r.select(*[R6(c) if k == "double" else c for c, k in r.dtypes])
 
 
-@query("rule_problems", f"""WITH {ROLLUP} SELECT rule, violated FROM roll, LATERAL (SELECT unnest(['distractor_touched', 'left_the_frame', 'contact_rate_outside_band', 'unreadable_records']) AS rule,
-unnest([distractor_touched > 0, all_frames_in_frame < n_found - unreadable, contact_positive_rate NOT BETWEEN 0.25 AND 0.55, unreadable > 0]) AS violated)""")
+@query("rule_problems", f"""WITH {ROLLUP} SELECT rule, violated FROM roll, LATERAL (SELECT unnest(['no_scenes', 'scenes_missing', 'scenes_unpaired', 'distractor_touched', 'left_the_frame', 'contact_rate_outside_band', 'unreadable_records']) AS rule,
+unnest([n_found = 0, (SELECT max(scene_index) + 1 - count(*) FROM q) > 0, (SELECT count(*) FROM q WHERE scene_index NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 3)) > 0, distractor_touched > 0, all_frames_in_frame < n_found - unreadable, contact_positive_rate NOT BETWEEN 0.25 AND 0.55, unreadable > 0]) AS violated)""")
 def rule_problems(spark, d):
-    return A.rule_problems(_rollup(spark, d), A.corpus_rules())
+    scenes = V.plain_frames(spark, d).select("scene_index").distinct()
+    last = scenes.agg(F.max("scene_index")).first()[0]
+    partner = V.table(spark, d, "customer").where("c_custkey % 7 <> 3").select(F.col("c_custkey").alias("scene_index"))
+    report = A.completeness(_rollup(spark, d), A.missing_ids(scenes, "scene_index", last + 1), A.unpaired(scenes, partner, "scene_index"))
+    return A.rule_problems(report, A.corpus_rules())
 
 
 @query("label_checks", f"""WITH {PLAIN} SELECT 'cls_rate' AS name, round(avg(cls), 6) AS value, avg(cls) BETWEEN 0.25 AND 0.55 AS passed FROM plain
@@ -180,33 +184,89 @@ def review_sample(spark, d):
 
 
 @query("pair_equality", f"""WITH {HALVES}, j AS (SELECT a.event_type AS e1, b.event_type AS e2, a.cls AS c1, b.cls AS c2 FROM base_half a JOIN other_half b USING (scene_index, frame_index))
-SELECT 'event_type' AS factor, count(*) AS n_pairs, count(*) FILTER (e1 IS DISTINCT FROM e2) AS n_unequal FROM j UNION ALL SELECT 'cls', count(*), count(*) FILTER (c1 IS DISTINCT FROM c2) FROM j""")
+SELECT 'event_type' AS factor, count(*) AS n_pairs, count(*) FILTER (e1 IS DISTINCT FROM e2) AS n_unequal, 0::BIGINT AS n_one_sided, count(*) FILTER (e1 IS DISTINCT FROM e2) = 0 AS passed FROM j
+UNION ALL SELECT 'cls', count(*), count(*) FILTER (c1 IS DISTINCT FROM c2), 0, count(*) FILTER (c1 IS DISTINCT FROM c2) = 0 FROM j""")
 def pair_equality(spark, d):
     a, b = V.halves(spark, d)
     return A.pair_equality(a, b, ["scene_index", "frame_index"], ["event_type", "cls"])
 
 
-@query("pair_divergence", f"""WITH {HALVES} SELECT scene_index, count(*) AS n_rows, round(max(greatest(abs(a.value - b.value), abs(a.k - b.k))), 6) AS max_divergence,
+@query("pair_divergence", f"""WITH {HALVES} SELECT scene_index, count(*) AS n_rows, round(max(greatest(abs(a.value - b.value), abs(a.k - b.k))), 6) AS max_divergence, 0::BIGINT AS n_uncompared,
 max(greatest(abs(a.value - b.value), abs(a.k - b.k))) > 300 AS diverged FROM base_half a JOIN other_half b USING (scene_index, frame_index) GROUP BY scene_index""")
 def pair_divergence(spark, d):
     a, b = V.halves(spark, d)
     out = A.divergence(a, b, ["scene_index", "frame_index"], ["value", "k"], "scene_index", 300.0)
-    return out.select("scene_index", "n_rows", R6("max_divergence"), "diverged")
+    return out.select("scene_index", "n_rows", R6("max_divergence"), "n_uncompared", "diverged")
 
 
-@query("determinism", f"WITH {FACTORS} SELECT count(*) - count(mass) AS one_sided, CAST(0 AS DOUBLE) AS max_difference, true AS passed FROM factors")
+NUMERIC = [n for n in RANGES if n in DOUBLES]
+
+
+def _gap(a: str, b: str) -> str:
+    return "greatest(0, " + ", ".join(f"abs({a}.{c} - {b}.{c})" for c in NUMERIC) + ")"
+
+
+@query("determinism", f"""WITH {FACTORS} SELECT count(*) FILTER (a.scene_index IS NULL OR b.scene_index IS NULL) AS one_sided, CAST(max({_gap('a', 'b')}) AS DOUBLE) AS max_difference,
+count(*) FILTER (a.scene_index IS NULL OR b.scene_index IS NULL) = 0 AND max({_gap('a', 'b')}) <= 1e-6 AS passed FROM factors a FULL JOIN factors b ON a.scene_index = b.scene_index""")
 def determinism(spark, d):
     o = V.table(spark, d, "orders").select("o_orderkey").distinct()
     again = sample_factors(o.repartition(13, (F.col("o_orderkey") % 11)), "o_orderkey", 0)
-    return A.determinism(sample_factors(o, "o_orderkey", 0), again, ["scene_index"], ["mass", "obj_hue", "spawn_height"])
+    return A.determinism(sample_factors(o, "o_orderkey", 0), again, ["scene_index"], NUMERIC)
 
 
-@query("applied_equals_sampled", """WITH j AS (SELECT abs(p_retailprice - r) AS gap FROM part JOIN (SELECT l_partkey AS p_partkey, min(l_extendedprice / l_quantity) AS r FROM lineitem GROUP BY 1) USING (p_partkey))
-SELECT count(*) AS n_scenes, round(max(gap), 6) AS max_difference, count(*) FILTER (gap > 1e-6) AS n_wrong, count(*) FILTER (gap > 1e-6) = 0 AS passed FROM j""")
+@query("determinism_broken", f"""WITH {FACTORS}, again AS (SELECT * REPLACE (CASE WHEN scene_index % 97 = 0 THEN mass + 0.5 ELSE mass END AS mass) FROM factors WHERE scene_index % 101 <> 0)
+SELECT count(*) FILTER (a.scene_index IS NULL OR b.scene_index IS NULL) AS one_sided, round(CAST(max({_gap('a', 'b')}) AS DOUBLE), 9) AS max_difference,
+count(*) FILTER (a.scene_index IS NULL OR b.scene_index IS NULL) = 0 AND max({_gap('a', 'b')}) <= 1e-6 AS passed FROM factors a FULL JOIN again b ON a.scene_index = b.scene_index""")
+def determinism_broken(spark, d):
+    """The same check where some scenes are missing from the second run and some have another mass."""
+    o = V.table(spark, d, "orders").select("o_orderkey").distinct()
+    first = sample_factors(o, "o_orderkey", 0)
+    again = first.where("scene_index % 101 <> 0").withColumn("mass", F.when(F.col("scene_index") % 97 == 0, F.col("mass") + 0.5).otherwise(F.col("mass")))
+    out = A.determinism(first, again, ["scene_index"], NUMERIC)
+    return out.select("one_sided", F.round("max_difference", 9).alias("max_difference"), "passed")
+
+
+@query("applied_equals_sampled", """WITH j AS (SELECT abs(p_retailprice - r) AS gap FROM part FULL JOIN (SELECT l_partkey AS p_partkey, min(l_extendedprice / l_quantity) AS r FROM lineitem GROUP BY 1) USING (p_partkey))
+SELECT count(*) AS n_scenes, round(max(gap), 6) AS max_difference, count(*) FILTER (gap > 1e-6) AS n_wrong, count(*) FILTER (gap IS NULL) AS n_missing,
+count(*) FILTER (gap > 1e-6) = 0 AND count(*) FILTER (gap IS NULL) = 0 AS passed FROM j""")
 def applied_equals_sampled(spark, d):
     p = V.table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("price"))
     r = V.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
-    return A.applied_equals_sampled(p, r, "p_partkey", "price").select("n_scenes", R6("max_difference"), "n_wrong", "passed")
+    return A.applied_equals_sampled(p, r, "p_partkey", "price").select("n_scenes", R6("max_difference"), "n_wrong", "n_missing", "passed")
+
+
+@query("applied_broken", """WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN 'nan'::DOUBLE ELSE p_retailprice END AS a FROM part),
+r AS (SELECT p_partkey, CASE WHEN p_partkey % 19 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS b FROM part WHERE p_partkey % 23 <> 0),
+j AS (SELECT abs(a - b) AS gap FROM s FULL JOIN r USING (p_partkey))
+SELECT count(*) AS n_scenes, round(max(gap) FILTER (NOT isnan(gap)), 6) AS max_difference, count(*) FILTER (gap > 1e-6 AND NOT isnan(gap)) AS n_wrong, count(*) FILTER (gap IS NULL OR isnan(gap)) AS n_missing, false AS passed FROM j""")
+def applied_broken(spark, d):
+    """The same check with missing records, null and NaN values and wrong ones."""
+    p, key = V.table(spark, d, "part"), F.col("p_partkey")
+    s = p.select("p_partkey", F.when(key % 13 == 0, F.lit(None).cast("double")).when(key % 17 == 0, F.lit(float("nan"))).otherwise(F.col("p_retailprice")).alias("price"))
+    r = p.where(key % 23 != 0).select("p_partkey", F.when(key % 19 == 0, F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice")).alias("price"))
+    return A.applied_equals_sampled(s, r, "p_partkey", "price").select("n_scenes", R6("max_difference"), "n_wrong", "n_missing", "passed")
+
+
+WHOLE = PLAIN + f""",
+hh AS (SELECT *, ts < TIMESTAMP '{V.HALF_MONTH}' AS early, row_number() OVER (PARTITION BY scene_index, ts < TIMESTAMP '{V.HALF_MONTH}' ORDER BY ts, event_id) - 1 AS frame_index FROM plain),
+wj AS (SELECT coalesce(a.scene_index, b.scene_index) AS scene_index, a.value AS v1, b.value AS v2, a.event_type AS e1, b.event_type AS e2, a.scene_index IS NOT NULL AND b.scene_index IS NOT NULL AS pair
+ FROM (SELECT * FROM hh WHERE early) a FULL JOIN (SELECT * FROM hh WHERE NOT early) b ON a.scene_index = b.scene_index AND a.frame_index = b.frame_index)"""
+
+
+@query("pair_equality_whole", f"""WITH {WHOLE} SELECT 'event_type' AS factor, count(*) FILTER (pair) AS n_pairs, count(*) FILTER (pair AND e1 IS DISTINCT FROM e2) AS n_unequal, count(*) FILTER (NOT pair) AS n_one_sided,
+count(*) FILTER (pair) > 0 AND count(*) FILTER (pair AND e1 IS DISTINCT FROM e2) = 0 AND count(*) FILTER (NOT pair) = 0 AS passed FROM wj""")
+def pair_equality_whole(spark, d):
+    """Both halves as they are: frames without a partner are counted, not cut away."""
+    a, b = V.whole_halves(spark, d)
+    return A.pair_equality(a, b, ["scene_index", "frame_index"], ["event_type"])
+
+
+@query("pair_divergence_whole", f"""WITH {WHOLE} SELECT scene_index, count(*) AS n_rows, round(max(abs(v1 - v2)), 6) AS max_divergence, count(*) FILTER (v1 - v2 IS NULL) AS n_uncompared,
+count(*) FILTER (v1 - v2 IS NULL) > 0 OR max(abs(v1 - v2)) > 300 AS diverged FROM wj GROUP BY scene_index""")
+def pair_divergence_whole(spark, d):
+    a, b = V.whole_halves(spark, d)
+    out = A.divergence(a, b, ["scene_index", "frame_index"], ["value"], "scene_index", 300.0)
+    return out.select("scene_index", "n_rows", R6("max_divergence"), "n_uncompared", "diverged")
 
 
 # ---- sources and manifest -----------------------------------------------------

@@ -29,6 +29,13 @@ def debounce(spark, d):
     return trace(spark, d).select("scene_index", "step", "clean")
 
 
+@query("debounce_reach", f"""WITH {TRACE} SELECT scene_index, step, min(flag) OVER (PARTITION BY scene_index ORDER BY step ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) = 1 AS clean FROM raw""")
+def debounce_reach(spark, d):
+    """A window that spans several chunks."""
+    f = V.frames(spark, d).select("scene_index", F.col("frame_index").alias("step"), F.col("cls").alias("flag"))
+    return L.debounce(f, "scene_index", "step", "flag", 11, "clean", chunk=2).select("scene_index", "step", "clean")
+
+
 @query("debounce_wide", f"""WITH {TRACE} SELECT scene_index, step, min(flag) OVER (PARTITION BY scene_index ORDER BY step ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 1 AS clean FROM raw""")
 def debounce_wide(spark, d):
     f = V.frames(spark, d).select("scene_index", F.col("frame_index").alias("step"), F.col("cls").alias("flag"))
@@ -148,6 +155,13 @@ def estimator_agreement(spark, d):
     return out.select("n_measurements", *[R6(c) for c in out.columns if c not in ("n_measurements", "passed")], "passed")
 
 
+@query("agreement_constant", f"""WITH {PLAIN} SELECT count(*) AS n_measurements, CASE WHEN count(DISTINCT 5.0) = 1 THEN 'nan'::DOUBLE ELSE corr(value, 5.0) END AS pearson_r, false AS passed FROM plain""")
+def agreement_constant(spark, d):
+    """An estimator that never changes: no correlation, not passed."""
+    p = V.plain_frames(spark, d).select(F.col("value").alias("a"), F.lit(5.0).alias("b"))
+    return L.agreement(p, "a", "b").select("n_measurements", "pearson_r", "passed")
+
+
 @query("block_means", """WITH px AS (SELECT vec_id, CAST(i AS INT) AS i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) r(i)),
 g AS (SELECT vec_id, (i // 8) // 2 * 4 + (i % 8) // 2 AS block, (0.299 * (v + 1) * 100 + 0.587 * (v * 50 + 100) + 0.114 * 100) / 255 AS grey FROM px)
 SELECT vec_id, CAST(block AS INT) AS block, round(avg(grey), 6) AS grey FROM g GROUP BY 1, 2""")

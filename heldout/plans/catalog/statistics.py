@@ -46,7 +46,7 @@ def bootstrap_multiplicity(spark, d):
     scenes = V.plain_frames(spark, d).select("scene_index").distinct()
     table = B.numbered(scenes, [], "scene_index", 0).transform(cut)
     times = B.multiplicities(table.select("seed", "n_scenes").distinct(), 20)
-    return times.join(B.small_side(table), ["seed", "n_scenes", "drawn"]).select(F.col("b").cast("long").alias("b"), "scene_index", "times")
+    return times.join(table, ["seed", "n_scenes", "drawn"]).select(F.col("b").cast("long").alias("b"), "scene_index", "times")
 
 
 N = 50

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.common import cut, small_side
+from ..operators.common import cut
 from ..operators.decorrelation import expand
 from ..operators.ordering import positions
 from ..operators.splits import scene_split
@@ -69,7 +69,7 @@ def predictions(spark: SparkSession, folder: str, seeds=SEEDS) -> DataFrame:
     rows = cut(frames(spark, folder))
     parts = []
     for s in seeds:
-        held = small_side(scene_split(rows, "scene_index", s).where("not is_train").select("scene_index"))
+        held = scene_split(rows, "scene_index", s).where("not is_train").select("scene_index")
         parts.append(rows.join(held, "scene_index").withColumn("seed", F.lit(s)))
     out = parts[0]
     for p in parts[1:]:
@@ -81,12 +81,17 @@ def predictions(spark: SparkSession, folder: str, seeds=SEEDS) -> DataFrame:
 HALF_MONTH = "2024-01-16"
 
 
-def halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Frames before and from mid-month, numbered apart and cut to the common ones."""
+def whole_halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Frames before and from mid-month, numbered apart."""
     rows = plain_frames(spark, folder)
     early = F.col("ts") < F.lit(HALF_MONTH).cast("timestamp_ntz")
     place = lambda r: cut(positions(r, ["ts", "event_id"], ["scene_index"], name="frame_index").drop("frame_index_total"))
-    a, b = place(rows.where(early)), place(rows.where(~early))
+    return place(rows.where(early)), place(rows.where(~early))
+
+
+def halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The same, cut to the common frames."""
+    a, b = whole_halves(spark, folder)
     key = ["scene_index", "frame_index"]
     return a.join(b.select(*key), key, "left_semi"), b.join(a.select(*key), key, "left_semi")
 

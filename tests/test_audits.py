@@ -47,8 +47,10 @@ def test_kolmogorov_tail():
     assert kolmogorov_p(0.7, 1) == pytest.approx(0.6)
     assert kolmogorov_p(0.7, 2) == pytest.approx(0.18)
     assert kolmogorov_p(0.274, 10) == pytest.approx(1 - 0.6284796154565, abs=1e-6)    # published value of the exact method
-    assert kolmogorov_p(1.3581 / math.sqrt(10000), 10000) == pytest.approx(0.05, abs=2e-3)
-    assert kolmogorov_p(0.04, 500) == pytest.approx(kolmogorov_p(0.04, 501), abs=0.01)
+    assert kolmogorov_p(1.3581 / math.sqrt(10000), 10000, "limit") == pytest.approx(0.05, abs=2e-3)
+    assert kolmogorov_p(0.04, 500) == pytest.approx(kolmogorov_p(0.04, 500, "limit"), abs=0.01)
+    with pytest.raises(ValueError):
+        kolmogorov_p(0.1, 10, "auto")
 
 
 def test_normal_tails(spark):
@@ -97,11 +99,8 @@ def np_ranks(v):
     return np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
 
 
-@pytest.mark.parametrize("bound,key", [(200_000, None), (10, None), (10, "id")])
-def test_spearman_with_ties_and_constants(spark, bound, key, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_ROWS", bound)
-    monkeypatch.setattr(D.rank_columns, "__defaults__", ((), None, bound))
-    monkeypatch.setattr(D, "NARROW", 10)
+@pytest.mark.parametrize("key", [None, "id"])
+def test_spearman_with_ties_and_constants(spark, key):
     rng = np.random.default_rng(0)
     m = rng.normal(size=(200, 5))
     m[:, 1] = np.round(m[:, 0] + 0.5 * m[:, 1])
@@ -142,3 +141,44 @@ def test_pair_lines_and_hash(spark):
     assert tables.config_hash({"a": 1}) != tables.config_hash({"a": 2})
     with pytest.raises(TypeError):
         tables.config_hash({"a": object()})
+
+
+def test_applied_check_fails_on_missing_null_and_nan(spark):
+    s = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "id long, v double")
+    for rows in ([(1, 1.0)], [(1, 1.0), (2, None), (3, 3.0)], [(1, 1.0), (2, float("nan")), (3, 3.0)], []):
+        got = A.applied_equals_sampled(s, spark.createDataFrame(rows, "id long, v double"), "id", "v").first()
+        assert not got.passed and got.n_missing > 0 and got.n_wrong == 0
+    assert A.applied_equals_sampled(s, s, "id", "v").first().passed
+
+
+def test_pair_audits_count_rows_without_a_partner(spark):
+    a = spark.createDataFrame([(1, 0, 5.0), (1, 1, 6.0)], "scene long, frame int, v double")
+    got = A.pair_equality(a, a.where("frame = 0"), ["scene", "frame"], ["v"]).first()
+    assert (got.n_pairs, got.n_unequal, got.n_one_sided, got.passed) == (1, 0, 1, False)
+    got = A.divergence(a, a.where("frame = 0"), ["scene", "frame"], ["v"], "scene", 1.0).first()
+    assert (got.max_divergence, got.n_uncompared, got.diverged) == (0.0, 1, True)
+
+
+def test_empty_corpus_is_a_problem(spark):
+    roll = A.quality_rollup(spark.createDataFrame([], "distractor_touched boolean, all_frames_in_frame boolean, n_contact_frames double"), ["distractor_touched", "all_frames_in_frame"], ["n_contact_frames"])
+    found = {r.rule: r.violated for r in A.rule_problems(A.completeness(roll), A.corpus_rules()).collect()}
+    assert found["no_scenes"] and not found["scenes_missing"]
+
+
+def test_spearman_leaves_out_nulls(spark):
+    rows = [(float(i), float(i * i)) for i in range(40)] + [(None, 1.0), (2.0, None), (float("nan"), 3.0)]
+    got = {(r.i, r.j): r for r in D.spearman(spark.createDataFrame(rows, "a double, b double"), ["a", "b"]).collect()}
+    assert got[(0, 1)].rho == pytest.approx(1.0) and got[(0, 1)].n == 40
+
+
+def test_gate_raises_small_requests():
+    assert D.gate_scenes(50) == 1000 and D.gate_scenes(3000) == 3000
+
+
+def test_label_report(spark):
+    f = spark.createDataFrame([(i // 10, i % 10, float(i % 3 == 0), 0.05 + 1.15 * (i // 10) / 30) for i in range(300)], "scene long, frame int, contact double, friction double")
+    checks = A.label_gate(f, "scene", "frame", "contact", "contact", {"friction": lambda x: A.uniform_cdf(x, 0.05, 1.2)})
+    row = A.label_report(checks, f, "scene").first()
+    assert (row.n_frames, row.n_scenes) == (300, 30) and row.passed == all(c.passed for c in row.checks)
+    ks = next(c for c in row.checks if c.name == "ks:friction")
+    assert ks.n == 30 and 0 < ks.statistic < 0.1
