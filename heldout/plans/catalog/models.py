@@ -139,7 +139,7 @@ def spatial_maxpool(spark, d):
     key = ["scene_index", "frame"]
     label = patches.groupBy(*key).agg(F.max("cls").alias("y"))
     rows = cut(Sp.mark(patches.join(label, key), Sp.scene_split(patches, "scene_index", 0), "scene_index"))
-    fit = S.fit_max_pooled(rows.where("is_train"), "x", "y", key, epochs=10)
+    fit = S.fit_max_pooled(rows.where("is_train"), "x", "y", key)
     scores = S.pooled_scores(rows.where("not is_train"), "x", key, fit)
     return scores.join(label, key).select(*key, "y", "y_score", (F.col("y_score") > 0).cast("int").alias("y_pred"))
 

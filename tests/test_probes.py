@@ -140,10 +140,40 @@ def test_patch_probe_finds_a_planted_patch(spark):
             rows.append((f // 10, f % 10, p, [float(a) for a in v], y))
     df = spark.createDataFrame(rows, "scene long, frame int, patch int, x array<double>, y int").repartition(4).cache()
     train, test = df.where("scene < 22"), df.where("scene >= 22")
-    fit = Sp.fit_max_pooled(train, "x", "y", ["scene", "frame"], epochs=25, rate=0.1)
+    fit = Sp.fit_max_pooled(train, "x", "y", ["scene", "frame"])
     assert np.argmax(np.abs(fit.coef[:, 0])) == 2
     s = Sp.pooled_scores(test, "x", ["scene", "frame"], fit).join(test.select("scene", "frame", "y").distinct(), ["scene", "frame"]).toPandas()
     pos, neg = s.y_score[s.y == 1].values, s.y_score[s.y == 0].values
     assert (pos[:, None] > neg).mean() > 0.9
     every = df.select("scene", "frame", P.linear_scores(F.col("x"), [fit])[0].alias("v")).toPandas().groupby(["scene", "frame"]).v.max()
     assert np.allclose(sorted(s.y_score), sorted(every[every.index.get_level_values(0) >= 22]))
+
+
+def test_patch_probe_reaches_the_optimum_on_weak_signal(spark):
+    """Against plain descent in NumPy on the same objective, and it refuses to stop early."""
+    rng = np.random.default_rng(7)
+    n, p, d = 240, 4, 6
+    x = rng.normal(size=(n, p, d))
+    y = (x[:, :, 1].max(1) + 0.5 * rng.normal(size=n) * 3 > 1.0).astype(int)
+    df = spark.createDataFrame([(i // 8, i % 8, j, [float(v) for v in x[i, j]], int(y[i])) for i in range(n) for j in range(p)], "scene long, frame int, patch int, x array<double>, y int")
+    fit = Sp.fit_max_pooled(df, "x", "y", ["scene", "frame"])
+    flat = x.reshape(-1, d)
+    z = (x - flat.mean(0)) / flat.std(0, ddof=1)
+
+    def loss(w):
+        s = (z @ w[:-1] + w[-1]).max(1)
+        return (np.logaddexp(0, s) - y * s).mean() + 0.5e-3 * (w[:-1] ** 2).sum()
+
+    w = np.append((flat[np.repeat(y, p) == 1].mean(0) - flat[np.repeat(y, p) == 0].mean(0)) / flat.std(0, ddof=1), 0.0)
+    for t in range(6000):
+        s = z @ w[:-1] + w[-1]
+        win = s.argmax(1)
+        a = np.hstack([z[np.arange(n), win], np.ones((n, 1))])
+        g = a.T @ (1 / (1 + np.exp(-s.max(1))) - y) / n + np.append(1e-3 * w[:-1], 0)
+        w = w - 0.5 / (1 + t / 500) * g
+    ours = np.append(fit.coef[:, 0], fit.intercept)
+    assert loss(ours) <= loss(w) + 1e-4
+    auc = lambda v: ((lambda s: (s[y == 1][:, None] > s[y == 0]).mean())((z @ v[:-1] + v[-1]).max(1)))
+    assert abs(auc(ours) - auc(w)) < 0.01
+    with pytest.raises(RuntimeError):
+        Sp.fit_max_pooled(df, "x", "y", ["scene", "frame"], max_scans=2)
