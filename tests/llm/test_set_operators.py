@@ -179,7 +179,7 @@ def test_line_dedup_matches_all_pairs(spark):
     for d in range(40):
         docs.append((d, "\n".join(rng.choice(lines) for _ in range(6))))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    found = line_dedup.lines_of(df).select("doc_id", "place", "norm", "sim", "len").collect()
+    found = line_dedup.lines_of(df).join(line_dedup.nodes_of(df).select("node", "sim"), "node").select("doc_id", "place", "norm", "sim").collect()
     node = {r.norm: r for r in found}
     forms = sorted(node)
     pairs = spark.createDataFrame([(a, b) for i, a in enumerate(forms) for b in forms[i + 1:]], "x string, y string").withColumn("d", F.levenshtein("x", "y"))
@@ -203,10 +203,12 @@ def test_line_dedup_matches_all_pairs(spark):
 def test_simhash_counts_bits(spark):
     from pyspark.sql import functions as F
     texts = ["one two three", "x", " ".join(f"w{i}" for i in range(700)), "same " * 500 + "other"]
-    df = spark.createDataFrame([(t.strip(),) for t in texts], "t string").select("t", line_dedup.simhash(F.col("t")).alias("s"), F.transform(F.split("t", " "), lambda w: F.xxhash64(w)).alias("h"))
-    for r in df.collect():
+    df = spark.createDataFrame([(i, t.strip()) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = line_dedup.lines_of(df).select("node", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("h")).join(line_dedup.nodes_of(df), "node").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
         bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r.h) > len(r.h))
-        assert r.s % 2**64 == bits
+        assert r.sim % 2**64 == bits
 
 
 def test_line_dedup_awkward(awkward, nothing):
