@@ -204,7 +204,7 @@ def test_simhash_counts_bits(spark):
     from pyspark.sql import functions as F
     texts = ["one two three", "x", " ".join(f"w{i}" for i in range(700)), "same " * 500 + "other", "a to of"]
     df = spark.createDataFrame([(i, t.strip()) for i, t in enumerate(texts)], "doc_id long, text string")
-    rows = line_dedup.lines_of(df).select("node", F.transform(line_dedup.features(F.col("norm")), lambda w: F.xxhash64(w)).alias("h")).join(line_dedup.nodes_of(df), "node").collect()
+    rows = line_dedup.lines_of(df).select("node", line_dedup.features(F.col("norm")).alias("h")).join(line_dedup.nodes_of(df), "node").collect()
     assert len(rows) == len(texts)
     for r in rows:
         bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r.h) > len(r.h))
