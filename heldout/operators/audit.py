@@ -86,7 +86,8 @@ def quality_rollup(scenes: DataFrame, flags: list[str], means: list[str], corrup
 
 
 def rule_problems(report: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """(rule, violated): one row per rule over a one-row report."""
+    """(rule, violated): one row per rule over a one-row report; counts that the report lacks were not asked for."""
+    report = report.withColumns({c: F.lit(None).cast("long") for c in ("n_missing", "n_unpaired") if c not in report.columns})
     cells = [F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(False)).alias("violated")) for n, c in rules.items()]
     return report.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 

@@ -78,7 +78,7 @@ def test_rollup_skips_nan_and_counts_corrupt_json(spark, tmp_path):
     v = q.first()
     assert (v.n_found, v.unreadable, v.settled_by_end, v.mean_mean_occlusion, v.contact_positive_rate) == (3, 1, 1, 0.5, 0.5)
     p = {x.rule: x.violated for x in A.rule_problems(q, A.corpus_rules()).collect()}
-    assert p == {"distractor_touched": True, "left_the_frame": False, "contact_rate_outside_band": False, "unreadable_records": True}
+    assert p == {"no_scenes": False, "scenes_missing": False, "scenes_unpaired": False, "distractor_touched": True, "left_the_frame": False, "contact_rate_outside_band": False, "unreadable_records": True}
 
 
 def test_half_precision(spark):
