@@ -28,8 +28,8 @@ from .shared import cut
 from .shingles import U, mixed, shingle_set, word_hashes
 
 BAND = 1.5
-CELL_SETS, CELL_SHINGLES = 1024, 1 << 20
-FINE = 1.1
+CELL_SETS, CELL_SHINGLES = 1024, 1 << 21
+FINE = 1.25                       # ratio of the size bands of cells
 SKETCH_WORDS = 32
 SEEN = 1_000_000
 
@@ -233,8 +233,9 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
     columns = ["family", "doc_id", "fine", "cell", "other", "cell2", "side"]
     alone = members.where(small).select("family", "doc_id", *[F.lit(0).alias(c) for c in columns[2:]])
     tasks = alone.unionByName(first.select(*columns)).unionByName(second.select(*columns))
-    texts = docs.join(members.select("doc_id"), "doc_id", "left_semi")
-    sets = texts.select("doc_id", "text").mapInArrow(_sets(k), "doc_id long, shingles binary")
+    spots = tasks.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in columns if c != "doc_id"])).alias("at"))
+    kind = spots.schema["at"].dataType.simpleString()
+    sets = docs.join(spots, "doc_id").select("doc_id", "at", "text").mapInArrow(_sets(k), f"doc_id long, at {kind}, shingles binary")
     same = (F.col("fine") == F.col("other")) & (F.col("cell") == F.col("cell2"))
-    work = tasks.join(sets, "doc_id").withColumn("two", ~same).repartition(*[F.col(c) for c in ("family", "fine", "cell", "other", "cell2")])
+    work = sets.select("doc_id", F.explode("at").alias("at"), "shingles").select("doc_id", "at.*", "shingles").withColumn("two", ~same)
     return work.groupBy("family", "fine", "cell", "other", "cell2").applyInPandas(_compare(percent), "a long, b long")
