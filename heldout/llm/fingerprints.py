@@ -21,36 +21,70 @@ from .shared import cut, parallelism
 from .shingles import U, mixed, word_hashes
 
 SAMPLES = 64
-BUCKETS = 1 << 16                # terms of equal bucket share their draws
+CACHED = 1 << 16                 # terms whose draws a task keeps: the first that come, one a slot
 BLOCK_TERMS = 1 << 14
 BLOCK_CHARS = 1 << 20
 EMPTY = "0" * (4 * SAMPLES)      # of texts without words
 
 
-@lru_cache(maxsize=1)
-def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """r, b, ln c, and ln a of weight 1, as [bucket, sample]."""
-    cell = np.arange(BUCKETS * SAMPLES, dtype=np.uint64)
+def draws(terms: np.ndarray) -> np.ndarray:
+    """r, b, ln c, and ln a of weight 1, as [term, which, sample], from hashes of (term, sample)."""
+    cell = mixed(terms)[:, None] + np.arange(1, SAMPLES + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)
+    low, scale = U(0xFFFFFFFF), 2.0**-32
 
-    def uniform(stream: int) -> np.ndarray:
-        return ((mixed(mixed(cell + U(1)) + U(stream)) >> U(11)).astype(np.float64) + 0.5) / 2.0**53
+    def uniforms(stream: int) -> tuple[np.ndarray, np.ndarray]:
+        h = mixed(cell ^ U(stream * 0xD6E8FEB86659FD93 % 2**64))
+        return ((h >> U(32)).astype(np.float64) + 0.5) * scale, ((h & low).astype(np.float64) + 0.5) * scale
 
-    r, b = -np.log(uniform(1) * uniform(2)), uniform(3)
-    log_c = np.log(-np.log(uniform(4) * uniform(5)))
-    return tuple(x.astype(np.float32).reshape(BUCKETS, SAMPLES) for x in (r, b, log_c, log_c + r * b - r))
+    (u, v), (x, y) = uniforms(1), uniforms(2)
+    b = uniforms(3)[0]
+    r, log_c = -np.log(u * v), np.log(-np.log(x * y))
+    out = np.empty((len(terms), 4, SAMPLES), np.float32)
+    for k, made in enumerate((r, b, log_c, log_c + r * b - r)):
+        out[:, k] = made
+    return out
+
+
+@lru_cache(maxsize=1)
+def cache() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether a slot is taken, its term, and its draws."""
+    return np.zeros(CACHED, bool), np.zeros(CACHED, np.uint64), np.zeros((CACHED, 4, SAMPLES), np.float32)
+
+
+def drawn(terms: np.ndarray) -> np.ndarray:
+    """The draws of distinct terms, of kept ones from the cache; what is kept changes no draw."""
+    taken, names, kept = cache()
+    slot = (mixed(terms) >> U(40)).astype(np.int64) % CACHED
+    known = taken[slot] & (names[slot] == terms)
+    out = np.empty((len(terms), 4, SAMPLES), np.float32)
+    out[known] = kept[slot[known]]
+    new = np.flatnonzero(~known)
+    if len(new):
+        out[new] = draws(terms[new])
+        free, where = np.unique(slot[new], return_index=True)
+        where, free = new[where[~taken[free]]], free[~taken[free]]
+        taken[free], names[free], kept[free] = True, terms[where], out[where]
+    return out
 
 
 def least(terms: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Least ln a of each text and sample; texts are runs of terms, none empty."""
-    r, b, log_c, once = draws()
-    bucket = (mixed(terms) >> U(48)).astype(np.int64) % BUCKETS
-    a = once[bucket]
-    more = np.flatnonzero(counts > 1)
-    if len(more):
-        row = bucket[more]
-        t = np.floor(np.log(counts[more]).astype(np.float32)[:, None] / r[row] + b[row])
-        a[more] = np.where(t == 0, a[more], log_c[row] - r[row] * (t - b[row]) - r[row])
-    return np.minimum.reduceat(a, starts, axis=0)
+    """Least ln a of each text and sample; texts are runs of terms, none empty. Terms are taken in blocks of BLOCK_TERMS."""
+    out = np.full((len(starts), SAMPLES), np.inf, np.float32)
+    for i in range(0, len(terms), BLOCK_TERMS):
+        part, n = terms[i:i + BLOCK_TERMS], counts[i:i + BLOCK_TERMS]
+        some, row = np.unique(part, return_inverse=True)
+        d = drawn(some)
+        a = d[row, 3]
+        more = np.flatnonzero(n > 1)
+        if len(more):
+            r, b, log_c = (d[row[more], k] for k in range(3))
+            t = np.floor(np.log(n[more]).astype(np.float32)[:, None] / r + b)
+            a[more] = np.where(t == 0, a[more], log_c - r * (t - b) - r)
+        first = np.searchsorted(starts, i, "right") - 1
+        last = np.searchsorted(starts, i + len(part), "left")
+        edges = np.maximum(starts[first:last] - i, 0)
+        out[first:last] = np.minimum(out[first:last], np.minimum.reduceat(a, edges, axis=0))
+    return out
 
 
 def signatures(texts: list[str]) -> list[str]:

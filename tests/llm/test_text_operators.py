@@ -117,6 +117,24 @@ def test_weighted_sampling_estimates_generalised_jaccard():
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.1
 
 
+@pytest.mark.parametrize("words", [20_000, 60_000])
+def test_long_texts_without_a_common_word_are_not_alike(words):
+    a, b = (" ".join(f"{c}{i}" for i in range(words)) for c in "xy")
+    assert fingerprints.likeness(*fingerprints.signatures([a, b])) <= 0.02
+    half = " ".join(a.split()[:words // 2] + b.split()[:words // 2])
+    assert abs(fingerprints.likeness(*fingerprints.signatures([a, half])) - 1 / 3) < 0.2
+
+
+def test_weighted_sampling_blocks_and_cache_change_nothing(monkeypatch):
+    texts = [" ".join(f"w{i % 700}" for i in range(n)) for n in (900, 3, 1, 2500)]
+    want = fingerprints.signatures(texts)
+    monkeypatch.setattr(fingerprints, "BLOCK_TERMS", 7)
+    monkeypatch.setattr(fingerprints, "CACHED", 16)
+    fingerprints.cache.cache_clear()
+    assert fingerprints.signatures(texts) == want == [fingerprints.signatures([t])[0] for t in texts]
+    fingerprints.cache.cache_clear()
+
+
 def test_weighted_sampling_is_consistent():
     """ln a of a weight changes only when its t does, and grows less with the weight."""
     term = np.array([12345], np.uint64)
