@@ -2,8 +2,8 @@
 
 The base patterns give spans that always stay. The field reads the windows of a text
 that hold a digit, an @ or a spelled-out (at). A window is a run of tokens; a labelling
-cuts it into segments, each an entity of up to MOST_TOKENS tokens or a single other
-token. Features look at whole segments (digits, groups, checksum, octets, neighbours),
+cuts it into segments, each an entity (numbers of up to MOST_TOKENS tokens, addresses
+of any length) or a single other token. Features look at whole segments (digits, groups, checksum, octets, neighbours),
 and neighbouring segments have weights for their types. Training maximises the
 likelihood of windows labelled by the base patterns, and of copies of them in which the
 entity is written in another way; decoding is dynamic programming over the places of a
@@ -39,6 +39,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
 _DIGIT = re.compile("[0-9]")
+EDGE = 2                            # characters past the end of a name, for the features of its neighbours
+_RUN = re.compile(r"[\w.%+-]+")        # what names and addresses are made of
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
 
 
@@ -83,20 +85,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around triggers that lie near each other."""
+    """Stretches around triggers that lie near each other, to the ends of the names they reach into; those that touch are one."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         if out and m.start() - out[-1][1] <= MOST_GAP:
             out[-1][1] = m.end()
         else:
             out.append([m.start(), m.end()])
-    spans = []
+    spans: list[list[int]] = []
     for a, b in out:
         a, b = max(0, a - CONTEXT), min(len(text), b + CONTEXT)
-        if spans and a < spans[-1][1]:
-            a = spans[-1][1] if a < spans[-1][1] else a
-        spans.append((a, b))
-    return [(a, b) for a, b in spans if a < b]
+        m = _RUN.match(text, b) if _RUN.match(text, b - 1) else None
+        b = min(len(text), max(b, m.end() + EDGE)) if m else b
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
+            continue
+        if _RUN.match(text, a):
+            while a and _RUN.match(text, a - 1, a):
+                a -= 1
+            a = max(0, a - EDGE)
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b])
+    return [(a, b) for a, b in spans]
 
 
 class Window:
@@ -157,9 +169,9 @@ class Window:
             if self.kinds[c] != "@" and not spelled:
                 continue
             left, right = (c - 2, c + 2) if spelled else (c - 1, c + 1)
-            while left >= 0 and right - left < MOST_TOKENS and (self.kinds[left] in "9a.%+-" or self.kinds[left] == "_" and left == c - 2 and self.tokens[left] == " "):
+            while left >= 0 and (self.kinds[left] in "9a.%+-" or self.tokens[left] == "_" or self.kinds[left] == "_" and left == c - 2 and self.tokens[left] == " "):
                 left -= 1
-            while right < n and right - left < MOST_TOKENS and (self.kinds[right] in "9a.-" or self.kinds[right] == "_" and spelled and right == c + 2 and self.tokens[right] == " "):
+            while right < n and (self.kinds[right] in "9a.-" or self.kinds[right] == "_" and spelled and right == c + 2 and self.tokens[right] == " "):
                 right += 1
             i, j = left + 1, right
             while j > c and self.kinds[j - 1] not in "9a":

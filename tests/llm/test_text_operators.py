@@ -267,6 +267,31 @@ def test_field_finds_other_spellings():
     assert private.spans_of("in the year 2024 version 3.0 came", field)[1] == []
 
 
+CONTACTS = ["please write to {} today", "{}", "(see {})"]
+SPELLED = ["jo (at) mail.department.example-university.edu", "jo (at) verylongcompanyname-international.com", "a.very.long.first.name.and.a.longer.last.name[at]example.org",
+           "first_middle_and_quite_long_last_name(at)example.com", "x1y2z3x1y2z3x1y2z3x1y2z3 (at) a1b2c3d4e5f6.example.com"]
+
+
+def test_windows_hold_whole_addresses():
+    """Long local parts, long domains and neighbours: a candidate has exactly the address, and windows do not cut each other."""
+    texts = [(t.format(x), [x]) for t in CONTACTS for x in SPELLED]
+    texts += [(f"{x}, {y}; {x}", [x, y, x]) for x in SPELLED for y in SPELLED] + [("ann.bartholomew (at) company.org, christopher.doe (at) company.org", ["ann.bartholomew (at) company.org", "christopher.doe (at) company.org"])]
+    for text, want in texts:
+        found = {text[a + w.begin[i]:a + w.end[j - 1]] for a, b in private.windows(text) for w in [private.Window(text[a:b])] for i, j, k, _ in w.segments if k == 0}
+        assert set(want) <= found, text
+        spans = private.windows(text)
+        assert all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_field_finds_long_and_neighbouring_addresses():
+    rng = random.Random(4)
+    words = lambda: " ".join("".join(rng.choice("abcdelmnorst") for _ in range(rng.randrange(2, 8))) for _ in range(4))
+    field = private.train([f"{words()} {words().replace(' ', '.')}@{words().split()[0]}.example.{rng.choice(['com', 'org', 'edu'])} {words()}" for _ in range(80)] + [f"{words()} {rng.randrange(3000)} {words()}" for _ in range(40)])
+    for x in SPELLED[:4]:
+        text = f"please write to {x} or {x} today"
+        assert [text[a:b] for k, a, b in private.spans_of(text, field)[1]] == [x, x]
+
+
 def test_private_awkward(awkward, nothing):
     field = private.learned(awkward)
     assert private.find(awkward, field).count() == awkward.count()
