@@ -211,6 +211,33 @@ def test_simhash_counts_bits(spark):
         assert r.sim % 2**64 == bits
 
 
+def test_line_dedup_finds_alike_lines_of_all_lengths(spark):
+    """Recall of pairs whose edit similarity is high enough, at 8 to 100 words, without regard to SimHashes."""
+    from pyspark.sql import functions as F
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([2, 3, 4, 5, 6, 7, 9])))
+    kinds, pairs = {"one word": 0.96, "tenth": 0.96, "fifth": 0.8, "letters": 0.9}, []
+    for kind in kinds:
+        for n in (8, 12, 20, 27, 40, 60, 100):
+            for _ in range(60):
+                a = [word() for _ in range(n)]
+                b = list(a)
+                for at in rng.sample(range(n), max(1, round({"tenth": 0.1, "fifth": 0.2}.get(kind, 0) * n)) if kind != "letters" else 0):
+                    b[at] = word()
+                text = " ".join(b)
+                pairs.append((len(pairs), kind, n, " ".join(a), "".join("q" if c != " " and kind == "letters" and rng.random() < 0.02 else c for c in text)))
+    made = spark.createDataFrame(pairs, "k long, kind string, n long, x string, y string")
+    alike = made.where(F.levenshtein("x", "y") <= F.floor((1 - line_dedup.SIMILAR) * F.greatest(F.length("x"), F.length("y")) + 1e-9)).select("k", "kind", "n").collect()
+    rows = [(2 * k + h, t) for k, _, _, *both in pairs for h, t in enumerate(both)]
+    kept = {r.doc_id: r.n_kept for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(kept[2 * k] == 1 for k, *_ in pairs)
+    every, found = Counter((r.kind, r.n) for r in alike), Counter((r.kind, r.n) for r in alike if kept[2 * r.k + 1] == 0)
+    print({c: (found[c], every[c]) for c in every})
+    for kind, least in kinds.items():
+        assert sum(found[c] for c in found if c[0] == kind) >= least * sum(every[c] for c in every if c[0] == kind)
+    assert all(found[c] >= (kinds[c[0]] - 0.15) * every[c] for c in every)
+
+
 def test_line_dedup_awkward(awkward, nothing):
     rows = line_dedup.dedup(awkward).collect()
     assert len(rows) == awkward.count() and "size" in rows[0].asDict()
