@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from heldout.llm import bpe, langid, line_dedup, mixing, ngram_join
 from heldout.llm.shared import cut, documents
 
-#: Language ID rejects texts without letters and those whose language is not clear.
-LEAST_SCORE = 0.5
 #: Near duplicates: word shingles of five, Jaccard similarity of 80 percent or more.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
@@ -39,12 +37,11 @@ def unpacked(rows: DataFrame, like: DataFrame, *apart: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has letters and a clear language, learned from the labelled rows of the input."""
+    """Rows whose text has letters and is clearly of a language learned from the labelled rows of the input; held-out labelled rows say what is clear."""
     languages, matrix = langid.learned(docs)
-    found = langid.predict(docs, languages, matrix, ("_lang_found", "_lang_score"))
     if not languages:                                   # nothing to learn from: only texts without letters go
         return docs.where(line_dedup.says_something(F.col("text")))
-    return found.where((F.col("_lang_found") != langid.UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return langid.clear(docs, languages, matrix, langid.limits(docs.where(langid.held_out(F.col("doc_id"))), languages, matrix))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

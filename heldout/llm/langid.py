@@ -17,6 +17,8 @@ SIZES = (1, 2, 3)
 SMOOTH = 0.5                    # added to every count
 UNKNOWN = "und"
 CHUNK = 1 << 19
+#: Clear texts: labelled texts that a language needs for limits, spreads below its centre, share of its usual lead, variance of an n-gram's figures.
+LEAST_TEXTS, SPREADS, SHARE, GRAM_VARIANCE = 8, 5, 0.4, 12.0
 MULTIPLY = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -133,6 +135,89 @@ def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray, names: tu
     return docs.mapInArrow(run, StructType([*columns]).add(names[0], StringType()).add(names[1], DoubleType()))
 
 
+def figures(texts: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best language, its mean log likelihood per n-gram, its lead over the next per n-gram, and the number of n-grams of each text."""
+    s = score(texts, matrix)
+    n = np.array([sum(max(len(t.lower()) + 3 - size, 0) for size in SIZES) for t in texts], np.int64)
+    best, order = s.argmax(1), np.sort(s, 1)
+    lead = order[:, -1] - order[:, -2] if s.shape[1] > 1 else np.full(len(texts), np.inf)
+    return best, order[:, -1] / n, lead / n, n
+
+
+def limits(rows: DataFrame, languages: list[str], matrix: np.ndarray) -> dict[int, tuple]:
+    """What clear texts of a language look like: place of the language -> centre and variance of mean and lead.
+
+    ``rows`` (text, lang) are labelled texts that were not learned from; those told right
+    count. Centres and spreads are robust, so single wrong labels move nothing. The
+    driver receives a row per language and power of two of length. Languages with fewer
+    than LEAST_TEXTS texts have the widest limits of the others; with none of more, nothing has limits.
+    """
+    model = rows.sparkSession.sparkContext.broadcast((languages, matrix))
+
+    def run(batches):
+        names, m = model.value
+        for batch in batches:
+            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+            known = [i for i, t in enumerate(texts) if has_letter(t) and langs[i] in names]
+            if known:
+                best, mean, lead, n = figures([texts[i] for i in known], m)
+                right = np.array([names[b] == langs[i] for b, i in zip(best, known)])
+                yield pa.RecordBatch.from_arrays([pa.array(best[right].astype(np.int32)), pa.array(mean[right]), pa.array(lead[right]), pa.array(n[right])], ["code", "mean", "lead", "n"])
+
+    told = rows.select("text", "lang").where("lang is not null").mapInArrow(run, "code int, mean double, lead double, n long")
+    told = told.groupBy("code", F.floor(F.log2("n")).alias("size")).agg(F.count(F.lit(1)).alias("texts"), F.avg("n").alias("n"), *[F.percentile_approx(c, [0.25, 0.5]).alias(c) for c in ("mean", "lead")])
+    out: dict[int, tuple] = {}
+    found = told.collect()
+    for code in {r.code for r in found}:
+        own = [r for r in found if r.code == code]
+        weight = np.array([r.texts for r in own], float)
+        if weight.sum() < LEAST_TEXTS:
+            continue
+        fits = []
+        for name in ("mean", "lead"):
+            low, mid = np.array([r[name] for r in own], float).T
+            # the centre is that of the longer texts, whose figures vary least
+            by_size = np.argsort([r.n for r in own])
+            centre = mid[by_size][np.searchsorted(np.cumsum(weight[by_size]), 0.75 * weight.sum())]
+            spread = ((centre - np.minimum(low, mid)).clip(0) / 0.6745) ** 2
+            n = np.array([r.n for r in own])
+            of_texts = np.average(spread, weights=weight * n)
+            fits.append((float(centre), float(of_texts)))
+        out[code] = tuple(fits)
+    if out:
+        (mids, spreads), (leads, more) = ([np.array(x) for x in zip(*fits)] for fits in zip(*out.values()))
+        pooled = ((float(mids.min()), float(spreads.max())), (float(leads.min()), float(more.max())))
+        out = {code: out.get(code, pooled) for code in range(len(languages))}
+    return out
+
+
+def clear(docs: DataFrame, languages: list[str], matrix: np.ndarray, bounds: dict[int, tuple]) -> DataFrame:
+    """The rows of ``docs`` whose text has letters and is like those of its language, by n-gram and for its length.
+
+    The mean log likelihood may lie SPREADS spreads under the centre of the language,
+    and the lead over the next language must be SHARE of the usual one; short texts vary
+    more and may have less. Without bounds all texts with letters stay.
+    """
+    model = docs.sparkSession.sparkContext.broadcast((matrix, bounds))
+
+    def run(batches):
+        m, by_code = model.value
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            known = [i for i, t in enumerate(texts) if has_letter(t)]
+            stays = np.zeros(len(texts), bool)
+            if known:
+                for i, code, mean, lead, n in zip(known, *figures([texts[i] for i in known], m)):
+                    if code not in by_code:
+                        stays[i] = True
+                        continue
+                    (mid, v), (usual, _) = by_code[code]
+                    stays[i] = mean >= mid - SPREADS * np.sqrt(v + GRAM_VARIANCE / n) and lead >= min(SHARE * usual, usual - SPREADS * np.sqrt(GRAM_VARIANCE / n))
+            yield batch.filter(pa.array(stays))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id):
     """crc32 of the id as text, modulo 3, is 1; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1

@@ -38,6 +38,36 @@ def test_language_id_keeps_clear_texts(stages):
     assert all(langid.has_letter(r.text) for r in after)
 
 
+FOREIGN = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+           "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+           "Semua orang dilahirkan merdeka dan mempunyai martabat dan hak-hak yang sama. Mereka dikaruniai akal dan hati nurani",
+           "Все люди рождаются свободными и равными в своем достоинстве и правах", "Minden emberi lény szabadon születik és egyenlő méltósága és joga van"]
+
+
+def test_language_id_rejects_unclear_texts(spark):
+    """Gibberish, foreign texts and halves of two languages go, clean texts of all lengths stay."""
+    import random
+    docs, rng = documents(spark, "/root/testdata/sf0.01"), random.Random(1)
+    by = {}
+    for r in docs.select("lang", "text").where("lang is not null and length(text) > 2100").orderBy("doc_id").collect():
+        if not re.search(r"[$%&#*]{3}", r.text):
+            by.setdefault(r.lang, []).append(r.text)
+    planted = [("foreign", t) for t in FOREIGN]
+    for n in (60, 150, 400, 1000):
+        for _ in range(60):
+            a, b = rng.sample(sorted(by), 2)
+            planted += [(f"mixed {n}", rng.choice(by[a])[:n // 2] + " " + rng.choice(by[b])[:n // 2]), (f"gibberish {n}", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)))]
+    for n in (3, 10, 30, 100, 300, 1000):
+        planted += [(f"clean {n}", rng.choice(by[rng.choice(sorted(by))])[20:20 + n].replace("\n", " ") + "a") for _ in range(100)]
+    rows = spark.createDataFrame([(10**9 + i, t) for i, (_, t) in enumerate(planted)], "doc_id long, text string")
+    kept = {r.doc_id for r in C.language_id(spark, docs.select("doc_id", "text", "lang").unionByName(rows, allowMissingColumns=True), "").select("doc_id").collect()}
+    stay, every = Counter(k for i, (k, _) in enumerate(planted) if 10**9 + i in kept), Counter(k for k, _ in planted)
+    print({k: (stay[k], every[k]) for k in every})
+    assert stay["foreign"] == 0 and all(stay[f"gibberish {n}"] == 0 for n in (60, 150, 400, 1000))
+    assert all(stay[f"mixed {n}"] <= 0.1 * every[f"mixed {n}"] for n in (150, 400, 1000))
+    assert all(stay[k] >= 0.98 * every[k] for k in every if k.startswith("clean"))
+
+
 def test_lines_stand_once(stages):
     before, after, _ = stages["line_dedup"]
     form = lambda x: " ".join(re.sub(r"[^\w]|_", " ", x.lower()).split())
