@@ -17,8 +17,8 @@ SIZES = (1, 2, 3)
 SMOOTH = 0.5                    # added to every count
 UNKNOWN = "und"
 CHUNK = 1 << 19
-#: Clear texts: labelled texts that a language needs for limits, spreads below its centre, share of its usual lead, variance of an n-gram's figures.
-LEAST_TEXTS, SPREADS, SHARE, GRAM_VARIANCE = 8, 5, 0.4, 12.0
+#: Clear texts: labelled texts that a language needs for limits, spreads below its centre, share of its usual lead, variances of an n-gram's figures and, at least, of texts.
+LEAST_TEXTS, SPREADS, SHARE, GRAM_VARIANCE, LEAST_VARIANCE = 8, 5, 0.4, 12.0, 0.04
 MULTIPLY = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -150,7 +150,7 @@ def limits(rows: DataFrame, languages: list[str], matrix: np.ndarray) -> dict[in
     ``rows`` (text, lang) are labelled texts that were not learned from; those told right
     count. Centres and spreads are robust, so single wrong labels move nothing. The
     driver receives a row per language and power of two of length. Languages with fewer
-    than LEAST_TEXTS texts have the widest limits of the others; with none of more, nothing has limits.
+    than LEAST_TEXTS texts have no limits.
     """
     model = rows.sparkSession.sparkContext.broadcast((languages, matrix))
 
@@ -181,13 +181,9 @@ def limits(rows: DataFrame, languages: list[str], matrix: np.ndarray) -> dict[in
             centre = mid[by_size][np.searchsorted(np.cumsum(weight[by_size]), 0.75 * weight.sum())]
             spread = ((centre - np.minimum(low, mid)).clip(0) / 0.6745) ** 2
             n = np.array([r.n for r in own])
-            of_texts = np.average(spread, weights=weight * n)
+            of_texts = max(np.average(spread, weights=weight * n), LEAST_VARIANCE)
             fits.append((float(centre), float(of_texts)))
         out[code] = tuple(fits)
-    if out:
-        (mids, spreads), (leads, more) = ([np.array(x) for x in zip(*fits)] for fits in zip(*out.values()))
-        pooled = ((float(mids.min()), float(spreads.max())), (float(leads.min()), float(more.max())))
-        out = {code: out.get(code, pooled) for code in range(len(languages))}
     return out
 
 
@@ -196,7 +192,7 @@ def clear(docs: DataFrame, languages: list[str], matrix: np.ndarray, bounds: dic
 
     The mean log likelihood may lie SPREADS spreads under the centre of the language,
     and the lead over the next language must be SHARE of the usual one; short texts vary
-    more and may have less. Without bounds all texts with letters stay.
+    more and may have less. A language without bounds takes all texts nearest to it.
     """
     model = docs.sparkSession.sparkContext.broadcast((matrix, bounds))
 
