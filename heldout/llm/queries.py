@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, knn, langid, line_dedup, mixing, ngram_join, private, sharding, token_files
+from . import bpe, conversations, fingerprints, knn, langid, line_dedup, mixing, ngram_join, periods, pieces, private, sharding, token_files
 from .shared import cut, documents
 
 QUERIES: dict = {}
@@ -102,3 +102,31 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_line_dedup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup(documents(spark, folder).select("doc_id", "text"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    report, kept = conversations.repaired(conversations.damaged(rows))
+    told = ["gaps", *conversations.FAULTS, "illegal", "cost"]
+    found = report.withColumnRenamed("conv_id", "_c").join(conversations.digests(kept).withColumnRenamed("conv_id", "_d"), F.col("_c").eqNullSafe(F.col("_d")), "left")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    return every.select("conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in told], F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query("op12_sentencepiece")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    done = pieces.encoded(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.detect(documents(spark, folder), periods.damaged)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("run"), F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").alias("lines"), "collapsed")
+    return told.select("doc_id", "n_runs", (-F.col("run.before")).alias("start"), F.col("run.length").alias("length"), (-F.col("run.shorter")).alias("period"),
+                       F.expr("run.length * 1000 div -run.shorter").alias("exponent_milli"),
+                       F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
