@@ -38,12 +38,16 @@ def balanced_accuracy(rows: DataFrame, by: list[str], y: str = "y_true", p: str
     return counts.select(*by, present_recall(*[F.col(k) for k in ("tp", "fn", "tn", "fp")]).alias(name))
 
 
-def tied_scores(rows: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
-    """Positive and negative counts per distinct score, cut into score ranges."""
+def tied_counts(rows: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
+    """Positive and negative counts per distinct score."""
     t = F.col(y).cast("int")
-    counted = rows.groupBy(*by, F.col(score).cast("double").alias("__s")).agg(
+    return rows.groupBy(*by, F.col(score).cast("double").alias("__s")).agg(
         F.sum((t == 1).cast("long")).alias("pos"), F.sum((t == 0).cast("long")).alias("neg"))
-    return with_ranges(cut(counted), "__s")
+
+
+def tied_scores(rows: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
+    """Positive and negative counts per distinct score, cut into score ranges."""
+    return with_ranges(cut(tied_counts(rows, by, y, score)), "__s")
 
 
 def area(ranged: DataFrame, by: list[str], name: str) -> DataFrame:

@@ -52,12 +52,10 @@ def summarize(predictions: DataFrame, n_boot: int = 2000, cell: list[str] = CELL
     plans = [("r2", predictions.where(~is_class), "y_pred"),
              ("balanced_accuracy", predictions.where(is_class), "y_pred"),
              ("auroc", predictions.where(is_class & F.col("y_score").isNotNull()), "y_score")]
-    parts = []
-    for kind, rows, p in plans:
-        value = METRICS[kind](rows, cell, "y_true", p)
-        spread = B.interval(B.bootstrap(kind, rows, cell, scene, n_boot, 0, "y_true", p), cell)
-        parts.append(value.join(spread.drop("n_boot"), cell).withColumn("metric", F.lit(kind)))
-    long = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [METRICS[kind](rows, cell, "y_true", p).withColumn("metric", F.lit(kind)) for kind, rows, p in plans]
+    drawn = B.samples({kind: (rows, "y_true", p) for kind, rows, p in plans}, cell, scene, n_boot, 0)
+    spread = B.interval(drawn, [*cell, "metric"]).drop("n_boot")
+    long = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(spread, [*cell, "metric"])
     majority = F.when(F.col("metric") != "r2", F.greatest("__rate", 1 - F.col("__rate")))
     return long.join(facts, cell).select(*cell, "n_rows", "n_scenes", "metric", "value", "ci_low", "ci_high",
                                          chance(F.col("metric")).alias("trivial"), majority.alias("majority_rate"))
@@ -116,10 +114,10 @@ def compare_to_baseline(predictions: DataFrame, encoder: str, baseline: str, mar
     is_class = F.col("target").isin(*classes)
     observed = cut(paired.groupBy(*unit).agg((F.max("__va") - F.max("__vb")).alias("observed")))
     names = {"a": "pa", "b": "pb"}
-    r = B.resample(B.regression_sums(paired.where(~is_class), unit, "scene_index", "ya", names), unit, "scene_index", n_boot, 0)
-    c = B.resample(B.confusion_sums(paired.where(is_class), unit, "scene_index", "ya", names), unit, "scene_index", n_boot, 0)
-    gaps = r.select(*unit, "b", (B.r2_of("a") - B.r2_of("b")).alias("gap")) \
-        .unionByName(c.select(*unit, "b", (B.balanced_of("a") - B.balanced_of("b")).alias("gap")))
+    r = B.regression_sums(paired.where(~is_class), unit, "scene_index", "ya", names)
+    c = B.confusion_sums(paired.where(is_class), unit, "scene_index", "ya", names)
+    drawn = B.resample(r.unionByName(c, allowMissingColumns=True), unit, "scene_index", n_boot, 0)      # one stage of counts for all targets
+    gaps = drawn.select(*unit, "b", F.when(is_class, B.balanced_of("a") - B.balanced_of("b")).otherwise(B.r2_of("a") - B.r2_of("b")).alias("gap"))
     tests = difference_tests(gaps.join(observed, unit), unit, "gap", "observed", margin)
     return tests.select("exp", "seed", F.lit(encoder).alias("encoder"), F.lit(baseline).alias("baseline"), "target",
                         headline(F.col("target"), classes).alias("metric"),

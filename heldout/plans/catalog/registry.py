@@ -1,6 +1,7 @@
 """The table of queries and the SQL fragments they share."""
 from __future__ import annotations
 
+from ...functions.multinomial import FACTORS, LEAF, SHIFTS, START
 from ..views import HALF_MONTH, READOUTS
 
 QUERIES: dict = {}
@@ -74,17 +75,47 @@ def cells(dims: int = 64, source: str = "features", keep: str = "scene_index, fr
     return f"cells AS (SELECT {keep}, CAST(i AS INT) AS i, CAST(x[i + 1] AS DOUBLE) AS v FROM {source}, range({dims}) r(i))"
 
 
+def mix(x: str) -> str:
+    """The 64-bit finaliser of ``functions.multinomial`` in SQL."""
+    low = "18446744073709551615::UHUGEINT"
+    step = lambda z, n, c: f"list_transform({z}, lambda z: ((xor(z, z >> {n})::UHUGEINT * {c}::UHUGEINT) & {low})::UBIGINT)"
+    first = step(f"[{x}]", SHIFTS[0], FACTORS[0])
+    return f"list_transform({step(first, SHIFTS[1], FACTORS[1])}, lambda z: xor(z, z >> {SHIFTS[2]}))[1]"
+
+
+def _at(h: str, low: str, high: str) -> str:
+    inner = mix(f"xor({h}, ({low})::UBIGINT)")
+    return mix(f"xor({inner}, ({high})::UBIGINT)")
+
+
+def _unit(h: str) -> str:
+    return f"(({h} >> 11)::DOUBLE / 9007199254740992.0)"
+
+
 def draws(scenes: str, n_boot: int, by: str = "", seed: str = "0") -> str:
-    """CTEs ``numbered`` (by, scene_index, drawn, n_scenes, seed) and ``drawn`` (by, b, drawn, scene_index).
+    """CTEs ``numbered`` (by, scene_index, drawn, n_scenes, rseed) and ``drawn`` (by, b, scene_index, times).
 
-    ``scenes`` is a relation of distinct (by, scene_index).
+    ``scenes`` is a relation of distinct (by, scene_index). The tree of ``functions.multinomial``:
+    shapes of its nodes, binomial distributions of their left parts for every number of
+    draws, its nodes per replicate, and the picks of its leaves.
     """
     part = f"PARTITION BY {by}" if by else ""
     c = f"{by}, " if by else ""
     uu = u("'scene'", "scene_index")
-    on = " AND ".join([*[f"n.{k.strip()} = d.{k.strip()}" for k in by.split(",") if k.strip()], "n.drawn = d.drawn"])
-    cd = "".join(f"d.{k.strip()}, " for k in by.split(",") if k.strip())
+    half = "CAST(power(2, floor(log2(high - low - 1))) AS BIGINT)"
     return f"""numbered AS (SELECT {c}scene_index, {seed} AS rseed, row_number() OVER ({part} ORDER BY {uu}, scene_index) - 1 AS drawn, count(*) OVER ({part}) AS n_scenes FROM {scenes}),
-sizes AS (SELECT DISTINCT {c}rseed, n_scenes FROM numbered),
-raw_draws AS (SELECT {c}b, CAST(floor({u("'draw'", 'rseed', 'b', 'j')} * n_scenes) AS BIGINT) AS drawn FROM (SELECT {c}rseed, n_scenes, b, unnest(range(n_scenes)) AS j FROM sizes, range({n_boot}) r(b)) t),
-drawn AS (SELECT {cd}d.b, n.scene_index FROM raw_draws d JOIN numbered n ON {on})"""
+scene_sets AS (SELECT DISTINCT rseed, n_scenes FROM numbered),
+shapes AS (SELECT * FROM (WITH RECURSIVE t AS (SELECT DISTINCT n_scenes, CAST(0 AS BIGINT) AS low, CAST(ceil(n_scenes / {LEAF}.0) AS BIGINT) AS high FROM scene_sets
+ UNION ALL SELECT n_scenes, CASE WHEN side = 0 THEN low ELSE low + {half} END, CASE WHEN side = 0 THEN low + {half} ELSE high END FROM t, range(2) s(side) WHERE high - low > 1) SELECT * FROM t)),
+parts AS (SELECT n_scenes, low, high, low + {half} AS middle, {half} * {LEAF}.0 / (least(high * {LEAF}, n_scenes) - low * {LEAF}) AS share FROM shapes WHERE high - low > 1),
+pmf AS (SELECT p.*, n, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(share) + (n - k) * ln(1 - share)) AS w FROM (SELECT *, unnest(range(n_scenes + 1)) AS n FROM parts) p, LATERAL (SELECT unnest(range(p.n + 1)) AS k)),
+cdfs AS (SELECT n_scenes, low, high, middle, n, list(c ORDER BY k) AS cdf FROM (SELECT *, sum(w) OVER (PARTITION BY n_scenes, low, high, n ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM pmf) GROUP BY ALL),
+states AS (SELECT rseed, n_scenes, b, {mix(f"xor({mix(f'xor(rseed::UBIGINT, {START}::UBIGINT)')}, b::UBIGINT)")} AS h FROM scene_sets, range({n_boot}) r(b)),
+tree AS (SELECT * FROM (WITH RECURSIVE t AS (SELECT rseed, n_scenes, b, h, CAST(0 AS BIGINT) AS low, CAST(ceil(n_scenes / {LEAF}.0) AS BIGINT) AS high, CAST(n_scenes AS BIGINT) AS n FROM states
+ UNION ALL SELECT rseed, n_scenes, b, h, CASE WHEN side = 0 THEN low ELSE middle END, CASE WHEN side = 0 THEN middle ELSE high END, CASE WHEN side = 0 THEN k ELSE n - k END FROM
+ (SELECT t.*, middle, least(CAST(len(list_filter(cdf, lambda x: x <= {_unit(_at('h', 't.low', 't.high'))})) AS BIGINT), t.n) AS k FROM t JOIN cdfs q ON q.n_scenes = t.n_scenes AND q.low = t.low AND q.high = t.high AND q.n = t.n WHERE t.high - t.low > 1) x, range(2) s(side))
+ SELECT * FROM t WHERE high - low = 1)),
+picks AS (SELECT rseed, n_scenes, b, low * {LEAF} + CAST(floor({_unit(mix('xor(g, j::UBIGINT)'))} * least({LEAF}, n_scenes - low * {LEAF})) AS BIGINT) AS drawn
+ FROM (SELECT *, {_at('h', 'low', 'high')} AS g, unnest(range(n)) AS j FROM tree) t),
+counted AS (SELECT rseed, n_scenes, b, drawn, count(*) AS times FROM picks GROUP BY ALL),
+drawn AS (SELECT {c}b, scene_index, times FROM counted JOIN numbered USING (rseed, n_scenes, drawn))"""

@@ -20,6 +20,7 @@ def metric_r2(spark, d):
 
 
 BACC = """(sum(CASE WHEN cls = 1 AND guess = 1 THEN 1.0 ELSE 0 END) / sum(cls) + sum(CASE WHEN cls = 0 AND guess = 0 THEN 1.0 ELSE 0 END) / sum(1 - cls)) / 2"""
+WEIGHTED_BACC = "(sum(times * tp) / nullif(sum(times * p), 0) + sum(times * tn) / nullif(sum(times * q), 0)) / 2"
 
 
 @query("metric_balanced_accuracy", f"WITH {SCORED} SELECT cell, round({BACC}, 6) AS value FROM scored GROUP BY cell")
@@ -40,16 +41,16 @@ def metric_auroc(spark, d):
     return M.auroc(rows, ["cell"], "cls", "score").select("cell", R6("value"))
 
 
-@query("bootstrap_multiplicity", f"""WITH scenes AS (SELECT DISTINCT user_id AS scene_index FROM events), {draws('scenes', 20)}
-SELECT b, scene_index, count(*) AS times FROM drawn GROUP BY b, scene_index""")
+N = 2000
+
+
+@query("bootstrap_multiplicity", f"""WITH scenes AS (SELECT DISTINCT user_id AS scene_index FROM events), {draws('scenes', N)}
+SELECT b, scene_index, times FROM drawn""")
 def bootstrap_multiplicity(spark, d):
     scenes = V.plain_frames(spark, d).select("scene_index").distinct()
     table = B.numbered(scenes, [], "scene_index", 0).transform(cut)
-    times = B.multiplicities(table.select("seed", "n_scenes").distinct(), 20)
-    return times.join(table, ["seed", "n_scenes", "drawn"]).select(F.col("b").cast("long").alias("b"), "scene_index", "times")
-
-
-N = 50
+    times = B.multiplicities(table.select("seed", "n_scenes").distinct(), N)
+    return times.join(table, ["seed", "n_scenes", "drawn"]).select("b", "scene_index", "times")
 
 
 def interval_sql(sample_cte: str, by: str, value: str) -> str:
@@ -60,7 +61,7 @@ SELECT {by}, round(v.value, 6) AS value, round(lo, 6) AS ci_low, round(hi, 6) AS
 R2_SAMPLES = f"""WITH {SCORED}, stats AS (SELECT event_type, scene_index, count(*) AS n, sum((value - y_pred) ** 2) AS rss, sum(value - c) AS sy, sum((value - c) ** 2) AS syy
  FROM (SELECT *, avg(value) OVER (PARTITION BY event_type) AS c FROM scored) GROUP BY event_type, scene_index),
 {draws('stats', N, 'event_type')},
-samples AS (SELECT d.event_type, d.b, 1 - sum(rss) / (sum(syy) - sum(sy) ** 2 / sum(n)) AS s FROM drawn d JOIN stats t ON t.event_type = d.event_type AND t.scene_index = d.scene_index GROUP BY d.event_type, d.b)"""
+samples AS (SELECT d.event_type, d.b, 1 - sum(times * rss) / (sum(times * syy) - sum(times * sy) ** 2 / sum(times * n)) AS s FROM drawn d JOIN stats t ON t.event_type = d.event_type AND t.scene_index = d.scene_index GROUP BY d.event_type, d.b)"""
 
 
 def _with_interval(kind, rows, by, y, p):
@@ -75,15 +76,17 @@ def bootstrap_r2_ci(spark, d):
 
 
 @query("bootstrap_bacc_ci", interval_sql(f"""WITH {SCORED}, {draws('(SELECT DISTINCT cell, scene_index FROM scored)', N, 'cell')},
-samples AS (SELECT d.cell, d.b, {BACC} AS s FROM drawn d JOIN scored t ON t.cell = d.cell AND t.scene_index = d.scene_index GROUP BY d.cell, d.b)""",
+per AS (SELECT cell, scene_index, sum(CASE WHEN cls = 1 AND guess = 1 THEN 1.0 ELSE 0 END) AS tp, sum(cls) AS p, sum(CASE WHEN cls = 0 AND guess = 0 THEN 1.0 ELSE 0 END) AS tn, sum(1 - cls) AS q FROM scored GROUP BY ALL),
+samples AS (SELECT d.cell, d.b, {WEIGHTED_BACC} AS s FROM drawn d JOIN per t ON t.cell = d.cell AND t.scene_index = d.scene_index GROUP BY d.cell, d.b)""",
        "cell", f"SELECT cell, {BACC} AS value FROM scored GROUP BY cell"))
 def bootstrap_bacc_ci(spark, d):
     return _with_interval("balanced_accuracy", V.scored(V.plain_frames(spark, d)), ["cell"], "cls", "guess")
 
 
 @query("bootstrap_auroc_ci", interval_sql(f"""WITH {SCORED}, {draws('(SELECT DISTINCT cell, scene_index FROM scored)', N, 'cell')},
-w AS (SELECT d.cell, d.b, t.score, t.cls FROM drawn d JOIN scored t ON t.cell = d.cell AND t.scene_index = d.scene_index),
-samples AS (SELECT cell, b, auc AS s FROM ({auc_sql('w', 'cell, b')}))""",
+per AS (SELECT cell, scene_index, score, cls, count(*) AS n FROM scored GROUP BY ALL),
+w AS (SELECT d.cell, d.b, t.score, t.cls, d.times * t.n AS times FROM drawn d JOIN per t ON t.cell = d.cell AND t.scene_index = d.scene_index),
+samples AS (SELECT cell, b, auc AS s FROM ({auc_sql('w', 'cell, b', 'times')}))""",
        "cell", f"SELECT cell, auc AS value FROM ({auc_sql('scored', 'cell')})"))
 def bootstrap_auroc_ci(spark, d):
     return _with_interval("auroc", V.scored(V.plain_frames(spark, d)), ["cell"], "cls", "score")

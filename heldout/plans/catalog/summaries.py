@@ -29,16 +29,17 @@ def best_cell(spark, d):
     return S.best_cells(scores, ["encoder", "seed", "target"]).select("encoder", "seed", "target", "layer", "view", R6("value"))
 
 
-N = 40
+N, CURVE_N = 2000, 500
 TEST_SCENES = "(SELECT DISTINCT seed, scene_index FROM predictions)"
 SUMMARY = f"""WITH {PREDICTIONS}, {SCORES}, {draws(TEST_SCENES, N, 'seed', 'seed')},
 ps AS (SELECT {CELL}, scene_index, sum((y_true - y_pred) ** 2) AS rss, count(*) AS n, sum(y_true - 50) AS sy, sum((y_true - 50) ** 2) AS syy,
  sum(CASE WHEN y_true = 1 AND y_pred = 1 THEN 1.0 ELSE 0 END) AS tp, sum(CASE WHEN y_true = 1 THEN 1.0 ELSE 0 END) AS p,
  sum(CASE WHEN y_true = 0 AND y_pred = 0 THEN 1.0 ELSE 0 END) AS tn, sum(CASE WHEN y_true = 0 THEN 1.0 ELSE 0 END) AS q FROM predictions GROUP BY {CELL}, scene_index),
-boot AS (SELECT {', '.join('p.' + c.strip() for c in CELL.split(','))}, d.b, CASE WHEN target = 'alert' THEN (sum(tp) / sum(p) + sum(tn) / sum(q)) / 2 ELSE 1 - sum(rss) / (sum(syy) - sum(sy) ** 2 / sum(n)) END AS s
+boot AS (SELECT {', '.join('p.' + c.strip() for c in CELL.split(','))}, d.b, CASE WHEN target = 'alert' THEN (sum(times * tp) / nullif(sum(times * p), 0) + sum(times * tn) / nullif(sum(times * q), 0)) / 2 ELSE 1 - sum(times * rss) / (sum(times * syy) - sum(times * sy) ** 2 / sum(times * n)) END AS s
  FROM ps p JOIN drawn d ON p.seed = d.seed AND p.scene_index = d.scene_index GROUP BY {', '.join('p.' + c.strip() for c in CELL.split(','))}, d.b),
-tie AS (SELECT {CELL}, CAST(b AS BIGINT) AS b, y_score AS score, CAST(sum(y_true) AS DOUBLE) AS pos, CAST(sum(1 - y_true) AS DOUBLE) AS neg FROM
- (SELECT {', '.join('p.' + c.strip() for c in CELL.split(','))}, d.b, y_score, y_true FROM predictions p JOIN (SELECT * FROM drawn UNION ALL SELECT DISTINCT seed, -1, scene_index FROM predictions) d ON p.seed = d.seed AND p.scene_index = d.scene_index WHERE target = 'alert') GROUP BY {CELL}, b, y_score),
+level AS (SELECT {CELL}, scene_index, y_score, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM predictions WHERE target = 'alert' GROUP BY ALL),
+tie AS (SELECT {', '.join('p.' + c.strip() for c in CELL.split(','))}, CAST(d.b AS BIGINT) AS b, y_score AS score, CAST(sum(times * pos) AS DOUBLE) AS pos, CAST(sum(times * neg) AS DOUBLE) AS neg FROM
+ level p JOIN (SELECT * FROM drawn UNION ALL SELECT DISTINCT seed, -1, scene_index, 1 FROM predictions) d ON p.seed = d.seed AND p.scene_index = d.scene_index GROUP BY ALL),
 auc AS (SELECT {CELL}, b, sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS s FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {CELL}, b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM tie) GROUP BY {CELL}, b),
 pts AS (SELECT {CELL}, metric, value FROM scores UNION ALL SELECT {CELL}, 'auroc', s FROM auc WHERE b = -1),
 ci AS (SELECT {CELL}, metric, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM
@@ -83,10 +84,11 @@ COMPARE = f"""WITH {PREDICTIONS}, {SCORES}, top AS (SELECT *, row_number() OVER
 pick AS (SELECT p.* FROM predictions p JOIN top t ON t.rn = 1 AND t.encoder = p.encoder AND t.seed = p.seed AND t.target = p.target AND t.layer = p.layer AND t.view = p.view),
 pr AS (SELECT a.seed, a.target, a.scene_index, a.y_true AS y, a.y_pred AS pa, b.y_pred AS pb FROM pick a JOIN pick b ON a.encoder = 'strong' AND b.encoder = 'weak' AND a.seed = b.seed AND a.target = b.target AND a.scene_index = b.scene_index AND a.frame_index = b.frame_index),
 {draws('(SELECT DISTINCT seed, scene_index FROM pr)', N, 'seed', 'seed')},
-g AS (SELECT p.seed, p.target, d.b, CASE WHEN p.target = 'alert' THEN
- (sum(CASE WHEN y = 1 AND pa = 1 THEN 1.0 ELSE 0 END) - sum(CASE WHEN y = 1 AND pb = 1 THEN 1.0 ELSE 0 END)) / sum(y) / 2 + (sum(CASE WHEN y = 0 AND pa = 0 THEN 1.0 ELSE 0 END) - sum(CASE WHEN y = 0 AND pb = 0 THEN 1.0 ELSE 0 END)) / sum(1 - y) / 2
- ELSE (sum((y - pb) ** 2) - sum((y - pa) ** 2)) / (sum((y - 50) ** 2) - sum(y - 50) ** 2 / count(*)) END AS gap
- FROM pr p JOIN drawn d ON p.seed = d.seed AND p.scene_index = d.scene_index GROUP BY p.seed, p.target, d.b),
+ps AS (SELECT seed, target, scene_index, count(*) AS n, sum(y) AS p, sum(1 - y) AS q, sum(CASE WHEN y = 1 THEN CAST(pa = 1 AS INT) - CAST(pb = 1 AS INT) ELSE 0 END) AS hit, sum(CASE WHEN y = 0 THEN CAST(pa = 0 AS INT) - CAST(pb = 0 AS INT) ELSE 0 END) AS miss,
+ sum((y - pb) ** 2) - sum((y - pa) ** 2) AS less, sum(y - 50) AS sy, sum((y - 50) ** 2) AS syy FROM pr GROUP BY ALL),
+g AS (SELECT p.seed, p.target, d.b, CASE WHEN p.target = 'alert' THEN sum(times * hit) / sum(times * p) / 2 + sum(times * miss) / sum(times * q) / 2
+ ELSE sum(times * less) / (sum(times * syy) - sum(times * sy) ** 2 / sum(times * n)) END AS gap
+ FROM ps p JOIN drawn d ON p.seed = d.seed AND p.scene_index = d.scene_index GROUP BY p.seed, p.target, d.b),
 obs AS (SELECT a.seed, a.target, a.metric, a.value - b.value AS observed FROM top a JOIN top b ON a.encoder = 'strong' AND b.encoder = 'weak' AND a.rn = 1 AND b.rn = 1 AND a.seed = b.seed AND a.target = b.target),
 tests AS (SELECT 'D' AS exp, seed, 'strong' AS encoder, 'weak' AS baseline, target, metric, observed AS observed_difference, avg(CASE WHEN gap <= 0 THEN 1.0 ELSE 0 END) AS p_superiority,
  quantile_cont(gap, 0.05) AS lo, quantile_cont(gap, 0.95) AS hi, avg(CASE WHEN gap >= {M} THEN 1.0 ELSE 0 END) AS up, avg(CASE WHEN gap <= -{M} THEN 1.0 ELSE 0 END) AS down, count(*) AS n FROM g JOIN obs USING (seed, target) GROUP BY seed, target, metric, observed),
@@ -136,22 +138,26 @@ def occlusion_bins(spark, d):
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("scene_index").alias("n_scenes"))
 
 
-def _score(s: str) -> str:
-    hit = lambda v: f"sum(CASE WHEN y_{s} = {v} AND p_{s} = {v} THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN y_{s} = {v} THEN 1.0 ELSE 0 END), 0)"
-    return f"CASE WHEN target = 'alert' THEN coalesce(({hit(1)} + {hit(0)}) / 2, {hit(1)}, {hit(0)}) ELSE 1 - avg((y_{s} - p_{s}) ** 2) / any_value(var) END"
+def _score(s: str, times: str = "1") -> str:
+    hit = lambda v: f"sum({times} * tp{v}_{s}) / nullif(sum({times} * n{v}_{s}), 0)"
+    return f"CASE WHEN target = 'alert' THEN coalesce(({hit(1)} + {hit(0)}) / 2, {hit(1)}, {hit(0)}) ELSE 1 - sum({times} * rss_{s}) / sum({times} * n) / any_value(var) END"
+
+
+_SIDES = ", ".join(f"sum((y_{s} - p_{s}) ** 2) AS rss_{s}, " + ", ".join(f"sum(CASE WHEN y_{s} = {v} AND p_{s} = {v} THEN 1.0 ELSE 0 END) AS tp{v}_{s}, sum(CASE WHEN y_{s} = {v} THEN 1.0 ELSE 0 END) AS n{v}_{s}" for v in (0, 1)) for s in ("base", "occ"))
 
 
 RATIO = "(o - CASE WHEN target = 'alert' THEN 0.5 ELSE 0 END) / (b0 - CASE WHEN target = 'alert' THEN 0.5 ELSE 0 END)"
 
 
-@query("retained_skill", f"""WITH {PAIRED}, {draws('(SELECT DISTINCT target, bin, scene_index FROM binned)', N, 'target, bin')},
-pt AS (SELECT target, bin, count(*) AS n_rows, count(DISTINCT scene_index) AS ns, {_score('base')} AS b0, {_score('occ')} AS o FROM binned GROUP BY target, bin),
-bt AS (SELECT target, bin, b, {_score('base')} AS b0, {_score('occ')} AS o FROM (SELECT r.*, d.b FROM binned r JOIN drawn d ON r.target = d.target AND r.bin = d.bin AND r.scene_index = d.scene_index) GROUP BY target, bin, b),
+@query("retained_skill", f"""WITH {PAIRED}, {draws('(SELECT DISTINCT target, bin, scene_index FROM binned)', CURVE_N, 'target, bin')},
+per AS (SELECT target, bin, scene_index, any_value(var) AS var, count(*) AS n, {_SIDES} FROM binned GROUP BY target, bin, scene_index),
+pt AS (SELECT target, bin, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS ns, {_score('base')} AS b0, {_score('occ')} AS o FROM per GROUP BY target, bin),
+bt AS (SELECT target, bin, b, {_score('base', 'times')} AS b0, {_score('occ', 'times')} AS o FROM (SELECT r.*, d.b, d.times FROM per r JOIN drawn d ON r.target = d.target AND r.bin = d.bin AND r.scene_index = d.scene_index) GROUP BY target, bin, b),
 ci AS (SELECT target, bin, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM (SELECT target, bin, {RATIO} AS s, b0 FROM bt) WHERE abs(b0 - CASE WHEN target = 'alert' THEN 0.5 ELSE 0 END) > 1e-9 GROUP BY target, bin)
 SELECT target, bin, n_rows, round(CASE WHEN n_rows >= 30 AND ns >= 8 THEN {RATIO} ELSE 'nan'::DOUBLE END, 5) AS value, round(lo, 5) AS ci_low, round(hi, 5) AS ci_high, round(b0, 5) AS base_value FROM pt JOIN ci USING (target, bin)""")
 def retained_skill(spark, d):
     p = S.paired_rows(cut(V.transfer_predictions(spark, d)), "strong", ("value", "alert"))
-    c = S.retained_skill(p, ["exp", "seed", "target"], classes=V.CLASSES, n_boot=N)
+    c = S.retained_skill(p, ["exp", "seed", "target"], classes=V.CLASSES, n_boot=CURVE_N)
     return c.select("target", "bin", "n_rows", *[F.round(x, 5).alias(x) for x in ("value", "ci_low", "ci_high", "base_value")])
 
 
