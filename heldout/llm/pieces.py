@@ -3,13 +3,12 @@
 A text becomes symbols, one per character, blanks as the space mark. Adjacent pairs
 that are pieces together stand on an agenda, best score first, then leftmost; the best
 is merged and the pairs with its new neighbours join the agenda; entries whose symbols
-have changed meanwhile are passed over. Where no piece holds two characters side by side no merge joins them, so
-texts are cut there: into units (marks, then other characters), as no piece holds a
-mark after another character, and units into parts. A task keeps what it has seen
-last, so frequent units and parts are encoded once.
+have changed meanwhile are passed over. No piece holds a space mark after another character, so no merge crosses
+into the next run of marks: texts are cut into units there, and a task keeps the units
+it has seen last, so frequent ones are encoded once.
 
-Every Arrow batch is encoded by the sentencepiece library too, whole texts, and the
-ids of new parts are decoded by it; any difference fails the task.
+In every Arrow batch the sentencepiece library encodes the new units too, and it decodes
+every piece when a model is loaded; any difference fails the task.
 """
 from __future__ import annotations
 
@@ -17,13 +16,16 @@ import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import slices
+
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-KEPT_CHARS = 1 << 22                # characters of the units, and of the parts, that a task keeps
+KEPT_CHARS = 1 << 22                # characters of the units that a task keeps
 BLOCK_CHARS = 1 << 20
 
 
@@ -45,10 +47,12 @@ class Pieces:
             raise ValueError(f"{path}: a vocabulary with byte pieces is needed")
         self.end = lib.eos_id()
         self.units = not any(SPACE in name.lstrip(SPACE) for name in self.cost)
-        self.joined = {pair for name in self.cost for pair in map(str.__add__, name, name[1:])}
-        value = {i: b"" for i in special} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
+        value = {i: b"" for i in special} | {i: bytes([b]) for b, i in enumerate(self.bytes)} | {lib.unk_id(): " \u2047 ".encode()}
         self.value = [value.get(i, name.replace(SPACE, " ").encode()) for i, name in zip(ids, self.names)]
         self.decimal = [str(i) for i in ids]
+        told = [v.decode("utf-8", "replace") for v in self.value]       # after another piece, so that no mark in front goes
+        if [self.library.decode([self.id["a"], i]) for i in ids] != ["a" + t for t in told]:
+            raise ValueError(f"{path}: the library decodes a piece otherwise")
 
     def marked(self, text: str) -> str:
         """The text as the model sees it: blanks as space marks, one in front of all."""
@@ -56,34 +60,41 @@ class Pieces:
 
     def merge(self, unit: str) -> tuple[int, ...]:
         """Ids of one unit."""
-        cost, part = self.cost, list(unit)
+        cost, part = self.cost.get, list(unit)
         n = len(part)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        agenda = [(c, i, i + 1, pair) for i, pair in enumerate(map(add, part, part[1:])) if (c := cost(pair)) is not None]
         made: dict[str, tuple[str, str]] = {}
-        agenda = [(cost[pair], i, i + 1, pair) for i, pair in enumerate(map(str.__add__, part, part[1:])) if pair in cost]
-        heapify(agenda)
+        if agenda:
+            heapify(agenda)
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while agenda:
             _, i, j, both = heappop(agenda)
-            if part[i] + part[j] != both or after[i] != j or not part[j]:
+            left, right = part[i], part[j]
+            if not right or after[i] != j or left + right != both:
                 continue                                        # one of the two was merged meanwhile
-            if both in self.unused:
-                made[both] = (part[i], part[j])
+            if self.unused and both in self.unused:
+                made[both] = (left, right)
             part[i], part[j] = both, ""
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 pair = both + part[k]
-                if pair in cost:
-                    heappush(agenda, (cost[pair], i, k, pair))
+                if (c := cost(pair)) is not None:
+                    heappush(agenda, (c, i, k, pair))
             h = before[i]
             if h >= 0:
                 pair = part[h] + both
-                if pair in cost:
-                    heappush(agenda, (cost[pair], h, i, pair))
+                if (c := cost(pair)) is not None:
+                    heappush(agenda, (c, h, i, pair))
+        names = list(filter(None, part))
+        try:
+            if not made:
+                return tuple([self.id[x] for x in names])
+        except KeyError:                                        # a character that is no piece
+            pass
         out: list[int] = []
-        for name in part:
-            if name:
-                self._told(name, made, out)
+        for name in names:
+            self._told(name, made, out)
         return tuple(out)
 
     def _told(self, name: str, made: dict, out: list[int]):
@@ -95,43 +106,22 @@ class Pieces:
         else:
             out.extend(self.bytes[b] for b in name.encode())
 
-    def parts(self, unit: str) -> list[str]:
-        """The unit cut where no piece holds the two characters."""
-        cuts = [k for k, pair in enumerate(map(str.__add__, unit, unit[1:]), 1) if pair not in self.joined]
-        return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)])]
-
-    def encode(self, texts: list[str], seen: dict, seen_parts: dict) -> list[list[int]]:
-        """Ids of each text, then the end id; ``seen`` and ``seen_parts`` keep ids of units and parts between calls."""
-        out = []
-        new: dict[str, tuple[int, ...]] = {}
-        for text in texts:
-            whole = self.marked(text)
-            units = _UNIT.findall(whole) if self.units else [whole] if whole else []
-            told = []
-            for u in units:
-                ids = seen.get(u)
-                if ids is None:
-                    parts = self.parts(u)
-                    for x in parts:
-                        if x not in seen_parts:
-                            seen_parts[x] = new[x] = self.merge(x)
-                    ids = seen[u] = seen_parts[u] if len(parts) == 1 else tuple(chain.from_iterable(map(seen_parts.__getitem__, parts)))
-                told.append(ids)
-            ids = list(chain.from_iterable(told))
-            ids.append(self.end)
-            out.append(ids)
-        self.check(texts, out, new)
-        return out
-
-    def check(self, texts: list[str], found: list[list[int]], new: dict[str, tuple[int, ...]]):
-        """Raises if the library gives other ids for a text, or another text for the ids of a new part."""
-        for text, ids, other in zip(texts, found, self.library.encode(texts, add_eos=True, num_threads=1)):
-            if ids != other:
-                raise ValueError(f"other ids than the library's for {text[:200]!r}")
-        parts = [list(x) for x in new.values()]
-        for ids, other in zip(parts, self.library.decode(parts, num_threads=1) if parts else []):
-            if self.decode(ids) != other:
-                raise ValueError(f"another text than the library's for {ids[:50]}")
+    def encode(self, texts: list[str], seen: dict) -> list[list[int]]:
+        """Ids of each text, then the end id; ``seen`` keeps ids of units between calls."""
+        cut = _UNIT.findall if self.units else lambda whole: [whole] if whole else []
+        units = [cut(self.marked(t)) for t in texts]
+        new = list(set().union(*units).difference(seen))
+        found = [self.merge(u) for u in new]
+        self.check(new, found)
+        seen.update(zip(new, found))
+        return [[*chain.from_iterable(map(seen.__getitem__, u)), self.end] for u in units]
+
+    def check(self, units: list[str], found: list[tuple[int, ...]]):
+        """Raises if the library gives other ids for a unit; the library puts the mark in front, but not before an empty text."""
+        texts = [u[1:].replace(SPACE, " ") for u in units]
+        for u, t, ids, other in zip(units, texts, found, self.library.encode(texts, num_threads=1) if texts else []):
+            if list(ids) != (other or self.library.encode("a ")[-1:]):
+                raise ValueError(f"other ids than the library's for {u[:200]!r}")
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes that are no UTF-8 become U+FFFD, special pieces nothing, the mark in front goes."""
@@ -166,14 +156,13 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     rewriting of characters; the library's ids fail the task where that is not so.
     """
     def run(batches):
-        model, seen, seen_parts = pieces(path), {}, {}
-        for batch in batches:
+        model, seen = pieces(path), {}
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in blocks(texts):
-                ids = model.encode(texts[i:j], seen, seen_parts)
-                for kept in (seen, seen_parts):
-                    if sum(map(len, kept)) > KEPT_CHARS:
-                        kept.clear()
+                ids = model.encode(texts[i:j], seen)
+                if sum(map(len, seen)) > KEPT_CHARS:
+                    seen.clear()
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, j - i), pa.array(map(len, ids), pa.int64()),
                     pa.array((" ".join(map(model.decimal.__getitem__, x)) for x in ids), pa.string()), pa.array(map(model.decode, ids), pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from heldout.operators.common import parallelism, shared_folder  # noqa: F401
@@ -34,3 +36,15 @@ def unsigned32(c: Column) -> Column:
     """Spark's crc32 is already unsigned; null texts count as empty."""
     return F.crc32(F.coalesce(c, F.lit("")).cast("binary"))
 
+
+
+def slices(batches, name: str = "text", most: int = 1 << 22):
+    """The Arrow batches in runs of rows whose values of ``name`` have about ``most`` bytes together, so that a task holds few texts as objects."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        a = 0
+        while a < batch.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+            yield batch.slice(a, z - a)
+            a = z

@@ -131,18 +131,18 @@ def test_pieces_match_the_library():
     rng = random.Random(3)
     pick = lambda: rng.choice([chr(rng.randrange(32, 127)), chr(rng.randrange(0xa0, 0x250)), chr(rng.randrange(0x250, 0xd7ff)), chr(rng.randrange(0x1f300, 0x1f700)), " ", " ", "\n", "▁", "e", "th"])
     texts = ["".join(pick() for _ in range(rng.randrange(60))) for _ in range(800)] + ["", " ", "  ", "▁", "▁▁a", "a  b", "<s>a</s>", "<0x41>", "\0", "x" * 4000, "ab" * 3000, " a" * 500, "the end "]
-    model, seen, parts = pieces.Pieces(MODEL), {}, {}
-    for text, ids in zip(texts, model.encode(texts, seen, parts)):
+    model, seen = pieces.Pieces(MODEL), {}
+    for text, ids in zip(texts, model.encode(texts, seen)):
         assert ids == model.library.encode(text, add_eos=True) and model.decode(ids) == model.library.decode(ids)
-        assert model.merge(model.marked(text)) == tuple(ids[:-1])       # units and parts change nothing
-    assert model.decode([2]) == model.decode([]) == "" and model.decode([1, 259 + 0, 2]) == model.library.decode([1, 259, 2])
+        assert model.merge(model.marked(text)) == tuple(ids[:-1])       # units change nothing
+    assert model.decode([2]) == model.decode([]) == "" and model.decode([1, 259, 2]) == model.library.decode([1, 259, 2])
 
 
 def test_pieces_notice_another_result():
     model = pieces.Pieces(MODEL)
     del model.cost["▁the"]
     with pytest.raises(ValueError, match="library"):
-        model.encode(["the thing there"], {}, {})
+        model.encode(["the thing there"], {})
 
 
 def test_pieces_query_and_awkward_rows(spark, folder, texts, awkward, nothing):
