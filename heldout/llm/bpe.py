@@ -16,9 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import slices
+
 NONE = np.int32(2**31 - 1)
 LONG = 1024                     # longer pieces are rows of their own
-KEPT_PIECES = 600_000
+KEPT_BYTES = 1 << 24             # of the pieces that a task keeps, objects included
+OBJECTS = 130                    # bytes of a kept piece besides its characters and ids
 BLOCK_CHARS = 1 << 20
 
 #: Letters, numbers and other characters of the first Unicode blocks, for texts that have no others.
@@ -63,7 +66,6 @@ class Vocabulary:
         self.length[[r for _, r in order]] = [len(t) for t, _ in order]
         self.start = np.cumsum(self.length) - self.length
         self.pool = np.frombuffer(b"".join(t for t, _ in order), np.uint8)
-        self.seen: dict[str, bytes] = {}
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -118,8 +120,8 @@ class Vocabulary:
     def merge_long(self, piece: bytes) -> bytes:
         """The same for one long row: a round merges all places of the smallest rank from the left.
 
-        The result is that of one merge a round: every token is made of two of lower
-        rank, so a merge opens no pair that ranks below it.
+        The result is that of one merge a round: a round ends early at the first place
+        whose merge opens a pair of lower rank with its neighbours.
         """
         ids = self.single[np.frombuffer(piece, np.uint8)]
         while len(ids) > 1:
@@ -131,6 +133,10 @@ class Vocabulary:
             run = np.diff(at, prepend=-2) != 1
             place = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
             at = at[place % 2 == 0]
+            beside = np.append(ids, [-1, -1])[at + 2], np.where(np.diff(at, prepend=-9) == 2, best, np.append(-1, ids)[at])
+            merged = np.full(len(at), best, np.int32)
+            lower = np.flatnonzero(np.minimum(self.rank(merged, beside[0]), self.rank(beside[1], merged)) < best)
+            at = at[:lower[0] + 1] if len(lower) else at
             ids = ids.copy()
             ids[at] = best
             ids = np.delete(ids, at + 1)
@@ -156,15 +162,16 @@ class Vocabulary:
                     out[i] = ids
         return out
 
-    def encode(self, texts: list[str], split) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+    def encode(self, texts: list[str], split, seen: dict[str, bytes] | None = None) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers; ``seen`` keeps the ids of pieces between calls, KEPT_BYTES at most."""
+        seen = {} if seen is None else seen
         lists = [split(t) for t in texts]
-        new = list(set().union(*lists).difference(self.seen))
-        if len(self.seen) + len(new) > KEPT_PIECES:
-            self.seen.clear()
-            new = list(set().union(*lists))
-        self.seen.update(zip(new, self.encode_pieces(new)))
-        return [b"".join(map(self.seen.__getitem__, p)) for p in lists]
+        new = list(set().union(*lists).difference(seen))
+        seen.update(zip(new, self.encode_pieces(new)))
+        out = [b"".join(map(seen.__getitem__, p)) for p in lists]
+        if sum(map(len, seen.values())) + sum(map(len, seen)) + OBJECTS * len(seen) > KEPT_BYTES:
+            seen.clear()
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of the ids; whole arrays at once, 2^16 ids at a time."""
@@ -201,11 +208,11 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     An empty table gives no rows. ``path`` names a tiktoken file on every executor.
     """
     def run(batches):
-        voc, split = vocabulary(path), splitter(pattern)
-        for batch in batches:
+        voc, split, seen = vocabulary(path), splitter(pattern), {}
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in blocks(texts):
-                ids = voc.encode(texts[i:j], split)
+                ids = voc.encode(texts[i:j], split, seen)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.binary()), pa.array(map(voc.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"])
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
 
@@ -213,12 +220,12 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), the digests of ``encoded`` made where the ids are."""
     def run(batches):
-        voc, split = vocabulary(path), splitter(pattern)
-        for batch in batches:
+        voc, split, seen = vocabulary(path), splitter(pattern), {}
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = []
             for i, j in blocks(texts):
-                for ids in voc.encode(texts[i:j], split):
+                for ids in voc.encode(texts[i:j], split, seen):
                     rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(voc.decode(ids)).hexdigest()))
             n, a, b = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -12,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from .shared import slices
+
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3)
 SMOOTH = 0.5                    # added to every count
 UNKNOWN = "und"
 CHUNK = 1 << 19
-#: Clear texts: labelled texts that a language needs for limits, spreads below its centre, share of its usual lead, variances of an n-gram's figures and, at least, of texts.
-LEAST_TEXTS, SPREADS, SHARE, GRAM_VARIANCE, LEAST_VARIANCE = 8, 5, 0.4, 12.0, 0.04
+#: Clear texts: labelled texts that the centres and the variances of all languages together weigh as, spreads below a centre, share of the usual lead, variances of an n-gram's figures and, at least, of texts.
+POOLED_TEXTS, POOLED_SPREADS, SPREADS, SHARE, GRAM_VARIANCE, LEAST_VARIANCE = 8, 100, 5, 0.4, 12.0, 0.04
 MULTIPLY = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -53,7 +55,7 @@ def buckets(points: np.ndarray, size: int) -> np.ndarray:
 def _count(batches):
     codes: dict[str, int] = {}
     counts = np.zeros((0, BUCKETS), np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         langs = batch.column("lang").to_pylist()
         texts = batch.column("text").to_pylist()
         kept = [i for i, t in enumerate(texts) if has_letter(t)]
@@ -119,7 +121,7 @@ def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray, names: tu
 
     def run(batches):
         known_names, m = model.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             known = [i for i, t in enumerate(texts) if known_names and has_letter(t)]
             lang, value = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -149,14 +151,16 @@ def limits(rows: DataFrame, languages: list[str], matrix: np.ndarray) -> dict[in
 
     ``rows`` (text, lang) are labelled texts that were not learned from; those told right
     count. Centres and spreads are robust, so single wrong labels move nothing. The
-    driver receives a row per language and power of two of length. Languages with fewer
-    than LEAST_TEXTS texts have no limits.
+    driver receives a row per language and power of two of length. A language's figures
+    are drawn towards those of all languages, which weigh as POOLED_TEXTS texts (in
+    variances, which few texts tell badly, POOLED_SPREADS), so every learned
+    language has limits; only without any such text there are none.
     """
     model = rows.sparkSession.sparkContext.broadcast((languages, matrix))
 
     def run(batches):
         names, m = model.value
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             known = [i for i, t in enumerate(texts) if has_letter(t) and langs[i] in names]
             if known:
@@ -166,24 +170,37 @@ def limits(rows: DataFrame, languages: list[str], matrix: np.ndarray) -> dict[in
 
     told = rows.select("text", "lang").where("lang is not null").mapInArrow(run, "code int, mean double, lead double, n long")
     told = told.groupBy("code", F.floor(F.log2("n")).alias("size")).agg(F.count(F.lit(1)).alias("texts"), F.avg("n").alias("n"), *[F.percentile_approx(c, [0.25, 0.5]).alias(c) for c in ("mean", "lead")])
-    out: dict[int, tuple] = {}
     found = told.collect()
-    for code in {r.code for r in found}:
+    fits: dict[int, list] = {}
+    texts = {code: float(sum(r.texts for r in found if r.code == code)) for code in {r.code for r in found}}
+    for code in texts:
         own = [r for r in found if r.code == code]
-        weight = np.array([r.texts for r in own], float)
-        if weight.sum() < LEAST_TEXTS:
-            continue
-        fits = []
+        weight, n = np.array([r.texts for r in own], float), np.array([r.n for r in own])
         for name in ("mean", "lead"):
             low, mid = np.array([r[name] for r in own], float).T
-            # the centre is that of the longer texts, whose figures vary least
-            by_size = np.argsort([r.n for r in own])
-            centre = mid[by_size][np.searchsorted(np.cumsum(weight[by_size]), 0.75 * weight.sum())]
+            # the centre is a median; longer texts, whose figures vary less, weigh more
+            order = np.argsort(mid)
+            share = np.cumsum((weight * np.sqrt(n))[order])
+            centre = mid[order][np.searchsorted(share, 0.5 * share[-1])]
             spread = ((centre - np.minimum(low, mid)).clip(0) / 0.6745) ** 2
-            n = np.array([r.n for r in own])
-            of_texts = max(np.average(spread, weights=weight * n), LEAST_VARIANCE)
-            fits.append((float(centre), float(of_texts)))
-        out[code] = tuple(fits)
+            fits.setdefault(code, []).append((float(centre), float(np.average(spread, weights=weight * n))))
+    return shrunk(fits, texts, len(languages))
+
+
+def shrunk(fits: dict[int, list], texts: dict[int, float], n_languages: int) -> dict[int, tuple]:
+    """Limits of every language: its (centre, variance) of mean and lead, mixed with those of all languages by number of texts."""
+    if not fits:
+        return {}
+    weight = np.array([texts[c] for c in fits])
+    centres, spreads = (np.array([[f[k] for f in fits[c]] for c in fits]) for k in (0, 1))
+    middle = np.average(centres, axis=0, weights=weight)
+    spread = np.average(spreads + (centres - middle) ** 2, axis=0, weights=weight)
+    out = {}
+    for code in range(n_languages):
+        n = texts.get(code, 0.0)
+        w, x = n / (n + POOLED_TEXTS), n / (n + POOLED_SPREADS)
+        own = fits.get(code, [(m, v) for m, v in zip(middle, spread)])
+        out[code] = tuple((float(w * c + (1 - w) * m), float(max(x * v + (1 - x) * s + w * (1 - w) * (c - m) ** 2, LEAST_VARIANCE))) for (c, v), m, s in zip(own, middle, spread))
     return out
 
 
@@ -192,13 +209,13 @@ def clear(docs: DataFrame, languages: list[str], matrix: np.ndarray, bounds: dic
 
     The mean log likelihood may lie SPREADS spreads under the centre of the language,
     and the lead over the next language must be SHARE of the usual one; short texts vary
-    more and may have less. A language without bounds takes all texts nearest to it.
+    more and may have less. Without any bounds all texts with letters stay.
     """
     model = docs.sparkSession.sparkContext.broadcast((matrix, bounds))
 
     def run(batches):
         m, by_code = model.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             known = [i for i, t in enumerate(texts) if has_letter(t)]
             stays = np.zeros(len(texts), bool)

@@ -46,28 +46,40 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share=SHARE, p
 def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share=SHARE, passes: int = PASSES) -> DataFrame:
     """Adds source_size, target and taken (words taken, repeats counted) to rows (doc_id, source, size, ...).
 
-    The rows are read twice, so pass a table, not a long plan. Null ids and repeated
-    rows draw keys as any others (equal ids: equal keys, one after the other); a null
-    source is a source of its own, last in the order; a null size counts as 0; other
-    columns pass through. An empty table gives no rows. The driver holds one row per
-    source, nothing per document.
+    The rows are read twice, so pass a table, not a long plan. Rows of one id draw one
+    key and follow by size, then by a hash of their other columns, so any order of the
+    rows gives the same words; rows without an id draw keys by size. A null source is a
+    source of its own, last in the order; a null size counts as 0. Other columns pass
+    through; those named as an added column get ``_given`` behind their name. An empty
+    table gives no rows. The driver holds one row per source, nothing per document.
     """
     spark = docs.sparkSession
-    rows = docs.withColumn("size", F.coalesce("size", F.lit(0)).cast("long")).withColumn("_u", keyed.uniform(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("_bin", F.floor(F.col("_u") * BINS).cast("int"))
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "size")]
+    size = F.coalesce("size", F.lit(0)).cast("long")
+    held = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), size))
+    rows = docs.select("doc_id", "source", size.alias("size"), held.alias("_held"), keyed.uniform(seed, key).alias("_u"))
+    rows = rows.withColumn("_bin", F.floor(F.col("_u") * BINS).cast("int")).withColumn("_tie", _hash_of(docs, others))
     sums = cut(rows.groupBy("source", "_bin").agg(F.sum("size").alias("_sum")))
     per_source = [(r[0], r[1]) for r in sums.groupBy("source").agg(F.sum("_sum")).toLocalIterator()]
     plan = spark.createDataFrame(targets(per_source, weights, share, passes), "_source string, source_size long, target double")
     before = F.sum("_sum").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
     bins = sums.withColumn("_before", F.coalesce(before, F.lit(0))).join(plan, F.col("source").eqNullSafe(F.col("_source")))
     bins = bins.select(F.col("source").alias("_source"), F.col("_bin").alias("_b"), "_before", "source_size", "target")
-    inside = F.sum("size").over(Window.partitionBy("source", "_bin").orderBy("_u", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.sum("size").over(Window.partitionBy("source", "_bin").orderBy("_u", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.withColumn("_end", inside).join(bins, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bin") == F.col("_b")))
     budget, start = F.round("target").cast("long"), F.col("_before") + F.col("_end") - F.col("size")
     passed = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - passed * F.col("source_size")
     taken = passed * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return placed.withColumn("taken", taken.cast("long")).drop("_u", "_bin", "_end", "_source", "_b", "_before")
+    added = {"source_size": F.col("source_size"), "target": F.col("target"), "taken": taken.cast("long")}
+    return placed.select("doc_id", "source", "size", *[F.col("_held").getField(c).alias(f"{c}_given" if c in added else c) for c in others], *[v.alias(c) for c, v in added.items()])
+
+
+def _hash_of(docs: DataFrame, names: list[str]):
+    """A hash of the columns that Spark can hash, read from ``_held``."""
+    plain = [c for c in names if "map<" not in docs.schema[c].dataType.simpleString()]
+    return F.xxhash64(*[F.col("_held").getField(c) for c in plain]) if plain else F.lit(0).cast("long")
 
 
 def copies(mixed: DataFrame, text: str = "text") -> DataFrame:
@@ -83,5 +95,5 @@ def copies(mixed: DataFrame, text: str = "text") -> DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """Adds the word count of the text as ``size``."""
-    return docs.withColumn("size", words_in(F.col("text")))
+    """Adds the word count of the text as ``size``; a column of that name becomes ``size_given``."""
+    return docs.select(*[F.col(f"`{c}`").alias("size_given" if c == "size" else c) for c in docs.columns], words_in(F.col("text")).alias("size"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .shared import cut
+from .shared import cut, slices
 from .shingles import U, mixed, shingle_set, word_hashes
 
 BAND = 1.5
@@ -80,7 +80,7 @@ def block_keys(s: np.ndarray, lows: list[int], percent: int) -> np.ndarray:
 
 def _signatures(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, rows = batch.column(0), {"n": [], "s1": [], "s2": []}
             for words in word_hashes(_texts(batch, "text")):
                 s = shingle_set(words, k)
@@ -102,7 +102,7 @@ def _keys(k: int, percent: int):
     """(node, key) of each set; a task emits a set once, however many copies it reads (of the last SEEN sets)."""
     def run(batches):
         lows, seen = bands(percent), set()
-        for batch in batches:
+        for batch in slices(batches):
             keys, owners = [], []
             for words in word_hashes(_texts(batch, "text")):
                 s = shingle_set(words, k)
@@ -123,7 +123,7 @@ def _keys(k: int, percent: int):
 
 def _sets(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(w, k).tobytes() for w in word_hashes(_texts(batch, "text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(sets, pa.binary())], [*batch.schema.names[:-1], "shingles"])
     return run

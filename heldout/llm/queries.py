@@ -43,8 +43,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(documents(spark, folder), 3, 90)
 
 
-@query("op10_mixing", f"""WITH d AS (SELECT doc_id, source, {WORDS} AS size,
-  (('0x' || substr(md5(concat_ws('|', '0', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0 AS u FROM documents),
+@query("op10_mixing", f"""WITH d AS (SELECT doc_id, source, size, (('0x' || substr(md5(concat_ws('|', '0', coalesce(CAST(doc_id AS VARCHAR), '#' || size))), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0 AS u
+  FROM (SELECT doc_id, source, {WORDS} AS size FROM documents)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 k AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, sum(source_size) OVER () AS total FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS k,
@@ -55,7 +55,7 @@ f AS (SELECT *, first_value(CASE WHEN fits THEN k END IGNORE NULLS) OVER w AS cu
   FROM (SELECT *, (3 * total - 2 * full_before) * weight <= 2 * source_size * 2 * weight_left AS fits FROM o) q WINDOW w AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 t AS (SELECT source, source_size, CASE WHEN k < cutoff THEN (2 * source_size)::DOUBLE ELSE (share * weight)::DOUBLE / spread::DOUBLE END AS target FROM f),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS budget,
-  sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
   CAST(CASE WHEN source_size > 0 THEN budget // source_size * size + greatest(0, least(size, budget - budget // source_size * source_size - start)) ELSE 0 END AS BIGINT) AS taken FROM p""")
 def op10(spark: SparkSession, folder: str) -> DataFrame:

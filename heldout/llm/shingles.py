@@ -8,7 +8,7 @@ import numpy as np
 U = np.uint64
 RADIX = 0x9E3779B97F4A7C15              # odd, so powers have inverses modulo 2^64
 STEPS = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F]
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -25,7 +25,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(RADIX, -1, 1 << 64)
     out = []
@@ -36,6 +35,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+@lru_cache(maxsize=1)
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(CHUNK)
+
+
 def word_hashes(data: list[bytes]) -> list[np.ndarray]:
     """A 64-bit hash of each word of each text: words split at ASCII white space, A-Z lowered.
 
@@ -52,7 +56,7 @@ def word_hashes(data: list[bytes]) -> list[np.ndarray]:
         space = _SPACE[raw]
         edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
         starts, stops = edge[::2], edge[1::2]
-        up, down = _powers(max(CHUNK, 1 << int(n).bit_length()))
+        up, down = _usual_powers() if n < CHUNK else _powers(int(n) + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((_LOWER[raw].astype(np.uint64) + U(1)) * up[:n], dtype=np.uint64, out=sums[1:])
         hashes = mixed((sums[stops] - sums[starts]) * down[starts])

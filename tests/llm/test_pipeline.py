@@ -68,6 +68,36 @@ def test_language_id_rejects_unclear_texts(spark):
     assert all(stay[k] >= 0.98 * every[k] for k in every if k.startswith("clean"))
 
 
+@pytest.mark.parametrize("held", [1, 7, 8, 20])
+def test_language_id_has_limits_for_languages_of_any_size(spark, held):
+    """Few or many labelled texts of a language: gibberish near it goes, its own texts stay."""
+    import random
+    rng = random.Random(held)
+    docs = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang").where("length(text) > 300")
+    known = {r.doc_id for r in docs.where("lang = 'de'").select("doc_id", langid.held_out(docs.doc_id).alias("h")).where("h").orderBy("doc_id").limit(held).collect()}
+    some = docs.where((docs.lang != "de") | ~langid.held_out(docs.doc_id) | docs.doc_id.isin(*known))
+    junk = [(10**9 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüß     ") for _ in range(400)), None) for i in range(60)]
+    kept = {r.doc_id for r in C.language_id(spark, some.unionByName(spark.createDataFrame(junk, docs.schema)), "").select("doc_id").collect()}
+    own = {r.doc_id for r in some.where("lang = 'de'").select("doc_id").collect()}
+    assert not any(i >= 10**9 for i in kept) and len(own & kept) >= 0.97 * len(own)
+
+
+def test_copies_with_blank_lines_go(spark):
+    text = "The first paragraph of a text that is copied whole.\n\nIts second paragraph follows after a blank line."
+    rows = spark.createDataFrame([(1, text, "en", "a", 9), (2, text, "en", "a", 9), (3, "\n \n", None, None, 3), (4, "--- ***", None, None, 7)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in C.dedup_lines(spark, rows, "").collect()}
+    assert got == {1: text, 3: "\n \n", 4: "--- ***"}
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    alpha, beta = " ".join(f"alpha{i}" for i in range(40)), " ".join(f"beta{i}" for i in range(40))
+    rows = [(7, alpha, "en"), (7, beta, "en"), (7, beta, "en"), (9, alpha + " end", "en"), (3, beta + " end", "en"), (None, "one two three four five six", None), (None, "one two three four five six", None), (5, "", "en"), (5, "", "en")]
+    want = sorted([(7, alpha), (3, beta + " end"), (None, "one two three four five six"), (5, ""), (5, "")], key=str)
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string")
+        assert sorted(((r.doc_id, r.text) for r in C.near_duplicates(spark, docs, "").collect()), key=str) == want
+
+
 def test_lines_stand_once(stages):
     before, after, _ = stages["line_dedup"]
     form = lambda x: " ".join(re.sub(r"[^\w]|_", " ", x.lower()).split())

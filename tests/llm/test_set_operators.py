@@ -261,7 +261,7 @@ def test_targets_reshare_the_excess():
 
 
 def test_mixing_meets_its_budgets(spark, awkward, nothing):
-    rows = mixing.mix(mixing.sized(awkward.drop("size"))).collect()
+    rows = mixing.mix(mixing.sized(awkward)).collect()
     assert len(rows) == awkward.count()
     taken, target = Counter(), {}
     for r in rows:
@@ -269,7 +269,22 @@ def test_mixing_meets_its_budgets(spark, awkward, nothing):
         taken[r.source] += r.taken
         target[r.source] = r.target
     assert all(taken[s] == round(x) or abs(taken[s] - x) <= 0.5 for s, x in target.items())
-    assert mixing.mix(mixing.sized(nothing.drop("size"))).count() == 0
+    assert mixing.mix(mixing.sized(nothing)).count() == 0
+
+
+def test_mixing_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i if i % 3 else None, f"s{i % 2}", 5 + i % 7, "x" * (i % 5)) for i in range(60)] + [(1, "s1", n, str(n)) for n in range(20)]
+    kind = "doc_id long, source string, size long, text string"
+    told = [sorted(((r.doc_id, r.size, r.text, r.taken) for r in mixing.mix(spark.createDataFrame(x, kind)).collect()), key=str) for x in (rows, rows[::-1], sorted(rows, key=str))]
+    assert told[0] == told[1] == told[2]
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a", 3, "t", "u", 7, 8), (2, "b", 4, "v", "w", 9, 10)], "doc_id long, source string, size long, target string, taken string, _u int, _bin int")
+    got = {r.doc_id: r for r in mixing.mix(rows).collect()}
+    assert (got[1].target_given, got[1].taken_given, got[1]._u, got[1]._bin) == ("t", "u", 7, 8) and isinstance(got[2].target, float)
+    both = mixing.sized(spark.createDataFrame([("a b", "given")], "text string, size string")).first()
+    assert (both.size, both.size_given) == (2, "given")
 
 
 def test_copies_are_cut_at_the_budget(spark):
