@@ -37,29 +37,43 @@ def unpacked(rows: DataFrame, like: DataFrame, *apart: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has letters and is clearly of a language learned from the labelled rows of the input; held-out labelled rows say what is clear."""
+    """Rows whose text has letters and is clearly of a language learned from the labelled rows of the input; held-out labelled rows say what is clear.
+
+    Without labelled rows there is nothing to learn, and only texts without letters go.
+    """
     languages, matrix = langid.learned(docs)
-    if not languages:                                   # nothing to learn from: only texts without letters go
+    if not languages:
         return docs.where(line_dedup.says_something(F.col("text")))
     return langid.clear(docs, languages, matrix, langid.limits(docs.where(langid.held_out(F.col("doc_id"))), languages, matrix))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that stand elsewhere already; documents that keep no line of theirs go."""
-    done = line_dedup.dedup(packed(docs, "doc_id", "text"))
-    return unpacked(done.where((F.col("n_lines") == 0) | (F.col("n_kept") > 0)), docs, "doc_id", "text")
+    """Texts without the lines that stand elsewhere already; documents that had lines with letters or digits and keep none of them go."""
+    rows = packed(docs, "doc_id", "text")
+    rows = rows.select("doc_id", "text", F.struct(F.col(REST).alias("rest"), F.coalesce(line_dedup.says_something(F.col("text")), F.lit(False)).alias("worded")).alias("_given"))
+    done = line_dedup.dedup(rows)
+    kept = done.where(~F.col("_given.worded") | line_dedup.says_something(F.col("text")))
+    return unpacked(kept.select("doc_id", "text", F.col("_given.rest").alias(REST)), docs, "doc_id", "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id; rows without an id stay."""
-    found = cut(ngram_join.join(docs, SHINGLE_WORDS, SIMILAR_PERCENT))
-    losers = found.where((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))).select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group of near copies: that of the smallest id (a null comes last), then of the least hash of its text.
+
+    Rows are told apart by a hash of id and text, so rows of one id and other texts are
+    documents of their own. Of rows with the same id and text one stays, the least by a
+    hash of the row. Texts without words have no group and stay.
+    """
+    named = lambda df: df.withColumn("_key", F.xxhash64("doc_id", "text"))
+    rows = named(packed(docs, "doc_id", "text"))
+    found = cut(ngram_join.join(rows.select(F.col("_key").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT).where("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count(F.lit(1)).alias("times")))
+    ids = rows.select("_key", F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", F.xxhash64("text").alias("hash"), "_key").alias("place")).distinct()
+    best = found.join(ids, F.col("doc_id") == F.col("_key")).groupBy("component").agg(F.min("place").alias("place"))
+    decided = found.join(best.select(F.col("place._key").alias("_best")), F.col("doc_id") == F.col("_best"), "left").select(F.col("doc_id").alias("_worded"), "_best", "times")
+    kept = rows.join(decided, F.col("_key") == F.col("_worded"), "left").where("_best is not null or _worded is null")
+    kept = kept.select("doc_id", "text", REST, "_key", F.coalesce("times", F.lit(1)).alias("times"))
+    many = kept.where("times > 1")
+    once = many.groupBy("_key").agg(F.min_by(F.struct("doc_id", "text", REST), F.xxhash64(REST)).alias("row")).select("row.*")
+    return unpacked(kept.where("times = 1").select("doc_id", "text", REST).unionByName(once), docs, "doc_id", "text")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
