@@ -11,8 +11,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import parallelism
-
 
 def matrix_of(column: pa.Array) -> np.ndarray:
     """Rows of a list column as a 2-d array; refuses nulls and ragged rows."""
@@ -29,16 +27,6 @@ def matrix_of(column: pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def few_tasks(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Merge scan splits without a shuffle, so partial matrices grow with cores, not with data.
-
-    Under dynamic allocation the cores counted now may be few, so the shuffle
-    setting is a lower bound.
-    """
-    spark = df.sparkSession
-    return df.coalesce(max(spark.sparkContext.defaultParallelism * per_core, parallelism(spark)))
-
-
 def sum_rows(partials: DataFrame, by: list[str], vector: str = "row") -> DataFrame:
     """Adds array columns element by element per group, with map-side sums."""
     summed = partials.groupBy(*by).agg(Summarizer.sum(array_to_vector(F.col(vector))).alias("__s"))
@@ -55,7 +43,7 @@ def scatter(df: DataFrame, z: str, by: list[str] = (), center=None, scale=None)
     by = list(by)
     c = None if center is None else np.asarray(center, float)
     s = None if scale is None else np.asarray(scale, float)
-    source = few_tasks(df.select(*by, z))
+    source = df.select(*by, z)
     fields = [source.schema[k] for k in by]
     schema = T.StructType([*fields, T.StructField("i", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType()))])
 

@@ -10,11 +10,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .moments import few_tasks, matrix_of, standardiser, sum_rows
+from .moments import matrix_of, sum_rows
 from .ordering import hash_positions
 
 RIDGE_ALPHAS = np.logspace(-3, 5, 17)        # fixed value
@@ -24,21 +22,21 @@ DEAD = 1e-12                                 # fixed value: scale below this cou
 
 # ---- membership -------------------------------------------------------------
 
-def membership(scenes: DataFrame, scene: str, seeds: list[int], n_folds: int = 5, train_fraction: float = 0.8) -> DataFrame:
-    """(scene, folds): the split and the inner folds of every seed from one shuffle per seed.
+def membership(scenes: DataFrame, scene: str, seeds: list[int], n_folds: int = 5, train_fraction: float = 0.8, by: list[str] = ()) -> DataFrame:
+    """(by..., scene, folds): the split and the inner folds of every seed from one shuffle per seed.
 
     Training scenes come first in the shuffle, so their place modulo ``n_folds``
     also deals them to folds.
     """
-    each = scenes.select(scene).distinct().withColumn("__seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    placed = hash_positions(each, F.col("__seed"), scene, ["__seed"])
+    each = scenes.select(*by, scene).distinct().withColumn("__seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    placed = hash_positions(each, F.col("__seed"), scene, [*by, "__seed"])
     n = F.col("position_total")
     n_train = F.when(n == 1, n).otherwise(F.greatest(F.lit(1), F.least(
         F.bround(F.lit(float(train_fraction)) * n).cast("long"), n - 1)))
     few = F.raise_error(F.lit(f"too few training scenes for {n_folds} folds")).cast("int")
     fold = F.when(n_train < n_folds, few).when(F.col("position") < n_train, F.pmod(F.col("position"), F.lit(n_folds))) \
         .otherwise(F.lit(-1)).cast("int")
-    return placed.withColumn("__f", fold).groupBy(scene).agg(
+    return placed.withColumn("__f", fold).groupBy(*by, scene).agg(
         F.array(*[F.max(F.when(F.col("__seed") == s, F.col("__f"))) for s in seeds]).alias("folds"))
 
 
@@ -85,7 +83,7 @@ def fold_moments(rows: DataFrame, z: str, center: np.ndarray, scale: np.ndarray,
                 [pa.array([s] * d, pa.int32()), pa.array([fold] * d, pa.int32()), pa.array(range(d), pa.int32()),
                  pa.array(list(total), pa.list_(pa.float64()))], names=["s", "fold", "i", "row"])
 
-    return sum_rows(few_tasks(rows.select(z, folds)).mapInArrow(partial, schema), ["s", "fold", "i"])
+    return sum_rows(rows.select(z, folds).mapInArrow(partial, schema), ["s", "fold", "i"])
 
 
 # ---- ridge on moments (driver, d by d) --------------------------------------
@@ -149,27 +147,28 @@ def ridge_from_moments(folds: dict[int, np.ndarray], k: int, center, scale, alph
     own = {f: move.T @ m @ move for f, m in folds.items()}
     full = sum(own.values())
     alphas = np.asarray(alphas, float)
-    scores = np.mean([held_out_r2(m, k, *ridge_path(full - m, k, alphas)) for m in own.values()], axis=0)
+    scores = np.zeros((len(alphas), 0)) if not k else np.mean([held_out_r2(m, k, *ridge_path(full - m, k, alphas)) for m in own.values()], axis=0)
     best = np.argmax(scores, axis=0)
+    if not k:                                                   # only mean and scale are asked for
+        return LinearFit(center[1:] + mx * scale[1:], sd * scale[1:], np.zeros((len(mx), 0)), np.zeros(0), np.zeros(0), np.zeros((len(alphas), 0)))
     beta, b0 = ridge_path(full, k, alphas)
     t = np.arange(k)
     return LinearFit(center[1 + k:] + mx * scale[1 + k:], sd * scale[1 + k:], beta[best, :, t].T,
                      b0[best, t] + center[1:1 + k], alphas[best], scores)
 
 
+def _one_cell(rows: DataFrame, x: str, folds: str, yr: Column, yc: Column) -> DataFrame:
+    return rows.select(F.lit(0).alias("cell"), F.col(x).cast("array<double>").alias("x"), yr.alias("yr"), yc.alias("yc"), F.col(folds).alias("folds"))
+
+
 def fit_ridge(rows: DataFrame, x: str, targets: list[str] | str, seeds: list[int], folds: str = "folds",
               alphas=RIDGE_ALPHAS) -> list[LinearFit]:
     """One fit per seed, all targets jointly.  ``targets``: scalar columns, or one array column."""
+    from .grid import fit_ridge as fit
     y = F.col(targets).cast("array<double>") if isinstance(targets, str) else F.array(*[F.col(t).cast("double") for t in targets])
-    z = rows.select(F.concat(F.array(F.lit(1.0)), y, F.col(x).cast("array<double>")).alias("z"), folds)
-    mean, scale = standardiser(z, "z")
     k = len(targets) if not isinstance(targets, str) else int(rows.select(F.size(targets)).first()[0])
-    mean[0], scale[:1 + k] = 0.0, 1.0
-    found: dict[int, dict] = {}
-    for r in fold_moments(z, "z", mean, scale, folds).collect():
-        found.setdefault(r["s"], {}).setdefault(r["fold"], {})[r["i"]] = r["row"]
-    return [ridge_from_moments({f: np.array([v[i] for i in range(len(v))]) for f, v in found[s].items()},
-                               k, mean, scale, alphas) for s in range(len(seeds))]
+    found = fit(_one_cell(rows, x, folds, y, F.array().cast("array<double>")), {0: k}, alphas)
+    return [found[0, s] for s in range(len(seeds))]
 
 
 def linear_scores(x: Column, fits: list[LinearFit]) -> Column:
@@ -190,20 +189,7 @@ def linear_scores(x: Column, fits: list[LinearFit]) -> Column:
 
 # ---- logistic: Newton steps over shared scans -------------------------------
 
-def _seed_scalers(rows: DataFrame, x: str, folds: str, n_seeds: int):
-    v = array_to_vector(F.col(x).cast("array<double>"))
-    train = [(F.col(folds)[s] >= 0).cast("double") for s in range(n_seeds)]
-    row = rows.agg(*[Summarizer.metrics("mean", "variance").summary(v, train[s]).alias(f"s{s}") for s in range(n_seeds)],
-                   *[F.sum(train[s]).alias(f"n{s}") for s in range(n_seeds)]).first()
-    out = []
-    for s in range(n_seeds):
-        n = row[f"n{s}"]
-        sd = np.sqrt(np.clip(np.array(row[f"s{s}"]["variance"].toArray()) * (n - 1) / n, 0, None))
-        out.append((np.array(row[f"s{s}"]["mean"].toArray()), np.where(sd < DEAD, 1.0, sd)))
-    return out
-
-
-class _Path:
+class Path:
     """Newton state of one model along the ascending penalty grid."""
 
     def __init__(self, d: int, cs, tol: float, max_iter: int):
@@ -252,115 +238,11 @@ def fit_logistic(rows: DataFrame, x: str, y: str, seeds: list[int], n_folds: int
                  cs=LOGISTIC_CS, tol: float = 1e-4, max_iter: int = 100) -> list[LinearFit | None]:
     """One fit per seed; None where the training rows hold one class.
 
-    Every Newton step of every (seed, fold) model shares one scan.  The model on
-    the whole training set walks the same warm-started path as the fold models.
+    Every Newton step of every (seed, fold) model shares one scan.
     """
-    data = few_tasks(rows.select(F.col(x).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"), folds)).persist()
-    scalers = _seed_scalers(data, "x", folds, len(seeds))
-    d = len(scalers[0][0])
-    keys = [(s, f) for s in range(len(seeds)) for f in [*range(n_folds), -1]]
-    models = {k: _Path(d, cs, tol, max_iter) for k in keys}
-
-    def prepared(batch, s):
-        m = matrix_of(batch.column(0))
-        mean, scale = scalers[s]
-        return np.hstack([(m - mean) / scale, np.ones((len(m), 1))])
-
-    def chosen(f, s, fold):
-        return (f[:, s] >= 0) & (f[:, s] != fold) if fold >= 0 else f[:, s] >= 0
-
-    def pass_at(current):
-        def partial(batches):
-            sums = {}
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                t = batch.column(1).to_numpy(zero_copy_only=False)
-                f = matrix_of(batch.column(2)).astype(int)
-                for s in {k[0] for k in current}:
-                    a = prepared(batch, s)
-                    for (s2, fold), w in current.items():
-                        if s2 != s:
-                            continue
-                        use = chosen(f, s, fold)
-                        b, yt = a[use], t[use]
-                        if not len(b):
-                            continue
-                        z = b @ w
-                        p = 0.5 * (1 + np.tanh(0.5 * z))
-                        loss = np.logaddexp(0.0, z).sum() - yt @ z
-                        h = (b * (p * (1 - p))[:, None]).T @ b
-                        packed = np.zeros((d + 2, d + 2))
-                        packed[:-1, :-1], packed[:-1, -1] = h, b.T @ (p - yt)
-                        packed[-1, :3] = loss, len(b), yt.sum()
-                        sums[(s, fold)] = sums.get((s, fold), 0.0) + packed
-            for (s, fold), total in sums.items():
-                r = len(total)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s] * r, pa.int32()), pa.array([fold] * r, pa.int32()), pa.array(range(r), pa.int32()),
-                     pa.array(list(total), pa.list_(pa.float64()))], names=["s", "fold", "i", "row"])
-        return sum_rows(data.mapInArrow(partial, "s int, fold int, i int, row array<double>"), ["s", "fold", "i"])
-
-    while True:
-        current = {k: m.w for k, m in models.items() if not m.done}
-        if not current:
-            break
-        got: dict = {}
-        for r in pass_at(current).collect():
-            got.setdefault((r["s"], r["fold"]), {})[r["i"]] = r["row"]
-        for k in current:
-            if k not in got:
-                models[k].usable = False
-                continue
-            packed = np.array([got[k][i] for i in range(d + 2)])
-            loss, n, n_pos = packed[-1, :3]
-            models[k].advance(loss, packed[:-1, -1], packed[:-1, :-1], n, n_pos)
-
-    counts = _fold_confusions(data, models, prepared, len(cs), folds)
-    data.unpersist()
-    fits: list[LinearFit | None] = []
-    for s in range(len(seeds)):
-        if not models[(s, -1)].usable:
-            fits.append(None)
-            continue
-        used = [f for f in range(n_folds) if models[(s, f)].usable]
-        scores = np.zeros(len(cs))
-        for f in used:
-            for c in range(len(cs)):
-                tp, fn, tn, fp = counts.get((s, f, c), (0, 0, 0, 0))
-                recalls = [a / (a + b) for a, b in ((tp, fn), (tn, fp)) if a + b]
-                scores[c] += np.mean(recalls) if recalls else np.nan
-        scores = scores / max(len(used), 1)
-        at = int(np.argmax(scores)) if used else int(np.argmin(np.abs(np.asarray(cs) - 1.0)))
-        w = models[(s, -1)].solved[at]
-        worst = max(models[(s, f)].worst for f in [*used, -1])
-        fits.append(LinearFit(*scalers[s], w[:-1, None], w[-1:], np.array([float(cs[at])]), scores[:, None], worst))
-    return fits
-
-
-def _fold_confusions(data, models, prepared, n_cs, folds) -> dict:
-    """Held-out confusion counts of every (seed, fold, penalty) in one scan."""
-    solved = {k: np.array(m.solved).T for k, m in models.items() if m.usable and k[1] >= 0}
-
-    def partial(batches):
-        sums = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = batch.column(1).to_numpy(zero_copy_only=False) == 1
-            f = matrix_of(batch.column(2)).astype(int)
-            for (s, fold), w in solved.items():
-                use = f[:, s] == fold
-                if use.any():
-                    hit = prepared(batch, s)[use] @ w > 0
-                    pos = t[use][:, None]
-                    sums[(s, fold)] = sums.get((s, fold), 0) + np.array(
-                        [(hit & pos).sum(0), (~hit & pos).sum(0), (~hit & ~pos).sum(0), (hit & ~pos).sum(0)])
-        rows = [(s, f, c, *map(int, v[:, c])) for (s, f), v in sums.items() for c in range(n_cs)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32() if i < 3 else pa.int64()) for i, a in enumerate(zip(*rows))],
-                                             names=["s", "fold", "c", "tp", "fn", "tn", "fp"])
-
-    summed = data.mapInArrow(partial, "s int, fold int, c int, tp long, fn long, tn long, fp long") \
-        .groupBy("s", "fold", "c").agg(*[F.sum(v).alias(v) for v in ("tp", "fn", "tn", "fp")])
-    return {(r["s"], r["fold"], r["c"]): (r["tp"], r["fn"], r["tn"], r["fp"]) for r in summed.collect()}
+    from . import grid
+    from .common import cut
+    design = cut(_one_cell(rows, x, folds, F.array().cast("array<double>"), F.array(F.col(y).cast("double"))))
+    trained = grid.fit_ridge(design, {0: 0})
+    found = grid.fit_logistic(design, {0: 1}, trained, n_folds, cs, tol, max_iter)
+    return [found.get((0, 0, s)) for s in range(len(seeds))]
