@@ -1,9 +1,11 @@
 """Helpers of the corpus operators."""
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -48,3 +50,13 @@ def slices(batches, name: str = "text", most: int = 1 << 22):
             z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
             yield batch.slice(a, z - a)
             a = z
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, and pools would keep what the largest batch took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):                           # another C library
+        pass
