@@ -161,7 +161,7 @@ def ks_statistic(values: DataFrame, value: str, cdf) -> DataFrame:
     return run.agg(F.max(gap).alias("statistic"), F.coalesce(F.max(n), F.lit(0)).alias("n"))
 
 
-def ks_check(values: DataFrame, value: str, cdf, name: str, level: float = 0.01, method: str = "limit") -> DataFrame:
+def ks_check(values: DataFrame, value: str, cdf, name: str, level: float = 0.01, method: str = "exact") -> DataFrame:
     """The KS test as a check row; only (D, n) reaches the driver."""
     row = ks_statistic(values, value, cdf).first()
     p = kolmogorov_p(row["statistic"] if row["statistic"] is not None else float("nan"), int(row["n"]), method)
@@ -243,14 +243,24 @@ def divergence(base: DataFrame, other: DataFrame, keys: list[str], columns: list
         .withColumn("diverged", (F.col("n_uncompared") > 0) | (F.col("max_divergence") > bound))
 
 
-def determinism(first: DataFrame, again: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-6) -> DataFrame:
-    """One row: keys on one side only, largest difference, passed."""
-    a = first.select(*keys, *[F.col(c).cast("double").alias(f"a_{c}") for c in columns], F.lit(1).alias("__a"))
-    b = again.select(*keys, *[F.col(c).cast("double").alias(f"b_{c}") for c in columns], F.lit(1).alias("__b"))
-    gap = F.greatest(*[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns], F.lit(0.0))
+def determinism(first: DataFrame, again: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-6, exact: list[str] = ()) -> DataFrame:
+    """One row: keys on one side only, the largest difference, values that one side lacks or that differ where they must be equal, passed.
+
+    A value that is null or not finite on one side only is ``n_unequal``, as is any
+    difference in the columns of ``exact``; two tables without a common row do not pass.
+    """
+    a = first.select(*keys, *[F.col(c).cast("double").alias(f"a_{c}") for c in columns], *[F.col(c).alias(f"x_{c}") for c in exact], F.lit(1).alias("__a"))
+    b = again.select(*keys, *[F.col(c).cast("double").alias(f"b_{c}") for c in columns], *[F.col(c).alias(f"y_{c}") for c in exact], F.lit(1).alias("__b"))
+    both = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    gaps = [F.abs(finite(F.col(f"a_{c}")) - finite(F.col(f"b_{c}"))) for c in columns]
+    other = [(finite(F.col(f"a_{c}")).isNull() != finite(F.col(f"b_{c}")).isNull()).cast("long") for c in columns]
+    other += [(finite(F.col(f"a_{c}")).isNull() & ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) & finite(F.col(f"b_{c}")).isNull()).cast("long") for c in columns]
+    other += [(~F.col(f"x_{c}").eqNullSafe(F.col(f"y_{c}"))).cast("long") for c in exact]
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
     out = a.join(b, keys, "full_outer").agg(
-        F.coalesce(F.sum((F.col("__a").isNull() | F.col("__b").isNull()).cast("long")), F.lit(0)).alias("one_sided"), F.coalesce(F.max(gap), F.lit(0.0)).alias("max_difference"))
-    return out.withColumn("passed", (F.col("one_sided") == 0) & (F.col("max_difference") <= tolerance))
+        count((~both).cast("long")).alias("one_sided"), F.coalesce(F.max(F.when(both, F.greatest(*gaps, F.lit(0.0)))), F.lit(0.0)).alias("max_difference"),
+        count(F.when(both, sum(other, F.lit(0)))).cast("long").alias("n_unequal"), count(both.cast("long")).alias("__n"))
+    return out.withColumn("passed", (F.col("__n") > 0) & (F.col("one_sided") == 0) & (F.col("n_unequal") == 0) & (F.col("max_difference") <= tolerance)).drop("__n")
 
 
 def applied_equals_sampled(sampled: DataFrame, recorded: DataFrame, key: str, column: str, tolerance: float = 1e-6) -> DataFrame:

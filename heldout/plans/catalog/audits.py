@@ -202,28 +202,47 @@ def pair_divergence(spark, d):
 NUMERIC = [n for n in RANGES if n in DOUBLES]
 
 
-def _gap(a: str, b: str) -> str:
-    return "greatest(0, " + ", ".join(f"abs({a}.{c} - {b}.{c})" for c in NUMERIC) + ")"
+NAMED = [n for n in RANGES if n not in DOUBLES]
 
 
-@query("determinism", f"""WITH {FACTORS} SELECT count(*) FILTER (a.scene_index IS NULL OR b.scene_index IS NULL) AS one_sided, CAST(max({_gap('a', 'b')}) AS DOUBLE) AS max_difference,
-count(*) FILTER (a.scene_index IS NULL OR b.scene_index IS NULL) = 0 AND max({_gap('a', 'b')}) <= 1e-6 AS passed FROM factors a FULL JOIN factors b ON a.scene_index = b.scene_index""")
+def _determinism(again: str) -> str:
+    gap = "greatest(0, " + ", ".join(f"abs(a.{c} - b.{c})" for c in NUMERIC) + ")"
+    pair = "a.scene_index IS NOT NULL AND b.scene_index IS NOT NULL"
+    other = " + ".join([*[f"CAST((a.{c} IS NULL) <> (b.{c} IS NULL) AS INT)" for c in NUMERIC], *[f"CAST(a.{c} IS DISTINCT FROM b.{c} AS INT)" for c in NAMED]])
+    return f"""(SELECT *, one_sided = 0 AND n_unequal = 0 AND n > 0 AND max_difference <= 1e-6 AS passed FROM (SELECT count(*) FILTER (NOT ({pair})) AS one_sided, CAST(max({gap}) FILTER ({pair}) AS DOUBLE) AS max_difference,
+CAST(coalesce(sum({other}) FILTER ({pair}), 0) AS BIGINT) AS n_unequal, count(*) FILTER ({pair}) AS n FROM factors a FULL JOIN {again} b ON a.scene_index = b.scene_index))"""
+
+
+DETERMINISM = "one_sided, round(max_difference, 9) AS max_difference, n_unequal, passed"
+
+
+def _compared(first, again):
+    return A.determinism(first, again, ["scene_index"], NUMERIC, exact=NAMED).select("one_sided", F.round("max_difference", 9).alias("max_difference"), "n_unequal", "passed")
+
+
+@query("determinism", f"WITH {FACTORS} SELECT {DETERMINISM} FROM {_determinism('factors')}")
 def determinism(spark, d):
     o = V.table(spark, d, "orders").select("o_orderkey").distinct()
     again = sample_factors(o.repartition(13, (F.col("o_orderkey") % 11)), "o_orderkey", 0)
-    return A.determinism(sample_factors(o, "o_orderkey", 0), again, ["scene_index"], NUMERIC)
+    return _compared(sample_factors(o, "o_orderkey", 0), again)
 
 
-@query("determinism_broken", f"""WITH {FACTORS}, again AS (SELECT * REPLACE (CASE WHEN scene_index % 97 = 0 THEN mass + 0.5 ELSE mass END AS mass) FROM factors WHERE scene_index % 101 <> 0)
-SELECT count(*) FILTER (a.scene_index IS NULL OR b.scene_index IS NULL) AS one_sided, round(CAST(max({_gap('a', 'b')}) AS DOUBLE), 9) AS max_difference,
-count(*) FILTER (a.scene_index IS NULL OR b.scene_index IS NULL) = 0 AND max({_gap('a', 'b')}) <= 1e-6 AS passed FROM factors a FULL JOIN again b ON a.scene_index = b.scene_index""")
+@query("determinism_broken", f"""WITH {FACTORS}, again AS (SELECT * REPLACE (CASE WHEN scene_index % 97 = 0 THEN mass + 0.5 WHEN scene_index % 89 = 0 THEN NULL ELSE mass END AS mass) FROM factors WHERE scene_index % 101 <> 0)
+SELECT {DETERMINISM} FROM {_determinism('again')}""")
 def determinism_broken(spark, d):
-    """The same check where some scenes are missing from the second run and some have another mass."""
+    """The same check where some scenes are missing from the second run, some have another mass and some none."""
     o = V.table(spark, d, "orders").select("o_orderkey").distinct()
     first = sample_factors(o, "o_orderkey", 0)
-    again = first.where("scene_index % 101 <> 0").withColumn("mass", F.when(F.col("scene_index") % 97 == 0, F.col("mass") + 0.5).otherwise(F.col("mass")))
-    out = A.determinism(first, again, ["scene_index"], NUMERIC)
-    return out.select("one_sided", F.round("max_difference", 9).alias("max_difference"), "passed")
+    key = F.col("scene_index")
+    mass = F.when(key % 97 == 0, F.col("mass") + 0.5).when(key % 89 == 0, F.lit(None).cast("double")).otherwise(F.col("mass"))
+    return _compared(first, first.where(key % 101 != 0).withColumn("mass", mass))
+
+
+@query("determinism_nulls", f"""WITH {FACTORS}, again AS (SELECT * REPLACE (CASE WHEN scene_index % 89 = 0 THEN NULL ELSE mass END AS mass) FROM factors) SELECT {DETERMINISM} FROM {_determinism('again')}""")
+def determinism_nulls(spark, d):
+    """The same check where the only fault is a value turned null."""
+    first = sample_factors(V.table(spark, d, "orders").select("o_orderkey").distinct(), "o_orderkey", 0)
+    return _compared(first, first.withColumn("mass", F.when(F.col("scene_index") % 89 != 0, F.col("mass"))))
 
 
 @query("applied_equals_sampled", """WITH j AS (SELECT abs(p_retailprice - r) AS gap FROM part FULL JOIN (SELECT l_partkey AS p_partkey, min(l_extendedprice / l_quantity) AS r FROM lineitem GROUP BY 1) USING (p_partkey))

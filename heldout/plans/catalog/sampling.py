@@ -116,10 +116,10 @@ SPEARMAN = RANKED + ", rho AS (" + " UNION ALL ".join(
 
 
 @query("midranks", "WITH " + ROWS + ", m AS (" + " UNION ALL ".join(
-    f"SELECT {i} AS col, {e} AS value FROM rows" for i, _, _, _, e in AUDIT[:9]) + """), t AS (SELECT col, value, count(*) AS ties FROM m GROUP BY col, value)
+    f"SELECT {i} AS col, {e} AS value FROM rows" for i, _, _, _, e in AUDIT) + """), t AS (SELECT col, value, count(*) AS ties FROM m GROUP BY col, value)
 SELECT CAST(col AS INT) AS col, value, ties, CAST(sum(ties) OVER (PARTITION BY col ORDER BY value) AS BIGINT) - ties + (ties + 1) / 2.0 AS rank FROM t""")
 def midranks(spark, d):
-    cols = V.FACTOR_COLUMNS()[:9]
+    cols = V.FACTOR_COLUMNS()
     rows = V.factor_rows(spark, d).select(*[c.column.alias(c.name) for c in cols])
     t = D.average_ranks(rows, [c.name for c in cols])
     return t.select(F.col("column").alias("col"), "value", "ties", "rank")

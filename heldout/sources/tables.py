@@ -3,8 +3,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -17,7 +19,7 @@ def targets(spark: SparkSession, path: str, condition: str, scenes: DataFrame |
 
 def features(spark: SparkSession, path: str, encoder: str, condition: str, layer: int, view: str) -> DataFrame:
     """One cell of the feature table, pruned by partition; absence is an error."""
-    rows = spark.read.parquet(path).where(
+    rows = _read(spark, path).where(
         (F.col("encoder") == encoder) & (F.col("condition") == condition) & (F.col("layer") == layer) & (F.col("view") == view))
     if rows.isEmpty():
         raise FileNotFoundError(f"no features for {encoder}, {condition}, layer {layer}, view {view} under {path}")
@@ -25,7 +27,7 @@ def features(spark: SparkSession, path: str, encoder: str, condition: str, layer
 
 
 def patches(spark: SparkSession, path: str, encoder: str, condition: str, layer: int) -> DataFrame:
-    rows = spark.read.parquet(path).where(
+    rows = _read(spark, path).where(
         (F.col("encoder") == encoder) & (F.col("condition") == condition) & (F.col("layer") == layer))
     if rows.isEmpty():
         raise FileNotFoundError(f"no patch tokens for {encoder}, {condition}, layer {layer} under {path}")
@@ -36,14 +38,54 @@ def write_features(rows: DataFrame, path: str) -> None:
     _overwrite(rows, path, ["encoder", "condition", "layer", "view"])
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; FileNotFoundError if there is nothing at the path."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise FileNotFoundError(path) from error
+        raise
+
+
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return _read(spark, path)
+    except FileNotFoundError:
+        return None
+
+
+RUN, UNIT = "__run", ["exp", "seed"]
+
+
 def predictions(spark: SparkSession, path: str, exp: str, seeds: list[int] | None = None) -> DataFrame:
-    rows = spark.read.parquet(path).where(F.col("exp") == exp)
+    """The rows of an experiment's newest finished write of each (exp, seed)."""
+    live = newest(spark, path).where(F.col("exp") == exp)
+    runs = live.select(*UNIT, RUN)
+    rows = _read(spark, f"{path}/rows").where(F.col("exp") == exp).join(runs, [*UNIT, RUN], "left_semi").drop(RUN)
     return rows if seeds is None else rows.where(F.col("seed").isin(*seeds))
 
 
-def write_predictions(rows: DataFrame, path: str) -> None:
-    """Replaces the (exp, seed) partitions that the rows belong to and no others."""
-    _overwrite(rows, path, ["exp", "seed"])
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """(exp, seed, __run, version): which write of each unit counts."""
+    return _read(spark, f"{path}/commits").groupBy(*UNIT).agg(F.max_by(F.struct(RUN, "version"), F.struct("version", RUN)).alias("__c")).select(*UNIT, "__c.*")
+
+
+def write_predictions(rows: DataFrame, path: str, units: list[tuple] | None = None) -> None:
+    """Replaces (exp, seed) units by the rows, all at once: those that the rows hold, and those of ``units`` even if they have none.
+
+    Rows go to files of this write alone; then one small commit file names the write for
+    each unit, and appears as a whole. Readers see the old rows or the new ones, and a
+    write that dies half-way is never seen. Rows of replaced writes stay on disk.
+    """
+    spark, run = rows.sparkSession, f"w{uuid.uuid4().hex}"
+    rows.withColumn(RUN, F.lit(run)).write.mode("append").partitionBy(RUN, *UNIT).parquet(f"{path}/rows")
+    told = _read(spark, f"{path}/rows").where(F.col(RUN) == run).select(*UNIT).distinct()
+    if units:
+        told = told.unionByName(spark.createDataFrame(units, told.schema)).distinct()
+    earlier = read_if_there(spark, f"{path}/commits")
+    version = 0 if earlier is None else (earlier.agg(F.max("version")).first()[0] or 0)
+    told.withColumn(RUN, F.lit(run)).withColumn("version", F.lit(version + 1).cast("long")).coalesce(1).write.mode("append").parquet(f"{path}/commits")
 
 
 def _overwrite(rows: DataFrame, path: str, parts: list[str]) -> None:

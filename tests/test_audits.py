@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from heldout.functions import pvalues
 from heldout.functions.pvalues import fisher_z_p, kolmogorov_p, two_sided_normal
 from heldout.operators import audit as A, decorrelation as D
 from heldout.operators.sampling import FACTORS, factor_table
@@ -48,6 +49,12 @@ def test_kolmogorov_tail():
     assert kolmogorov_p(0.7, 2) == pytest.approx(0.18)
     assert kolmogorov_p(0.274, 10) == pytest.approx(1 - 0.6284796154565, abs=1e-6)    # published value of the exact method
     assert kolmogorov_p(1.3581 / math.sqrt(10000), 10000, "limit") == pytest.approx(0.05, abs=2e-3)
+    for n in (500, 5000, 20000):                                # the methods agree where one hands over to the next
+        assert kolmogorov_p(2.0 / math.sqrt(n), n) == pytest.approx(1 - pvalues._exact_cdf(2.0 / math.sqrt(n), n), abs=1e-10)
+    for x in (0.5, 0.8, 1.0, 1.3, 1.9):
+        assert kolmogorov_p(x / math.sqrt(20001), 20001) == pytest.approx(kolmogorov_p(x / math.sqrt(20000), 20000), abs=2e-6)
+        assert 1 - pvalues._pelz_good(x / math.sqrt(20000), 20000) == pytest.approx(kolmogorov_p(x / math.sqrt(20000), 20000), abs=1e-8)
+        assert kolmogorov_p(x / 1000, 10**6) == pytest.approx(kolmogorov_p(x / 1000, 10**6, "limit"), abs=1e-3)
     assert kolmogorov_p(0.04, 500) == pytest.approx(kolmogorov_p(0.04, 500, "limit"), abs=0.01)
     with pytest.raises(ValueError):
         kolmogorov_p(0.1, 10, "auto")
@@ -182,3 +189,15 @@ def test_label_report(spark):
     assert (row.n_frames, row.n_scenes) == (300, 30) and row.passed == all(c.passed for c in row.checks)
     ks = next(c for c in row.checks if c.name == "ks:friction")
     assert ks.n == 30 and 0 < ks.statistic < 0.1
+
+
+def test_determinism_sees_values_that_vanish(spark):
+    rows = lambda *v: spark.createDataFrame([(i, x, "k") for i, x in enumerate(v)], "scene long, v double, name string")
+    said = lambda a, b: A.determinism(a, b, ["scene"], ["v"], exact=["name"]).first()
+    nan = float("nan")
+    assert said(rows(1.0, None, nan), rows(1.0, None, nan)).passed
+    for a, b in (((1.0, 2.0), (1.0, None)), ((1.0, nan), (1.0, 2.0)), ((None, 1.0), (nan, 1.0))):
+        r = said(rows(*a), rows(*b))
+        assert not r.passed and r.n_unequal == 1 and r.one_sided == 0
+    assert not said(rows(), rows()).passed and not said(rows(1.0), rows(1.0, 2.0)).passed
+    assert not said(rows(1.0), rows(1.0).withColumn("name", F.lit("other"))).passed

@@ -138,3 +138,33 @@ def test_feature_scan(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(encoder" in plan
     with pytest.raises(FileNotFoundError):
         tables.features(spark, str(tmp_path), "e", "base", 9, "cls")
+
+
+def test_a_write_is_seen_whole_or_not_at_all(spark, tmp_path):
+    """A write that dies half-way leaves the old rows; empty results replace too."""
+    path = str(tmp_path / "predictions")
+    rows = lambda v, seeds: spark.createDataFrame([("D", s, v, i) for s in seeds for i in range(20)], "exp string, seed int, y double, i int")
+    seen = lambda: {(r.seed, r.y): r["count"] for r in tables.predictions(spark, path, "D").groupBy("seed", "y").count().collect()}
+    tables.write_predictions(rows(1.0, (0, 1)), path)
+    with pytest.raises(Exception, match="dies"):
+        dies = F.when(F.col("i") == 19, F.raise_error(F.lit("dies"))).otherwise(F.col("y"))
+        tables.write_predictions(rows(2.0, (0, 1)).repartition(4, "i").withColumn("y", dies.cast("double")), path)
+    assert seen() == {(0, 1.0): 20, (1, 1.0): 20}
+    tables.write_predictions(rows(3.0, (1,)), path)
+    assert seen() == {(0, 1.0): 20, (1, 3.0): 20}
+    tables.write_predictions(rows(4.0, ()), path, [("D", 0)])
+    assert seen() == {(1, 3.0): 20}
+
+
+def test_digests_are_of_the_rows_whatever_their_order(spark):
+    df = spark.createDataFrame([(0, i % 7, None if i == 3 else 0.1 * i) for i in range(50)], "seed int, k int, v double")
+    told = lambda d: manifest.digest(d, ["seed"]).first()
+    base = told(df)
+    assert told(df.repartition(5, "k")) == base and told(df.orderBy(F.desc("v"))) == base
+    assert told(df.withColumn("v", F.when(F.col("v") == 0.1, 0.2).otherwise(F.col("v")))).sha256 != base.sha256          # as many rows, another value
+    assert told(df.unionByName(df.limit(1))).size == base.size + 1
+
+
+def test_an_absent_table_is_a_missing_file(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        tables.features(spark, str(tmp_path / "none"), "dinov2_b", "base", 8, "cls")
