@@ -5,6 +5,9 @@ same value, and any SQL engine with md5 can repeat it.
 """
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column, functions as F
 
 HEX_DIGITS = 13                      # 52 bits: exact in a double
@@ -31,7 +34,6 @@ def between(lo: float, hi: float, *keys) -> Column:
 
 
 def log_between(lo: float, hi: float, *keys) -> Column:
-    import math
     a, b = math.log(lo), math.log(hi)
     return F.exp(F.lit(a) + F.lit(b - a) * uniform(*keys))
 
@@ -47,3 +49,14 @@ def choice(options, *keys) -> Column:
 def zero_or_between(p_zero: float, lo: float, hi: float, *keys) -> Column:
     """A point mass at 0 mixed with a uniform; the two draws use separate streams."""
     return F.when(uniform(*keys, 0) < F.lit(float(p_zero)), F.lit(0.0)).otherwise(between(lo, hi, *keys, 1))
+
+
+def uniform_value(*keys) -> float:
+    """``uniform`` of literal keys, on the driver."""
+    digest = hashlib.md5("|".join(map(str, keys)).encode()).hexdigest()
+    return int(digest[:HEX_DIGITS], 16) / SPAN
+
+
+def normal_draw(*keys) -> float:
+    """A standard normal value from literal keys."""
+    return math.sqrt(-2 * math.log(1 - uniform_value(*keys, 0))) * math.cos(2 * math.pi * uniform_value(*keys, 1))

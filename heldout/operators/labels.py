@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.keyed import normal_draw
 from .common import correlation, cut, finite
 from .moments import matrix_of
 from .ordering import positions
@@ -229,9 +230,9 @@ def resample_clip(frames: DataFrame, scene: str, frame: str, n: int) -> DataFram
 
 
 def random_features(features: DataFrame, x: str, dim: int, seed: int, name: str = "x") -> DataFrame:
-    """The untrained baseline: the same rows through fixed random weights."""
+    """The untrained baseline: the same rows through fixed random weights, normal draws keyed by (seed, entry, output)."""
     d = int(features.select(F.size(x)).first()[0])
-    weights = np.random.default_rng(seed).normal(size=(d, dim)) / math.sqrt(d)
+    weights = np.array([[normal_draw(seed, i, j) for j in range(dim)] for i in range(d)]) / math.sqrt(d)
 
     @F.arrow_udf("array<double>")
     def apply(v: pa.Array) -> pa.Array:

@@ -7,7 +7,7 @@ from ...operators import labels as L, moments as Mo
 from ...operators.common import cut
 from ...operators.sampling import sample_factors
 from .. import views as V
-from .registry import FRAMES, PLAIN, query
+from .registry import FEATURES, FRAMES, PLAIN, cells, query, u
 
 R6 = lambda c: F.round(F.col(c), 6).alias(c)
 DT = 0.01
@@ -202,7 +202,8 @@ def scene_quality(spark, d):
                     R6("max_obj_radius"), R6("final_obj_radius"), "settled_by_end", "n_steps", R6("episode_seconds"))
 
 
-@query("random_features")
+@query("random_features", f"""WITH {FEATURES}, w AS (SELECT a, b, sqrt(-2 * ln(1 - {u('7', 'a', 'b', '0')})) * cos(2 * pi() * {u('7', 'a', 'b', '1')}) / 8 AS w FROM range(64) r(a), range(16) q(b)),
+{cells(64)} SELECT scene_index, frame_index, CAST(b AS INT) AS i, round(tanh(sum(v * w)), 6) AS v FROM cells JOIN w ON w.a = cells.i GROUP BY scene_index, frame_index, b""")
 def random_features(spark, d):
     out = L.random_features(V.features(spark, d), "x", 16, 7, "z")
-    return out.select("scene_index", "frame_index", F.posexplode("z").alias("i", "v"))
+    return out.select("scene_index", "frame_index", F.posexplode("z").alias("i", "v")).withColumn("v", F.round("v", 6) + 0.0)

@@ -117,12 +117,12 @@ SPEARMAN = RANKED + ", rho AS (" + " UNION ALL ".join(
 
 @query("midranks", "WITH " + ROWS + ", m AS (" + " UNION ALL ".join(
     f"SELECT {i} AS col, {e} AS value FROM rows" for i, _, _, _, e in AUDIT) + """), t AS (SELECT col, value, count(*) AS ties FROM m GROUP BY col, value)
-SELECT CAST(col AS INT) AS col, value, ties, CAST(sum(ties) OVER (PARTITION BY col ORDER BY value) AS BIGINT) - ties + (ties + 1) / 2.0 AS rank FROM t""")
+SELECT CAST(col AS INT) AS col, round(value, 9) AS value, ties, CAST(sum(ties) OVER (PARTITION BY col ORDER BY value) AS BIGINT) - ties + (ties + 1) / 2.0 AS rank FROM t""")
 def midranks(spark, d):
     cols = V.FACTOR_COLUMNS()
     rows = V.factor_rows(spark, d).select(*[c.column.alias(c.name) for c in cols])
     t = D.average_ranks(rows, [c.name for c in cols])
-    return t.select(F.col("column").alias("col"), "value", "ties", "rank")
+    return t.select(F.col("column").alias("col"), F.round("value", 9).alias("value"), "ties", "rank")
 
 
 @query("spearman_pairs", f"WITH {SPEARMAN} SELECT a, b, group_a, group_b, round(rho, 6) AS rho, considered FROM rho")
@@ -160,7 +160,8 @@ def correlation_heat_map(spark, d):
     return m.select("a", *[(F.round(F.col(f"`{n}`"), 6) + 0.0).alias(f"c{i}") for i, n in enumerate(names)])
 
 
-def _sampler_sql() -> str:
+def _sampler_sql(source: str = "factors", before: str = "", measured: tuple[str, ...] = ()) -> str:
+    """CTE ``rho`` of the 24 factors of ``source``, and of measured columns beside them."""
     groups = {**dict.fromkeys(list(RANGES)[:3], "physical"), **dict.fromkeys(list(RANGES)[3:10], "layout")}
     cols = []
     for n, (kind, *_) in RANGES.items():
@@ -171,10 +172,11 @@ def _sampler_sql() -> str:
             cols.append((n, n, g, n))
             if n.endswith("hue"):
                 cols += [(f"{n}_sin", n, g, f"sin(2 * pi() * {n})"), (f"{n}_cos", n, g, f"cos(2 * pi() * {n})")]
+    cols += [(m, m, "physical", m) for m in measured]
     ranked = ", ".join(f"rank() OVER (ORDER BY {e}) + (count(*) OVER (PARTITION BY {e}) - 1) / 2.0 AS r{i}" for i, (_, _, _, e) in enumerate(cols))
     melted = " UNION ALL ".join(f"SELECT scene_index, {i} AS c, r{i} AS r FROM rk" for i in range(len(cols)))
     names = ", ".join(f"({i}, '{n}', '{f}', '{g}')" for i, (n, f, g, _) in enumerate(cols))
-    return f"""{FACTORS}, rk AS (SELECT scene_index, {ranked} FROM factors), ml AS ({melted}), nm(c, name, factor, grp) AS (VALUES {names}),
+    return f"""{FACTORS}, {before} rk AS (SELECT scene_index, {ranked} FROM {source}), ml AS ({melted}), nm(c, name, factor, grp) AS (VALUES {names}),
 cr AS (SELECT x.c AS i, y.c AS j, corr(x.r, y.r) AS rho, count(*) AS n FROM ml x JOIN ml y ON x.scene_index = y.scene_index AND x.c < y.c GROUP BY 1, 2),
 rho AS (SELECT p.name AS a, q.name AS b, rho, p.factor <> q.factor AND p.grp <> q.grp AS considered, n FROM cr JOIN nm p ON p.c = i JOIN nm q ON q.c = j)"""
 
@@ -189,17 +191,17 @@ def sampler_gate(spark, d):
     return v.withColumn("max_abs_rho", F.round("max_abs_rho", 6))
 
 
-DERIVED = ["mass", "friction_slide", "obj_radius", "obj_size", "floor_gray"]
+MEASURED = ("mean_quantity", "mean_price")
+DERIVED = _sampler_sql("derived", "m AS (SELECT l_orderkey AS scene_index, avg(l_quantity) AS mean_quantity, avg(l_extendedprice) AS mean_price FROM lineitem GROUP BY 1), derived AS (SELECT * FROM factors JOIN m USING (scene_index)),", MEASURED)
 
 
-@query("derived_audit", f"""WITH {FACTORS}, m AS (SELECT l_orderkey AS scene_index, avg(l_quantity) AS mean_quantity, avg(l_extendedprice) AS mean_price FROM lineitem GROUP BY 1),
-j AS (SELECT * FROM factors JOIN m USING (scene_index)), r AS (SELECT {', '.join(f'rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}' for c in DERIVED + ['mean_quantity', 'mean_price'])} FROM j)
-""" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS rho FROM r" for a in DERIVED for b in ("mean_quantity", "mean_price")))
+@query("derived_audit", f"""WITH {tested(DERIVED)}, said AS ({VERDICT}) SELECT a, b, round(rho, 6) AS rho, t.considered, round(p_holm, 6) AS p_holm, (SELECT passed FROM said) AS passed FROM tests t WHERE starts_with(b, 'mean_') AND NOT starts_with(a, 'mean_')""")
 def derived_audit(spark, d):
-    """Advisory: scene means of measured columns against sampled factors."""
+    """Advisory: scene means of measured columns against all sampled factors, with the verdict over all pairs."""
     li = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("scene_index"), F.col("l_quantity").alias("mean_quantity"),
                                               F.col("l_extendedprice").alias("mean_price"))
-    kept = [f for f in P.FACTORS if f.name in DERIVED]
-    joined, extra = D.derived_columns(li, _factors(spark, d), "scene_index", ["mean_quantity", "mean_price"])
-    pairs = D.audit_pairs(joined, D.expand_factors(kept) + extra, "scene_index")
-    return pairs.where(F.col("b").startswith("mean_") & ~F.col("a").startswith("mean_")).select("a", "b", (F.round("rho", 6) + 0.0).alias("rho"))
+    joined, extra = D.derived_columns(li, _factors(spark, d), "scene_index", list(MEASURED))
+    pairs = D.audit_pairs(joined, D.expand_factors(P.FACTORS) + extra, "scene_index")
+    said = D.verdict(pairs).select("passed").scalar()
+    mixed = pairs.where(F.col("b").startswith("mean_") & ~F.col("a").startswith("mean_"))
+    return mixed.select("a", "b", (F.round("rho", 6) + 0.0).alias("rho"), "considered", (F.round("p_holm", 6) + 0.0).alias("p_holm"), said.alias("passed"))
