@@ -48,16 +48,18 @@ def average_ranks(rows: DataFrame, names: list[str]) -> DataFrame:
     return value_ranks(melted, "value", ["column"])
 
 
+def numbered_rows(rows: DataFrame) -> DataFrame:
+    return cut(rows.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def rank_columns(rows: DataFrame, names: list[str], keep: list[str] = (), key: str | None = None) -> DataFrame:
     """Replaces each named column by its average rank.
 
     All columns share two shuffles: out to (column, value) and back to the row key.
-    Rows without a key are written once and numbered there.
+    Rows without a key are numbered as they are written, once.
     """
     if key is None:
-        key = "__row"
-        rows = cut(rows).withColumn(key, F.monotonically_increasing_id())
-        rows = cut(rows)
+        key, rows = "__row", numbered_rows(rows)
     table = cut(average_ranks(rows, names))
     cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(names)])
     back = rows.select(key, F.explode(cells).alias("c")).select(key, "c.*").join(table, ["column", "value"]) \
@@ -76,7 +78,8 @@ def spearman(rows: DataFrame, names: list[str], key: str | None = None) -> DataF
     for c in names:
         value = F.col(f"`{c}`").cast("double")
         rows = rows.where(value.isNotNull() & ~F.isnan(value))
-    n = rows.count()
+    rows, key = (numbered_rows(rows), "__row") if key is None else (cut(rows), key)
+    n = rows.count()                                            # of a written table: read off its files
     ranked = rank_columns(rows, names, key=key)
     z = ranked.select(F.array(*[F.col(f"`{c}`") - F.lit((n + 1) / 2.0) for c in names]).alias("z"))
     gram = cut(scatter(z, "z").select("i", F.posexplode("row").alias("j", "s")))
