@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from ...operators import audit as A, dynamics as Dy, metrics as M, moments as Mo, probes as P, spatial as S, splits as Sp
 from ...operators.common import cut
 from .. import views as V
-from .registry import FEATURES, cells, query, split
+from ..cells import Cell, Corpus, run_cells
+from .registry import FEATURES, FRAMES, cells, query, split
 
 R6 = lambda c: (F.round(F.col(c), 6) + 0.0).alias(c)
 
@@ -92,6 +93,46 @@ def ridge_predict(spark, d):
     return test.groupBy("scene_index").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("y_pred"), 2).alias("total_pred"))
 
 
+def _ridge_sql(name: str, source: str, seed: int) -> str:
+    """CTE ``{name}_fin`` (alpha, b, c): the ridge of y on x0 over the training scenes of ``source`` with the penalty of the best mean fold score."""
+    n = name
+    return f"""{split(source, seed, n)}, {n}_tr AS (SELECT r.*, pos % 5 AS fold FROM {source} r JOIN {n} USING (scene_index) WHERE is_train),
+{n}_st AS (SELECT avg(x0) AS mx, stddev_pop(x0) AS sx FROM {n}_tr), {n}_z AS (SELECT fold, (x0 - mx) / sx AS x, y FROM {n}_tr, {n}_st),
+{n}_al AS (SELECT CAST(a AS INT) AS a, 10 ** (-3 + 0.5 * a) AS alpha FROM range(17) r(a)),
+{n}_ft AS (SELECT f.fold, avg(x) AS xb, avg(y) AS yb, covar_pop(x, y) * count(*) AS sxy, var_pop(x) * count(*) AS sxx FROM {n}_z z, range(5) f(fold) WHERE z.fold <> f.fold GROUP BY f.fold),
+{n}_sc AS (SELECT a, z.fold, 1 - sum((y - sxy / (sxx + alpha) * x - yb + xb * sxy / (sxx + alpha)) ** 2) / (var_pop(y) * count(*)) AS s FROM {n}_z z JOIN {n}_ft t ON t.fold = z.fold, {n}_al GROUP BY a, z.fold),
+{n}_best AS (SELECT a FROM (SELECT a, avg(s) AS score FROM {n}_sc GROUP BY a) ORDER BY round(score, 12) DESC, a LIMIT 1),
+{n}_fin AS (SELECT alpha, covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + alpha) AS b, avg(y) - avg(x) * covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + alpha) AS c FROM {n}_z, {n}_al JOIN {n}_best USING (a) GROUP BY alpha)"""
+
+
+def _cells_sql() -> str:
+    parts, out = [], []
+    for source, told in (("base", (("real", "base", "base"), ("transfer", "base", "base"), ("transfer", "occluded", "occluded"))), ("pooled", (("scene_pooled", "base", "pooled"),))):
+        for seed in (0, 1):
+            n = f"{source}{seed}"
+            parts.append(_ridge_sql(n, source, seed))
+            out += [f"""SELECT {seed} AS seed, '{task}' AS task, '{condition}' AS eval_condition, count(*) AS n_rows, round(sum(y), 4) AS total_true, round(sum((x0 - mx) / sx * b + c), 4) AS total_pred,
+round(sum(((x0 - mx) / sx * b + c) * (r.scene_index + 1)), 2) AS weighted_pred, round(max(log10(alpha)), 6) AS log_penalty FROM {rows} r JOIN {n} USING (scene_index), {n}_st, {n}_fin WHERE NOT is_train""" for task, condition, rows in told]
+    return f"""WITH {FRAMES}, base AS (SELECT scene_index, frame_index, k AS x0, 0.05 * value + 0.5 * k + sin(scene_index) AS y FROM frames), occluded AS (SELECT scene_index, frame_index, 0.9 * x0 + 3 AS x0, y FROM base),
+pooled AS (SELECT scene_index, avg(x0) AS x0, arg_min(y, frame_index) AS y FROM base GROUP BY 1), {', '.join(parts)} {' UNION ALL '.join(out)}"""
+
+
+@query("cell_predictions", _cells_sql())
+def cell_predictions(spark, d):
+    """Three cells of one design, two seeds: frames, a transfer to treated frames, scenes pooled; against closed forms."""
+    base = cut(V.frames(spark, d).select("scene_index", "frame_index", "k", (0.05 * F.col("value") + 0.5 * F.col("k") + F.sin("scene_index")).alias("obj_pos_x")))
+
+    def features(encoder, condition, layer, view):
+        x = F.col("k") if condition == "base" else F.col("k") * 0.9 + 3
+        return base.select("scene_index", "frame_index", F.array(x).alias("x"))
+
+    cells = [Cell("k", "base", 0, "mean", ("obj_pos_x",)), Cell("k", "base", 0, "mean", ("obj_pos_x",), "transfer", label="paired", also=("occluded",)), Cell("k", "base", 0, "mean", ("obj_pos_x",), "scene_pooled", pool=True)]
+    told = run_cells(Corpus(features, lambda condition: base.select("scene_index", "frame_index", "obj_pos_x")), cells, "D", [0, 1])
+    return told.groupBy("seed", "task", "eval_condition").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("y_true"), 4).alias("total_true"), F.round(F.sum("y_pred"), 4).alias("total_pred"),
+        F.round(F.sum(F.col("y_pred") * (F.col("scene_index") + 1)), 2).alias("weighted_pred"), F.round(F.log10(F.max("penalty")), 6).alias("log_penalty"))
+
+
 @query("ridge_probe")
 def ridge_probe(spark, d):
     """64 features, two targets, three seeds from one scan."""
