@@ -1,8 +1,8 @@
 """Sharding: minimax contiguous partition of groups of equal texts.
 
 Groups lie in the order of a hash of their text. The smallest capacity for which a
-greedy walk needs no more than the given shards is found by bisection, and the cuts
-of that walk are made. The driver sees the order only as bins with their sums: a bin
+greedy walk needs no more than the given shards is found by bisection; the cuts made
+lie under that capacity too, but more evenly than the walk's (even_cuts). The driver sees the order only as bins with their sums: a bin
 is a range of hashes. A walk over whole bins is feasible if it ends in time; a walk
 that may split bins is infeasible if it ends too late; where the two disagree, only
 the bins between their cuts are split further. So the capacity is exact, while the

@@ -30,7 +30,8 @@ MAGIC = b"EFTOKEN1"
 SAMPLE = 64
 KEPT_WORDS = 600_000
 BLOCK_CHARS = 1 << 20
-READ_IDS = 1 << 20
+READ_IDS, READ_DOCS = 1 << 20, 1 << 14
+SCAN_BYTES = 1 << 14
 
 #: Letters and numbers of the first Unicode blocks, for texts that have no other characters; the word rule is the tokenizer file's.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -58,8 +59,8 @@ class EliasFano:
         high = np.packbits(bits, bitorder="little").tobytes()
         return cls(n, low_bits, low, high, ones[::SAMPLE].astype("<u4").tobytes())
 
-    def select(self, i: int) -> int:
-        """The i-th value, from the sample before it."""
+    def place(self, i: int) -> int:
+        """Place of the i-th one bit, from the sample before it."""
         place = int(np.frombuffer(self.places, "<u4")[i // SAMPLE])
         left, byte = i % SAMPLE, place // 8
         word = self.high[byte] & (0xFF << (place % 8))
@@ -72,16 +73,38 @@ class EliasFano:
             word = self.high[byte]
         for _ in range(left):
             word &= word - 1
-        high = byte * 8 + (word & -word).bit_length() - 1 - i
+        return byte * 8 + (word & -word).bit_length() - 1
+
+    def select(self, i: int) -> int:
+        """The i-th value."""
+        high = self.place(i) - i
         first = i * self.low_bits
         piece = int.from_bytes(self.low[first // 8:(first + self.low_bits + 7) // 8 + 1], "little") >> (first % 8)
         return high << self.low_bits | piece & ((1 << self.low_bits) - 1)
 
+    def values(self, first: int, last: int) -> np.ndarray:
+        """The values first..last - 1: a select for the first, then a scan from there; memory is that of these values."""
+        n = last - first
+        if n <= 0:
+            return np.zeros(0, np.int64)
+        byte, found, ones = self.place(first) // 8, 0, []
+        skip = self.place(first) % 8
+        while found < n:
+            bits = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8, min(SCAN_BYTES, len(self.high) - byte), byte), bitorder="little"))
+            bits = bits[bits >= skip] + byte * 8
+            ones.append(bits[:n - found])
+            found, byte, skip = found + len(ones[-1]), byte + SCAN_BYTES, 0
+        high = (np.concatenate(ones) - np.arange(first, last)) << self.low_bits
+        start, stop = first * self.low_bits, last * self.low_bits
+        bits = np.unpackbits(np.frombuffer(self.low, np.uint8, (stop + 7) // 8 - start // 8, start // 8), bitorder="little")
+        bits = bits[start % 8:start % 8 + n * self.low_bits].reshape(n, self.low_bits)
+        low = np.zeros(n, np.int64)
+        for k in range(self.low_bits):
+            low |= bits[:, k].astype(np.int64) << k
+        return high | low
+
     def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[:self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[:self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return high | (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        return self.values(0, self.n)
 
     def pack(self) -> bytes:
         return struct.pack("<QIQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.places)) + self.low + self.high + self.places
@@ -220,8 +243,10 @@ class TokenFile:
         """Ids of the i-th document, found by two selects."""
         return self.span(self.ends.select(i - 1) if i else 0, self.ends.select(i))
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.meta["nulls"] + (self.keys.all().astype(np.int64) + self.meta["base"]).tolist()
+    def doc_ids(self, first: int = 0, last: int | None = None) -> list[int | None]:
+        """Ids of the documents first..last - 1; those without an id come first."""
+        last, nulls = len(self) if last is None else last, self.meta["nulls"]
+        return [None] * (min(last, nulls) - min(first, nulls)) + (self.keys.values(max(first - nulls, 0), max(last - nulls, 0)) + self.meta["base"]).tolist()
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -239,15 +264,20 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for file, start in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 f = TokenFile(file)
-                ends, ids = f.ends.all().astype(np.int64), f.doc_ids()
-                begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
-                i = 0
-                while i < len(ids):
-                    j = max(i + 1, int(np.searchsorted(ends, begins[i] + READ_IDS, "right")))
-                    block = f.span(int(begins[i]), int(ends[j - 1])).astype("<u4")
-                    crc = [zlib.crc32(block[a:b].tobytes()) for a, b in zip(begins[i:j] - begins[i], ends[i:j] - begins[i])]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(begins[i:j] + start), pa.array(ends[i:j] - begins[i:j]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-                    i = j
+                for first in range(0, len(f), READ_DOCS):
+                    yield from told(f, first, min(first + READ_DOCS, len(f)), start)
+
+    def told(f: TokenFile, first: int, last: int, start: int):
+        """The documents first..last - 1 of a file: their boundaries are read by a select and a scan, their ids READ_IDS at a time."""
+        ends, ids = f.ends.values(first, last), f.doc_ids(first, last)
+        begins = np.concatenate([np.array([f.ends.select(first - 1) if first else 0], np.int64), ends[:-1]])
+        i = 0
+        while i < len(ids):
+            j = max(i + 1, int(np.searchsorted(ends, begins[i] + READ_IDS, "right")))
+            block = f.span(int(begins[i]), int(ends[j - 1])).astype("<u4")
+            crc = [zlib.crc32(block[a:b].tobytes()) for a, b in zip(begins[i:j] - begins[i], ends[i:j] - begins[i])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(begins[i:j] + start), pa.array(ends[i:j] - begins[i:j]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            i = j
 
     table = spark.createDataFrame(rows, "part int, file string, start long").repartition(max(len(rows), 1), "part")
     return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
