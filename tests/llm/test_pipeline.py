@@ -146,5 +146,5 @@ def test_awkward_and_empty_tables(spark, awkward, nothing):
 def test_registered(spark):
     import __spark_entry__ as entry
     names = list(entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(entry.oracle_sql()) <= set(names)
