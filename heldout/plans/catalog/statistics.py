@@ -49,8 +49,7 @@ SELECT b, scene_index, times FROM drawn""")
 def bootstrap_multiplicity(spark, d):
     scenes = V.plain_frames(spark, d).select("scene_index").distinct()
     table = B.numbered(scenes, [], "scene_index", 0).transform(cut)
-    times = B.multiplicities(table.select("seed", "n_scenes").distinct(), N)
-    return times.join(table, ["seed", "n_scenes", "drawn"]).select("b", "scene_index", "times")
+    return B.drawn_scenes(table, ["scene_index"], N)
 
 
 def interval_sql(sample_cte: str, by: str, value: str) -> str:
