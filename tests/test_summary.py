@@ -115,3 +115,11 @@ def test_transitions_stay_within_scenes(spark):
     c = spark.createDataFrame([(1.0, 2.0), (float("nan"), 1.0), (2.0, 3.0)], "a double, b double")
     r = Dy.correlation_over_cells(c, "a", "b").first()
     assert r.n_cells == 2 and math.isnan(r.pearson)
+
+
+def test_best_cells_with_scores_that_differ_between_evaluations(spark):
+    """Sums of doubles are not alike to the last bit when they are taken twice."""
+    noise = F.udf(lambda v: v + np.random.default_rng().normal() * 1e-12, "double").asNondeterministic()
+    rows = spark.createDataFrame([(g, k, "m", float(k % 3)) for g in range(20) for k in range(6)], "g int, layer int, view string, value double").withColumn("value", noise("value"))
+    found = S.best_cells(rows, ["g"]).collect()
+    assert sorted(r.g for r in found) == list(range(20)) and {r.layer for r in found} <= {2, 5}
