@@ -18,6 +18,7 @@ from .ordering import hash_positions
 RIDGE_ALPHAS = np.logspace(-3, 5, 17)        # fixed value
 LOGISTIC_CS = np.logspace(-4, 4, 9)          # fixed value
 DEAD = 1e-12                                 # fixed value: scale below this counts as constant
+TIED = 12                                    # fixed value: penalties whose scores agree to so many places are tied, the least is taken
 
 
 # ---- membership -------------------------------------------------------------
@@ -148,7 +149,7 @@ def ridge_from_moments(folds: dict[int, np.ndarray], k: int, center, scale, alph
     full = sum(own.values())
     alphas = np.asarray(alphas, float)
     scores = np.zeros((len(alphas), 0)) if not k else np.mean([held_out_r2(m, k, *ridge_path(full - m, k, alphas)) for m in own.values()], axis=0)
-    best = np.argmax(scores, axis=0)
+    best = np.argmax(np.round(scores, TIED), axis=0) if k else None
     if not k:                                                   # only mean and scale are asked for
         return LinearFit(center[1:] + mx * scale[1:], sd * scale[1:], np.zeros((len(mx), 0)), np.zeros(0), np.zeros(0), np.zeros((len(alphas), 0)))
     beta, b0 = ridge_path(full, k, alphas)

@@ -177,3 +177,19 @@ def test_patch_probe_reaches_the_optimum_on_weak_signal(spark):
     assert abs(auc(ours) - auc(w)) < 0.01
     with pytest.raises(RuntimeError):
         Sp.fit_max_pooled(df, "x", "y", ["scene", "frame"], max_scans=2)
+
+
+def test_penalties_tied_to_twelve_places_give_the_least():
+    """With many rows small penalties score alike but for the noise of the sums, which must not choose."""
+    chosen_by_noise = 0
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        folds = {}
+        for f in range(5):
+            c = 1 + 1e-4 * rng.normal()
+            folds[f] = 1e7 * np.array([[1.0, 0.1, 0.2], [0.1, 2.0, c], [0.2, c, 1.0 + 1e-4 * rng.normal()]])
+        fit = P.ridge_from_moments(folds, 1, np.zeros(3), np.ones(3), [1e-6, 1e-5, 1e-4, 1e-3])
+        if len(set(np.round(fit.cv_scores[:, 0], 12))) == 1:
+            assert fit.penalty[0] == 1e-6
+            chosen_by_noise += np.argmax(fit.cv_scores[:, 0]) != 0
+    assert chosen_by_noise > 0
