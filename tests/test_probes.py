@@ -193,3 +193,31 @@ def test_penalties_tied_to_twelve_places_give_the_least():
             assert fit.penalty[0] == 1e-6
             chosen_by_noise += np.argmax(fit.cv_scores[:, 0]) != 0
     assert chosen_by_noise > 0
+
+
+def test_patch_probe_passes_kinks_in_many_dimensions(spark):
+    """With about as many weights as frames the best patches change along every step; two models share the scans."""
+    rng = np.random.default_rng(11)
+    n, p, d = 200, 5, 40
+    x, y = rng.normal(size=(n, p, d)), rng.integers(0, 2, n)
+    df = spark.createDataFrame([(i // 4, i % 4, [float(v) for v in x[i, j]], int(y[i])) for i in range(n) for j in range(p)], "scene long, frame int, x array<double>, y int").cache()
+    fit = Sp.fit_max_pooled(df, "x", "y", ["scene", "frame"])
+    flat = x.reshape(-1, d)
+    z = (x - flat.mean(0)) / flat.std(0, ddof=1)
+
+    def at(w):
+        s = z @ w[:-1] + w[-1]
+        a = np.hstack([z[np.arange(n), s.argmax(1)], np.ones((n, 1))])
+        s = s.max(1)
+        return (np.logaddexp(0, s) - y * s).mean() + 0.5e-3 * (w[:-1] ** 2).sum(), a.T @ (1 / (1 + np.exp(-s)) - y) / n + np.append(1e-3 * w[:-1], 0)
+
+    w = np.append((flat[np.repeat(y, p) == 1].mean(0) - flat[np.repeat(y, p) == 0].mean(0)) / flat.std(0, ddof=1), 0.0)
+    least = np.inf
+    for t in range(6000):
+        value, g = at(w)
+        least, w = min(least, value), w - 0.5 / (1 + t / 500) * g
+    ours = np.append(fit.coef[:, 0], fit.intercept)
+    assert at(ours)[0] <= least + 2e-3
+    both = Sp.fit_max_pooled_all(df.withColumn("u", F.array(F.lit(True), F.col("scene") < 30)), "x", "y", ["scene", "frame"], "u", 2)
+    assert np.allclose(both[0].coef, fit.coef, atol=1e-6)
+    assert np.allclose(both[1].coef, Sp.fit_max_pooled(df.where("scene < 30"), "x", "y", ["scene", "frame"]).coef, atol=1e-4)
