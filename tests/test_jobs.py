@@ -168,3 +168,26 @@ def test_digests_are_of_the_rows_whatever_their_order(spark):
 def test_an_absent_table_is_a_missing_file(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tables.features(spark, str(tmp_path / "none"), "dinov2_b", "base", 8, "cls")
+
+
+def test_dynamics_of_cells_in_shared_scans_equal_those_of_one_cell(spark):
+    from heldout.operators import dynamics as Dy, metrics as M, probes as P
+    from heldout.plans import experiments as X
+    from heldout.plans.catalog.experiments import corpus
+    from heldout.plans.cells import Corpus, aligned
+    given = corpus(spark, "/root/testdata/sf0.001")
+    cells, seeds = [X.Cell("dinov2_b", "base", 8, "cls", ("contact_state",)), X.Cell("random_b", "base", 2, "mean", ("contact_state",))], [0, 3]
+    found = {(r.encoder, r.seed): r for r in X.run_dynamics(spark, given, cells, "G", seeds).collect()}
+    assert len(found) == 4
+    cell = cells[1]
+    rows = aligned(Corpus(given.features, given.targets, given.patches, extra=("ee_pos_x", "ee_pos_y", "time")), cell, "base").cache()
+    moves = P.with_folds(Dy.transitions(rows, "scene_index", "frame_index", "x", "ee_pos_x", "ee_pos_y", "time"), "scene_index", seeds).cache()
+    for want in Dy.predictability(moves, "scene_index", "folds", seeds):
+        got = found["random_b", want["seed"]]
+        assert got.latent_dim == want["latent_dim"]
+        assert abs(got.model_mse - want["model_mse"]) < 1e-8 and abs(got.r2_vs_stationary - want["r2_vs_stationary"]) < 1e-8
+    design = P.with_folds(rows, "scene_index", seeds).cache()
+    fits = P.fit_logistic(design, "x", "contact_state", seeds)
+    for i, s in enumerate(seeds):
+        test = design.where(F.col("folds")[i] < 0).select(F.col("contact_state").alias("y_true"), (P.linear_scores(F.col("x"), [fits[i]])[0] > 0).cast("int").alias("y_pred"))
+        assert abs(M.balanced_accuracy(test, []).first()["value"] - found["random_b", s].contact_balanced_accuracy) < 1e-9
