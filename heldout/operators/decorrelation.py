@@ -5,15 +5,20 @@ from dataclasses import dataclass
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.pvalues import fisher_z_p
-from .common import cut
-from .moments import scatter
+from .common import cut, parallelism
+from .moments import sum_rows
 from .ordering import value_ranks
 from .testing import holm
 
 MIN_SCENES = 1000                    # fixed value: fewest scenes that make the bound meaningful
+BLOCK_ROWS = 1 << 16                 # rows whose ranks are brought together
+RANGE_ROWS = 1 << 19                 # rows of a column that are ranked together
+PART_CELLS = 1 << 22                 # values that a task takes from a shuffle
 
 
 @dataclass(frozen=True)
@@ -52,37 +57,163 @@ def numbered_rows(rows: DataFrame) -> DataFrame:
     return cut(rows.withColumn("__row", F.monotonically_increasing_id()))
 
 
-def rank_columns(rows: DataFrame, names: list[str], keep: list[str] = (), key: str | None = None) -> DataFrame:
-    """Replaces each named column by its average rank.
+@dataclass(frozen=True)
+class Cuts:
+    """The value ranges of a column: bounds, which of them are heavy values, and the rows below each range.
 
-    All columns share two shuffles: out to (column, value) and back to the row key.
-    Rows without a key are numbered as they are written, once.
+    Range 2k lies above bound k - 1, up to bound k; a heavy bound k is a range of its own, 2k + 1.
     """
-    if key is None:
-        key, rows = "__row", numbered_rows(rows)
-    table = cut(average_ranks(rows, names))
-    cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(names)])
-    back = rows.select(key, F.explode(cells).alias("c")).select(key, "c.*").join(table, ["column", "value"]) \
-        .groupBy(key).agg(*[F.max(F.when(F.col("column") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(names))])
-    if keep:
-        back = rows.select(key, *keep).join(back, key)
-    return back.select(*keep, *[F.col(f"r{i}").alias(c) for i, c in enumerate(names)])
+    bounds: np.ndarray
+    heavy: np.ndarray
+    below: np.ndarray | None = None
+    held: np.ndarray | None = None
+
+    def ranges(self, v: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.bounds, v)
+        if not len(self.bounds):
+            return k
+        at = np.minimum(k, len(self.bounds) - 1)
+        return 2 * k + (self.heavy[at] & (self.bounds[at] == v))
+
+    def counted(self, held: np.ndarray) -> "Cuts":
+        return Cuts(self.bounds, self.heavy, np.cumsum(held) - held, held)
+
+
+def value_cuts(rows: DataFrame, names: list[str], parts: int) -> list[Cuts]:
+    """Bounds of each column at its quantiles; a quantile met twice is a heavy value."""
+    probs = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    if parts < 2:
+        return [Cuts(np.array([]), np.array([], bool)) for _ in names]
+    row = rows.agg(*[F.percentile_approx(F.col(f"`{c}`"), probs, F.lit(20 * parts)).alias(f"q{i}") for i, c in enumerate(names)]).first()
+    out = []
+    for q in row:
+        bounds, times = np.unique(np.array(q or [], float), return_counts=True)
+        out.append(Cuts(bounds, times > 1))
+    return out
+
+
+def counted_cuts(rows: DataFrame, names: list[str], cuts: list[Cuts]) -> list[Cuts]:
+    """The same with the rows in and below every range: columns x ranges numbers reach the driver."""
+    def count(batches):
+        held = [np.zeros(2 * len(c.bounds) + 2, np.int64) for c in cuts]
+        for batch in batches:
+            for i, c in enumerate(cuts):
+                held[i] += np.bincount(c.ranges(batch.column(i).to_numpy(zero_copy_only=False)), minlength=len(held[i]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts), dtype=np.int32)), pa.array(list(held), pa.list_(pa.int64()))], ["column", "held"])
+
+    found = rows.select(*[f"`{c}`" for c in names]).mapInArrow(count, "column int, held array<long>") \
+        .select("column", F.posexplode("held").alias("range", "n")).groupBy("column", "range").agg(F.sum("n").alias("n")).where("n > 0").collect()
+    held = [np.zeros(2 * len(c.bounds) + 2, np.int64) for c in cuts]
+    for r in found:
+        held[r["column"]][r["range"]] = r["n"]
+    return [c.counted(h) for c, h in zip(cuts, held)]
+
+
+_PIECE = "column int, range int, block long, at array<int>, {} array<double>"
+
+
+def _pieces(rows: DataFrame, names: list[str], cuts: list[Cuts], heavy: bool) -> DataFrame:
+    """Rows of a block with values in one range of a column: their places, and their values, or their one rank in a heavy range."""
+    name = "ranks" if heavy else "values"
+
+    def lay(batches):
+        kept, n = [], 0
+        for batch in batches:
+            kept.append(batch)
+            n += batch.num_rows
+            if n >= BLOCK_ROWS:
+                yield from cells(pa.Table.from_batches(kept))
+                kept, n = [], 0
+        if kept:
+            yield from cells(pa.Table.from_batches(kept))
+
+    def cells(table):
+        key = table.column(0).to_numpy()
+        values = [table.column(i + 1).to_numpy() for i in range(len(cuts))]
+        edges = np.flatnonzero(np.diff(key // BLOCK_ROWS, prepend=-1, append=-1))
+        for a, z in zip(edges[:-1], edges[1:]):
+            at, out = (key[a:z] % BLOCK_ROWS).astype(np.int32), []
+            for i, c in enumerate(cuts):
+                v = values[i][a:z]
+                code = c.ranges(v)
+                order = np.argsort(code, kind="stable")
+                ends = np.flatnonzero(np.diff(code[order], prepend=-1, append=-1))
+                for s, e in zip(ends[:-1], ends[1:]):
+                    r, which = int(code[order[s]]), order[s:e]
+                    if r % 2 == heavy:
+                        out.append((i, r, at[which], np.array([c.below[r] + (c.held[r] + 1) / 2.0]) if heavy else v[which]))
+            if out:
+                column, ranges, places, found = zip(*out)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(column, pa.int32()), pa.array(ranges, pa.int32()), pa.array([int(key[a]) // BLOCK_ROWS] * len(out), pa.int64()),
+                    pa.array(places, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.float64()))], ["column", "range", "block", "at", name])
+
+    return rows.select("__row", *[f"`{c}`" for c in names]).mapInArrow(lay, _PIECE.format(name))
+
+
+def midranks(v: np.ndarray) -> np.ndarray:
+    """Average ranks of some values, from 1."""
+    order = np.argsort(v)
+    s = v[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    held = np.diff(np.append(first, len(s)))
+    out = np.empty(len(v))
+    out[order] = np.repeat(first + (held + 1) / 2.0, held)
+    return out
+
+
+def rank_pieces(rows: DataFrame, names: list[str], cuts: list[Cuts]) -> DataFrame:
+    """(column, range, block, at, ranks) of all rows: a range is ranked in one task, heavy values need none.
+
+    A range holds about RANGE_ROWS rows whatever the table's size and values, and the
+    partitions grow with the cells that travel.
+    """
+    def rank(table):
+        values = table.column("values").combine_chunks()
+        below = cuts[table.column("column")[0].as_py()].below[table.column("range")[0].as_py()]
+        ranks = midranks(values.flatten().to_numpy(zero_copy_only=False)) + below
+        ranks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(values.value_lengths().to_numpy())]), pa.int32()), pa.array(ranks))
+        return table.drop_columns(["values"]).append_column("ranks", ranks)
+
+    cells = sum(int(c.held[::2].sum()) for c in cuts)
+    n = max(parallelism(rows.sparkSession), -(-cells // PART_CELLS))
+    travel = _pieces(rows, names, cuts, False).repartition(n, "column", "range")
+    return travel.groupBy("column", "range").applyInArrow(rank, _PIECE.format("ranks")).unionByName(_pieces(rows, names, cuts, True))
+
+
+def rank_gram(rows: DataFrame, names: list[str]) -> tuple[DataFrame, int]:
+    """Sums of products of the centred average ranks as (i, row), and the number of rows.
+
+    ``rows`` is a table of numbered rows without null or NaN. Average ranks have mean
+    (n + 1) / 2 exactly, so centring costs no pass. Ranks come back to blocks of
+    BLOCK_ROWS rows, which a task multiplies.
+    """
+    parts = -(-rows.count() // RANGE_ROWS)
+    cuts = counted_cuts(rows, names, value_cuts(rows, names, parts))
+    n, d = int(cuts[0].held.sum()), len(names)
+
+    def multiply(table):
+        z = np.zeros((BLOCK_ROWS, d))                           # rows left out add nothing
+        for i, at, ranks in zip(table.column("column").to_pylist(), table.column("at"), table.column("ranks")):
+            z[at.values.to_numpy(), i] = ranks.values.to_numpy() - (n + 1) / 2.0
+        return pa.table({"i": pa.array(np.arange(d, dtype=np.int32)), "row": pa.array(list(z.T @ z), pa.list_(pa.float64()))})
+
+    tasks = max(parallelism(rows.sparkSession), -(-n * d // PART_CELLS))
+    back = rank_pieces(rows, names, cuts).repartition(tasks, "block")
+    return sum_rows(back.groupBy("block").applyInArrow(multiply, "i int, row array<double>"), ["i"]), n
 
 
 def spearman(rows: DataFrame, names: list[str], key: str | None = None) -> DataFrame:
     """(i, j, a, b, rho, n) for i <= j.  A constant column has rho 0, and 1 with itself.
 
     Rows with a null or NaN in any of the columns are left out, and n counts the rest.
-    Average ranks have mean (n + 1) / 2 exactly, so centring costs no pass.
+    Rows are told apart by a number of their own; a ``key`` is not needed and may repeat.
     """
+    rows = numbered_rows(rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names]))
     for c in names:
-        value = F.col(f"`{c}`").cast("double")
-        rows = rows.where(value.isNotNull() & ~F.isnan(value))
-    rows, key = (numbered_rows(rows), "__row") if key is None else (cut(rows), key)
-    n = rows.count()                                            # of a written table: read off its files
-    ranked = rank_columns(rows, names, key=key)
-    z = ranked.select(F.array(*[F.col(f"`{c}`") - F.lit((n + 1) / 2.0) for c in names]).alias("z"))
-    gram = cut(scatter(z, "z").select("i", F.posexplode("row").alias("j", "s")))
+        rows = rows.where(F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`")))
+    sums, n = rank_gram(rows, names)
+    gram = cut(sums.select("i", F.posexplode("row").alias("j", "s")))
     diagonal = gram.where("i = j").select("i", F.col("s").alias("d"))
     pairs = gram.where("i <= j").join(F.broadcast(diagonal), "i") \
         .join(F.broadcast(diagonal.select(F.col("i").alias("j"), F.col("d").alias("e"))), "j")
