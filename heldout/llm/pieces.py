@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding of merge-type vocabularies by a score-ordered agenda.
 
 A text becomes symbols, one per character, blanks as the space mark. Adjacent pairs
-that are pieces together stand on an agenda, best score first, then leftmost; the best
+that are pieces together stand on an agenda (short units: a list), best score first, then leftmost; the best
 is merged and the pairs with its new neighbours join the agenda; entries whose symbols
 have changed meanwhile are passed over. No piece holds a space mark after another character, so no merge crosses
 into the next run of marks: texts are cut into units there, and a task keeps the units
@@ -12,10 +12,11 @@ every piece when a model is loaded; any difference fails the task.
 """
 from __future__ import annotations
 
+import gc
 import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, repeat
 from operator import add
 
 import pyarrow as pa
@@ -27,6 +28,8 @@ SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 KEPT_CHARS = 1 << 22                # characters of the units that a task keeps
 BLOCK_CHARS = 1 << 20
+SHORT_UNIT = 48                     # characters of a unit whose pairs are searched in place
+NEVER = float("inf")
 
 
 class Pieces:
@@ -60,13 +63,40 @@ class Pieces:
 
     def merge(self, unit: str) -> tuple[int, ...]:
         """Ids of one unit."""
-        cost, part = self.cost.get, list(unit)
-        n = len(part)
-        agenda = [(c, i, i + 1, pair) for i, pair in enumerate(map(add, part, part[1:])) if (c := cost(pair)) is not None]
+        part = list(unit)
         made: dict[str, tuple[str, str]] = {}
-        if agenda:
-            heapify(agenda)
-            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        (self._merge_short if len(part) <= SHORT_UNIT else self._merge_long)(part, made)
+        try:
+            if not made:
+                return tuple([*map(self.id.__getitem__, filter(None, part))])
+        except KeyError:                                        # a character that is no piece
+            pass
+        out: list[int] = []
+        for name in filter(None, part):
+            self._told(name, made, out)
+        return tuple(out)
+
+    def _merge_short(self, part: list[str], made: dict):
+        """The agenda of a short unit is the list of its pairs' costs, kept in place: the least is taken, leftmost first."""
+        cost, unused = self.cost.get, self.unused
+        costs = [*map(cost, map(add, part, part[1:]), repeat(NEVER))]
+        while costs and (least := min(costs)) < NEVER:
+            i = costs.index(least)
+            left, right = part[i], part.pop(i + 1)
+            both = part[i] = left + right
+            if unused and both in unused:
+                made[both] = (left, right)
+            del costs[i]
+            if i:
+                costs[i - 1] = cost(part[i - 1] + both, NEVER)
+            if i < len(costs):
+                costs[i] = cost(both + part[i + 1], NEVER)
+
+    def _merge_long(self, part: list[str], made: dict):
+        cost, n = self.cost.get, len(part)
+        agenda = [(c, i, i + 1, pair) for i, pair in enumerate(map(add, part, part[1:])) if (c := cost(pair)) is not None]
+        heapify(agenda)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while agenda:
             _, i, j, both = heappop(agenda)
             left, right = part[i], part[j]
@@ -86,16 +116,6 @@ class Pieces:
                 pair = part[h] + both
                 if (c := cost(pair)) is not None:
                     heappush(agenda, (c, h, i, pair))
-        names = list(filter(None, part))
-        try:
-            if not made:
-                return tuple([self.id[x] for x in names])
-        except KeyError:                                        # a character that is no piece
-            pass
-        out: list[int] = []
-        for name in names:
-            self._told(name, made, out)
-        return tuple(out)
 
     def _told(self, name: str, made: dict, out: list[int]):
         if name in made:                                        # an unused piece is told by the two that made it
@@ -118,10 +138,14 @@ class Pieces:
 
     def check(self, units: list[str], found: list[tuple[int, ...]]):
         """Raises if the library gives other ids for a unit; the library puts the mark in front, but not before an empty text."""
+        if not units:
+            return
         texts = [u[1:].replace(SPACE, " ") for u in units]
-        for u, t, ids, other in zip(units, texts, found, self.library.encode(texts, num_threads=1) if texts else []):
-            if list(ids) != (other or self.library.encode("a ")[-1:]):
-                raise ValueError(f"other ids than the library's for {u[:200]!r}")
+        mark = self.library.encode("a ")[-1:]
+        others = [ids or mark for ids in self.library.encode(texts, num_threads=1)]
+        if [*map(list, found)] != others:
+            u = next(u for u, ids, other in zip(units, found, others) if list(ids) != other)
+            raise ValueError(f"other ids than the library's for {u[:200]!r}")
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes that are no UTF-8 become U+FFFD, special pieces nothing, the mark in front goes."""
@@ -157,6 +181,13 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """
     def run(batches):
         model, seen = pieces(path), {}
+        gc.disable()                                            # nothing here makes cycles, and the kept units would be walked again and again
+        try:
+            yield from told(model, seen, batches)
+        finally:
+            gc.enable()
+
+    def told(model, seen, batches):
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in blocks(texts):

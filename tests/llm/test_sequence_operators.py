@@ -138,6 +138,18 @@ def test_pieces_match_the_library():
     assert model.decode([2]) == model.decode([]) == "" and model.decode([1, 259, 2]) == model.library.decode([1, 259, 2])
 
 
+def test_pieces_of_short_units_are_those_of_the_agenda():
+    import random
+    model, draw = pieces.Pieces(MODEL), random.Random(4)
+    for unused in (set(), set(draw.sample(sorted(model.id), 4000))):
+        model.unused = unused
+        for n in [0, 1, 2, *range(3, 60)] * 3:
+            unit = "".join(draw.choices("aetoinshr\u2581\u00e9\u4e00", [9, 9, 9, 9, 9, 9, 9, 9, 9, 2, 1, 1], k=n))
+            a, b, made_a, made_b = list(unit), list(unit), {}, {}
+            model._merge_short(a, made_a), model._merge_long(b, made_b)
+            assert a == [*filter(None, b)] and made_a == made_b
+
+
 def test_pieces_notice_another_result():
     model = pieces.Pieces(MODEL)
     del model.cost["▁the"]
