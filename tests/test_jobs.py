@@ -85,6 +85,15 @@ def test_pooled_video_and_transfer_cells(spark, corpus):
     assert v["base"] > 0.99 and v["occluded"] < 0.7
 
 
+def test_other_conditions_are_scored_off_written_rows(corpus):
+    cell = C.Cell("dinov2_b", "base", 8, "cls", ("obj_pos_x", "contact_state"), "transfer", label="paired", also=("occluded",))
+    told = C.run_cells(corpus, [cell], "E", [0, 1])
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "Join" not in plan and "InMemory" not in plan
+    assert {(r.seed, r.eval_condition, r.target): r["count"] for r in told.groupBy("seed", "eval_condition", "target").count().collect()} \
+        == {(s, c, t): 120 for s in (0, 1) for c in ("base", "occluded") for t in cell.targets}
+
+
 def test_pooling_unsorted_scenes(spark):
     df = spark.createDataFrame([(s, f, [float(s), float(f), 1.0], v) for s, v in ((5, 1.0), (2, 2.0), (9, 3.0)) for f in range(4)], "scene_index long, frame_index long, x array<double>, log_mass double")
     p = moments.mean_vector(df, "x", ["scene_index"], [F.min_by("log_mass", "frame_index").alias("log_mass")]).orderBy("scene_index").collect()
