@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ...operators import audit as A, metrics as M
-from ...operators.common import cut, shared_folder
+from ...operators.common import cut, parallelism, shared_folder
 from ...operators.probes import fit_ridge, linear_scores, with_folds
 from ...operators.sampling import sample_factors
 from ...operators.splits import scene_split
@@ -220,10 +220,15 @@ def _compared(first, again):
     return A.determinism(first, again, ["scene_index"], NUMERIC, exact=NAMED).select("one_sided", F.round("max_difference", 9).alias("max_difference"), "n_unequal", "passed")
 
 
+def moved(rows, key):
+    """The same rows in other tasks and another order, evenly: tasks grow with the shuffle partitions."""
+    return rows.repartition(parallelism(rows.sparkSession) + 1, F.xxhash64(key))
+
+
 @query("determinism", f"WITH {FACTORS} SELECT {DETERMINISM} FROM {_determinism('factors')}")
 def determinism(spark, d):
     o = V.table(spark, d, "orders").select("o_orderkey").distinct()
-    again = sample_factors(o.repartition(13, (F.col("o_orderkey") % 11)), "o_orderkey", 0)
+    again = sample_factors(moved(o, "o_orderkey"), "o_orderkey", 0)
     return _compared(sample_factors(o, "o_orderkey", 0), again)
 
 
@@ -232,7 +237,7 @@ SELECT {DETERMINISM} FROM {_determinism('again')}""")
 def determinism_broken(spark, d):
     """The same check where some scenes are missing from the second run, some have another mass and some none."""
     o = V.table(spark, d, "orders").select("o_orderkey").distinct()
-    first = sample_factors(o, "o_orderkey", 0)
+    first = cut(sample_factors(moved(o, "o_orderkey"), "o_orderkey", 0))
     key = F.col("scene_index")
     mass = F.when(key % 97 == 0, F.col("mass") + 0.5).when(key % 89 == 0, F.lit(None).cast("double")).otherwise(F.col("mass"))
     return _compared(first, first.where(key % 101 != 0).withColumn("mass", mass))
@@ -241,7 +246,7 @@ def determinism_broken(spark, d):
 @query("determinism_nulls", f"""WITH {FACTORS}, again AS (SELECT * REPLACE (CASE WHEN scene_index % 89 = 0 THEN NULL ELSE mass END AS mass) FROM factors) SELECT {DETERMINISM} FROM {_determinism('again')}""")
 def determinism_nulls(spark, d):
     """The same check where the only fault is a value turned null."""
-    first = sample_factors(V.table(spark, d, "orders").select("o_orderkey").distinct(), "o_orderkey", 0)
+    first = cut(sample_factors(moved(V.table(spark, d, "orders").select("o_orderkey").distinct(), "o_orderkey"), "o_orderkey", 0))
     return _compared(first, first.withColumn("mass", F.when(F.col("scene_index") % 89 != 0, F.col("mass"))))
 
 
