@@ -127,13 +127,13 @@ binned AS (SELECT *, var_pop(y_occ) OVER (PARTITION BY target) AS var, CAST(CASE
 
 @query("matched_rows", f"WITH {PAIRED} SELECT target, scene_index, frame_index, occ AS occlusion_fraction, round(CAST(p_base AS DOUBLE), 6) AS p_base, round(CAST(p_occ AS DOUBLE), 6) AS p_occ FROM pp")
 def matched_rows(spark, d):
-    p = S.paired_rows(cut(V.transfer_predictions(spark, d)), "strong", ("value", "alert"))
+    p = S.paired_rows(V.transfer_predictions(spark, d, ("strong",)), "strong", ("value", "alert"))
     return p.select("target", "scene_index", "frame_index", "occlusion_fraction", R6("p_base"), R6("p_occ"))
 
 
 @query("occlusion_bins", f"WITH {PAIRED} SELECT target, bin, count(*) AS n_rows, count(DISTINCT scene_index) AS n_scenes FROM binned GROUP BY target, bin")
 def occlusion_bins(spark, d):
-    p = S.paired_rows(cut(V.transfer_predictions(spark, d)), "strong", ("value", "alert"))
+    p = S.paired_rows(V.transfer_predictions(spark, d, ("strong",)), "strong", ("value", "alert"))
     return p.withColumn("bin", S.bin_of(F.col("occlusion_fraction"))).groupBy("target", "bin").agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("scene_index").alias("n_scenes"))
 
@@ -156,7 +156,7 @@ bt AS (SELECT target, bin, b, {_score('base', 'times')} AS b0, {_score('occ', 't
 ci AS (SELECT target, bin, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM (SELECT target, bin, {RATIO} AS s, b0 FROM bt) WHERE abs(b0 - CASE WHEN target = 'alert' THEN 0.5 ELSE 0 END) > 1e-9 GROUP BY target, bin)
 SELECT target, bin, n_rows, round(CASE WHEN n_rows >= 30 AND ns >= 8 THEN {RATIO} ELSE 'nan'::DOUBLE END, 5) AS value, round(lo, 5) AS ci_low, round(hi, 5) AS ci_high, round(b0, 5) AS base_value FROM pt JOIN ci USING (target, bin)""")
 def retained_skill(spark, d):
-    p = S.paired_rows(cut(V.transfer_predictions(spark, d)), "strong", ("value", "alert"))
+    p = S.paired_rows(V.transfer_predictions(spark, d, ("strong",)), "strong", ("value", "alert"))
     c = S.retained_skill(p, ["exp", "seed", "target"], classes=V.CLASSES, n_boot=CURVE_N)
     return c.select("target", "bin", "n_rows", *[F.round(x, 5).alias(x) for x in ("value", "ci_low", "ci_high", "base_value")])
 

@@ -123,3 +123,35 @@ def test_best_cells_with_scores_that_differ_between_evaluations(spark):
     rows = spark.createDataFrame([(g, k, "m", float(k % 3)) for g in range(20) for k in range(6)], "g int, layer int, view string, value double").withColumn("value", noise("value"))
     found = S.best_cells(rows, ["g"]).collect()
     assert sorted(r.g for r in found) == list(range(20)) and {r.layer for r in found} <= {2, 5}
+
+
+def test_paired_rows_leaves_untreated_scenes_and_refuses_lonely_rows(spark):
+    cols = "exp string, seed int, target string, encoder string, layer int, view string, task string, eval_condition string, scene_index int, frame_index int, y_true double, y_pred double, occlusion_fraction double"
+    row = lambda t, cond, scene, frame, layer=8, p=1.0: ("E", 0, t, "e", layer, "mean", "transfer", cond, scene, frame, 1.0, p, 0.1)
+    rows = [row(t, cond, 1, f, layer) for t in "abc" for cond in ("base", "occluded") for f in (0, 1) for layer in (8, 11)]
+    rows += [row("a", "base", 2, 0), row("b", "base", 1, 2), row("c", "occluded", 3, 0)]      # untreated scene; base row alone; treated row alone
+    got = S.paired_rows(spark.createDataFrame(rows, cols), "e", ("a", "b", "c"))
+    assert sorted((r.target, r.scene_index, r.frame_index) for r in got.collect()) == [("a", 1, 0), ("a", 1, 1)]
+    assert got.columns == ["exp", "seed", "target", "scene_index", "frame_index", "y_base", "p_base", "y_occ", "p_occ", "occlusion_fraction"]
+    assert "Exchange hash" not in got._jdf.queryExecution().executedPlan().toString()         # no shuffle of the rows is left to each reader
+
+
+def test_halves_meet_by_scene_and_views_name_encoders(spark):
+    from heldout.plans import views as V
+    folder = "/root/testdata/sf0.001"
+    a, b = V.halves(spark, folder)
+    keys = lambda df: {(r.scene_index, r.frame_index) for r in df.collect()}
+    whole = [keys(x) for x in V.whole_halves(spark, folder)]
+    assert keys(a) == keys(b) == whole[0] & whole[1]
+    assert "LeftSemi" not in a._jdf.queryExecution().optimizedPlan().toString()               # joined by scene, not row by row
+    of = lambda df: sorted(map(repr, df.where("encoder = 'strong'").collect()))
+    some = V.transfer_predictions(spark, folder, ("strong",))
+    assert {r.encoder for r in some.select("encoder").distinct().collect()} == {"strong"} and of(some) == of(V.transfer_predictions(spark, folder))
+
+
+def test_low_nodes_of_the_tree_share_their_distributions():
+    from heldout.functions import multinomial as M
+    M._kept_distribution.cache_clear()
+    found = M.Resamples(0, 3000, np.arange(200)).counts(0, 3000)
+    kept = M._kept_distribution.cache_info()
+    assert kept.hits > kept.misses and (found.sum(1) == 3000).all()
