@@ -75,7 +75,8 @@ def best_band(spark, d):
 @query("layer_curve", SUMMARY + """ SELECT target, layer, metric, round(value, 6) AS value, round(value - ci_low, 6) AS err_low, round(ci_high - value, 6) AS err_high,
 CAST(trivial AS DOUBLE) AS chance FROM summary WHERE encoder = 'strong' AND view = 'mean' AND seed = 0""")
 def layer_curve(spark, d):
-    s = S.summarize(cut(V.predictions(spark, d)), N, classes=V.CLASSES).where("seed = 0")
+    cells = V.predictions(spark, d, seeds=(0,), encoders=("strong",)).where("view = 'mean'")     # the cells shown; draws do not depend on others
+    s = S.summarize(cut(cells), N, classes=V.CLASSES)
     return S.layer_curve(s, "strong", "mean").select("target", "layer", "metric", *[R6(c) for c in ("value", "err_low", "err_high")], "chance")
 
 

@@ -155,3 +155,19 @@ def test_low_nodes_of_the_tree_share_their_distributions():
     found = M.Resamples(0, 3000, np.arange(200)).counts(0, 3000)
     kept = M._kept_distribution.cache_info()
     assert kept.hits > kept.misses and (found.sum(1) == 3000).all()
+
+
+def test_metrics_of_a_summary_share_one_stage_of_counts(spark):
+    df = predictions(spark, np.random.default_rng(4), seeds=(0,), scenes=12)
+    is_class = F.col("target") == "contact_state"
+    plans = {"r2": (df.where(~is_class), "y_true", "y_pred"), "balanced_accuracy": (df.where(is_class), "y_true", "y_pred"), "auroc": (df.where(is_class), "y_true", "y_score")}
+    plan = B.samples(plans, S.CELL, "scene_index", 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan                          # the counts are made and written; no metric makes them again
+
+
+def test_layer_curve_summarises_the_cells_it_shows(spark, monkeypatch):
+    from heldout.plans.catalog import summaries
+    seen, whole = [], S.summarize
+    monkeypatch.setattr(summaries.S, "summarize", lambda p, *a, **k: seen.append(p) or whole(p, *a, **k))
+    summaries.layer_curve(spark, "/root/testdata/sf0.001")
+    assert {tuple(r) for r in seen[0].select("seed", "encoder", "view").distinct().collect()} == {(0, "strong", "mean")}
