@@ -200,3 +200,15 @@ def test_dynamics_of_cells_in_shared_scans_equal_those_of_one_cell(spark):
     for i, s in enumerate(seeds):
         test = design.where(F.col("folds")[i] < 0).select(F.col("contact_state").alias("y_true"), (P.linear_scores(F.col("x"), [fits[i]])[0] > 0).cast("int").alias("y_pred"))
         assert abs(M.balanced_accuracy(test, []).first()["value"] - found["random_b", s].contact_balanced_accuracy) < 1e-9
+
+
+def test_a_task_of_the_design_reads_one_cell(spark):
+    from heldout.operators.common import plain_unions
+    from heldout.plans import cells
+    name, before = "spark.sql.unionOutputPartitioning", spark.conf.get("spark.sql.unionOutputPartitioning")
+    part = lambda k: spark.range(400).select("id", F.lit(k).alias("k")).repartition(3, "id")
+    with plain_unions(spark):
+        assert spark.conf.get(name) == "false" and cells._union([part(k) for k in range(4)]).rdd.getNumPartitions() == 12
+    assert spark.conf.get(name) == before
+    rows = cells._written([part(k) for k in range(4)])
+    assert rows.count() == 1600 and len(rows.inputFiles()) == 12         # a file for each task: 3 of each part, not 3 for all
