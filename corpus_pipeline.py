@@ -69,7 +69,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = rows.select("_key", F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", F.xxhash64("text").alias("hash"), "_key").alias("place")).distinct()
     best = found.join(ids, F.col("doc_id") == F.col("_key")).groupBy("component").agg(F.min("place").alias("place"))
     decided = found.join(best.select(F.col("place._key").alias("_best")), F.col("doc_id") == F.col("_best"), "left").select(F.col("doc_id").alias("_worded"), "_best", "times")
-    kept = rows.join(decided, F.col("_key") == F.col("_worded"), "left").where("_best is not null or _worded is null")
+    # only rows that go or have copies are looked up, so texts travel only where these are many
+    apart = cut(decided.where("_best is null or times > 1"))
+    kept = rows.join(apart, F.col("_key") == F.col("_worded"), "left").where("_best is not null or _worded is null")
     kept = kept.select("doc_id", "text", REST, "_key", F.coalesce("times", F.lit(1)).alias("times"))
     many = kept.where("times > 1")
     once = many.groupBy("_key").agg(F.min_by(F.struct("doc_id", "text", REST), F.xxhash64(REST)).alias("row")).select("row.*")

@@ -5,8 +5,12 @@ sum of their sizes. Each set is dealt to blocks by hash; a block keeps the parit
 its elements (the XOR of their hashes, and bits for the distance). An element in which
 two sets differ touches one block, so of D + 1 + T blocks at least T + 1 are equal if
 the sets differ in D elements at most: sets are joined on equal blocks per band of
-sizes. Empty blocks say nothing and are left out as long as a set has T of them at
-most; sets with more also join on those.
+sizes. Empty blocks say nothing: T is so large that few sets have more empty blocks
+than that, and they are left out. If all equal blocks of two sets are empty, both have
+more than T and T + 1 in common at least; sets with more than T also join on small
+groups of their first empty blocks, which no longer are the same in sets at random.
+A set with U blocks in use shares U - D keys with each of its partners at least: sets
+that share fewer with all others together have none and leave before families form.
 
 Joined sets form families (components of "same block"). Within a family, pairs of the
 right sizes are compared: Hamming distance of parity bits, a lower bound of the
@@ -17,6 +21,8 @@ task returns a spanning forest of the links it found, never all pairs.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,6 +38,8 @@ CELL_SETS, CELL_SHINGLES = 1024, 1 << 21
 FINE = 1.25                       # ratio of the size bands of cells
 SKETCH_WORDS = 32
 SEEN = 1_000_000
+ROUNDS = 2                        # how often sets that share too few keys leave
+EMPTY, RARE = 3, 2.5              # empty blocks to a key; standard deviations between the usual number of blocks in use and the least that needs no such key
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -54,13 +62,25 @@ def bands(percent: int, top: int = 1 << 40) -> list[int]:
 
 def blocks_of(lows: list[int], g: int, percent: int) -> tuple[int, int]:
     """(blocks, T) of band g, which also takes the larger sets of band g - 1."""
-    d = most_different(2 * (lows[g + 1] - 1), percent)
+    return _blocks(lows[g], lows[g + 1], percent)
+
+
+@lru_cache(maxsize=None)
+def _blocks(low: int, high: int, percent: int) -> tuple[int, int]:
+    d = most_different(2 * (high - 1), percent)
+    least = -(-percent * low // 100)
     spare = 1 + (d + 1) // 16
-    return d + 1 + spare, spare
+    while True:
+        count = d + 1 + spare
+        free = math.exp(-least / count)
+        used, spread = count * (1 - free), math.sqrt(count * max(0.0, free - (1 + least / count) * free * free))
+        if used - RARE * spread >= d + 1 or spare > 4 * (d + 1):
+            return count, spare
+        spare += 1 + spare // 32
 
 
-def block_keys(s: np.ndarray, lows: list[int], percent: int) -> np.ndarray:
-    """Join keys of a sorted set: those of its own band and, for a set near the band's end, of the next."""
+def keys_by_band(s: np.ndarray, lows: list[int], percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(band, least number of keys in common with a partner, join keys) of a sorted set: for its own band and, for a set near the band's end, the next."""
     out, n = [], len(s)
     g = int(np.searchsorted(lows, n, "right")) - 1
     for group in (g, g + 1):
@@ -71,11 +91,21 @@ def block_keys(s: np.ndarray, lows: list[int], percent: int) -> np.ndarray:
         first = np.flatnonzero(np.diff(block, prepend=U(1 << 40)))
         parity = np.bitwise_xor.reduceat(mixed(s + U(group)), first)
         keys = mixed(parity + mixed(block[first] * U(1 << 20) + U(group)))
-        out.append(keys)
         if count - len(first) > spare:
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), block[first])
-            out.append(mixed(mixed(empty * U(1 << 20) + U(group))))
-    return np.concatenate(out)
+            some = min(EMPTY, spare + 1)                        # of T + 1 common ones, so many are among the first of both sets
+            told = np.array(list(combinations(empty[:len(empty) - spare - 1 + some], some)), np.uint64)
+            key = np.full(len(told), group, np.uint64)
+            for column in told.T:
+                key = mixed(key + mixed(column + U(1)))
+            keys = np.concatenate([keys, mixed(key)])
+        out.append((group, max(1, len(first) + spare + 1 - count), keys))
+    return out
+
+
+def block_keys(s: np.ndarray, lows: list[int], percent: int) -> np.ndarray:
+    """All join keys of a sorted set."""
+    return np.concatenate([keys for _, _, keys in keys_by_band(s, lows, percent)])
 
 
 def _signatures(k: int):
@@ -99,11 +129,15 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def _keys(k: int, percent: int):
-    """(node, key) of each set; a task emits a set once, however many copies it reads (of the last SEEN sets)."""
+    """(least, node, key) of each set; a task emits a set once, however many copies it reads (of the last SEEN sets).
+
+    ``least`` is twice the number of keys that a partner shares, plus the last bit of the
+    band, which tells the two bands of a set apart.
+    """
     def run(batches):
         lows, seen = bands(percent), set()
         for batch in slices(batches):
-            keys, owners = [], []
+            leasts, keys, owners = [], [], []
             for words in word_hashes(_texts(batch, "text")):
                 s = shingle_set(words, k)
                 node = signature(s)[0]
@@ -112,12 +146,14 @@ def _keys(k: int, percent: int):
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(node)
-                keys.append(block_keys(s, lows, percent).view(np.int64))
-                owners.append(np.full(len(keys[-1]), node, np.int64))
+                for band, least, found in keys_by_band(s, lows, percent):
+                    keys.append(found.view(np.int64))
+                    owners.append(np.full(len(found), node, np.int64))
+                    leasts.append(np.full(len(found), 2 * least + band % 2, np.int32))
             if keys:
-                flat, owner = np.concatenate(keys), np.concatenate(owners)
-                for a in range(0, len(flat), 65536):
-                    yield pa.RecordBatch.from_arrays([pa.array(owner[a:a + 65536]), pa.array(flat[a:a + 65536])], ["node", "key"])
+                columns = [np.concatenate(x) for x in (leasts, owners, keys)]
+                for a in range(0, len(columns[0]), 65536):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[a:a + 65536]) for x in columns], ["least", "node", "key"])
     return run
 
 
@@ -195,7 +231,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     alike = ["n", "s1", "s2"]
     classes = cut(rows.where("n > 0").groupBy(*alike).agg(F.min("doc_id").alias("rep")))
     edges = _candidates(docs, k, percent)
-    families = components(edges, "node", "least").select(F.col("node").alias("s1"), F.col("component").alias("family"))
+    families = components(edges, "node", "first").select(F.col("node").alias("s1"), F.col("component").alias("family"))
     members = cut(families.join(classes.where("rep is not null"), "s1").select(F.col("rep").alias("doc_id"), "n", "family"))
     links = cut(_links(docs, members, k, percent))
     found = components(links, "a", "b")
@@ -205,10 +241,14 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, least): sets with a block in common, as stars around the least set of the block."""
-    keys = docs.select("text").mapInArrow(_keys(k, percent), "node long, key long")
-    least = F.min("node").over(Window.partitionBy("key"))
-    return keys.withColumn("least", least).where(F.col("least") < F.col("node")).select("node", "least").distinct()
+    """(node, first): sets with a block in common, as stars around the least set of the block."""
+    keys, by_key = docs.select("text").mapInArrow(_keys(k, percent), "least int, node long, key long"), Window.partitionBy("key")
+    for _ in range(ROUNDS):
+        met = keys.withColumn("low", F.min("node").over(by_key)).withColumn("high", F.max("node").over(by_key)).where("low < high")
+        met = met.select("least", "node", "key").distinct().withColumn("common", F.count(F.lit(1)).over(Window.partitionBy("node", "least")))
+        keys = cut(met.where(F.col("common") >= F.floor(F.col("least") / 2)).select("least", "node", "key"))
+    first = F.min("node").over(by_key)
+    return keys.withColumn("first", first).where(F.col("first") < F.col("node")).select("node", "first").distinct()
 
 
 def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
@@ -234,6 +274,7 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
     alone = members.where(small).select("family", "doc_id", *[F.lit(0).alias(c) for c in columns[2:]])
     tasks = alone.unionByName(first.select(*columns)).unionByName(second.select(*columns))
     spots = tasks.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in columns if c != "doc_id"])).alias("at"))
+    spots = cut(spots)                                          # few as a rule: then they go to the texts, not the texts to them
     kind = spots.schema["at"].dataType.simpleString()
     sets = docs.join(spots, "doc_id").select("doc_id", "at", "text").mapInArrow(_sets(k), f"doc_id long, at {kind}, shingles binary")
     same = (F.col("fine") == F.col("other")) & (F.col("cell") == F.col("cell2"))

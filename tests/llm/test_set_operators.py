@@ -99,6 +99,36 @@ def test_pigeonhole_blocks_meet():
                 assert np.intersect1d(ngram_join.block_keys(a, lows, percent), ngram_join.block_keys(b, lows, percent)).size
 
 
+@pytest.mark.parametrize("tight", [False, True])
+def test_partners_share_as_many_keys_as_told(monkeypatch, tight):
+    """A set shares the told number of keys of a band with each partner; also if most sets have more empty blocks than may be left out."""
+    rng = np.random.default_rng(5)
+    if tight:
+        monkeypatch.setattr(ngram_join, "_blocks", lambda low, high, percent: (ngram_join.most_different(2 * (high - 1), percent) + 3, 2))
+    for percent in (80, 90):
+        lows = ngram_join.bands(percent)
+        for _ in range(400):
+            n = int(rng.integers(1, 400))
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            cut = int(rng.integers(0, n // 8 + 1))
+            b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1))).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+                x, y = ({g: (least, keys) for g, least, keys in ngram_join.keys_by_band(s, lows, percent)} for s in (a, b))
+                assert any(len(np.intersect1d(x[g][1], y[g][1])) >= max(x[g][0], y[g][0]) for g in x.keys() & y.keys())
+
+
+def test_unlike_texts_form_no_families(spark):
+    """Texts without a common shingle, and texts that only quote the same passages, are not compared; copies are."""
+    rng = random.Random(8)
+    quotes = [" ".join(f"q{q}x{i}" for i in range(12)) for q in range(3)]
+    texts = [" ".join(f"d{d}x{i}" for i in range(rng.randrange(30, 600))) for d in range(200)]
+    texts += [" ".join(f"e{d}x{i}" for i in range(rng.randrange(200, 300))) + " " + rng.choice(quotes) for d in range(100)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert ngram_join._candidates(docs, 5, 80).count() == 0
+    assert ngram_join._candidates(docs.union(docs.selectExpr("doc_id + 1000", "concat(text, ' end')")), 5, 80).count() >= 300
+
+
 def test_parity_distance_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for _ in range(50):
