@@ -221,3 +221,29 @@ def test_patch_probe_passes_kinks_in_many_dimensions(spark):
     both = Sp.fit_max_pooled_all(df.withColumn("u", F.array(F.lit(True), F.col("scene") < 30)), "x", "y", ["scene", "frame"], "u", 2)
     assert np.allclose(both[0].coef, fit.coef, atol=1e-6)
     assert np.allclose(both[1].coef, Sp.fit_max_pooled(df.where("scene < 30"), "x", "y", ["scene", "frame"]).coef, atol=1e-4)
+
+
+def test_partial_matrices_travel_as_halves_in_few_rows(monkeypatch):
+    """A model's sums are one row for usual widths, pieces for large ones, and come back whole in any order."""
+    import pyarrow as pa
+    from heldout.operators import grid
+    rng = np.random.default_rng(0)
+    for n, piece, rows in ((66, 1 << 16, 1), (66, 100, 23), (1, 100, 1)):
+        monkeypatch.setattr(grid, "PIECE", piece)
+        m = rng.normal(size=(n, n))
+        m = m @ m.T
+        sums = grid._Sums(["cell"])
+        sums.add((3,), grid._packed(m))
+        sums.add((3,), grid._packed(m))
+        table = pa.Table.from_batches(list(sums.told()))
+        assert table.num_rows == rows and sum(map(len, table.column("row").to_pylist())) == n * (n + 1) // 2
+        assert np.array_equal(grid._whole(grid._vector(table.take(pa.array(rng.permutation(rows))))), m + m)
+
+
+def test_steps_of_singular_matrices_are_the_shortest():
+    from heldout.operators.probes import _solved
+    rng = np.random.default_rng(1)
+    x, g = rng.normal(size=(50, 8)), rng.normal(size=8)
+    assert np.allclose(_solved(x.T @ x, g), np.linalg.lstsq(x.T @ x, g, rcond=None)[0], rtol=1e-9)
+    x[:, 3] = x[:, 2]
+    assert np.allclose(_solved(x.T @ x, x.T @ x[:, 0]), np.linalg.pinv(x.T @ x) @ (x.T @ x[:, 0]), atol=1e-9)
